@@ -66,22 +66,35 @@ def stop_forms(languages: dict[str, str] = STOP_WORDS) -> list[str]:
     return sorted({form for w in plain for form in (w, w.capitalize(), w.upper())})
 
 
+#: Up to so many distinct repeated windows are looked up one by one; more are found by sorting.
+FEW = 24
+
+
 def repeated_words(found: Column) -> Column:
     """Number of words that lie in a 3-word window occurring twice or more; 64-bit hashes stand for windows."""
 
-    def covered(grams: Column) -> Column:
-        placed = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    def spread(places: Column) -> Column:
+        return F.size(F.array_distinct(F.concat(places, F.transform(places, lambda i: i + 1), F.transform(places, lambda i: i + 2))))
 
+    def by_lookup(grams: Column, twins: Column) -> Column:
+        places = F.transform(grams, lambda g, i: F.when(F.array_contains(twins, g), i))
+        return let(F.filter(places, lambda i: i.isNotNull()), spread)
+
+    def by_sort(grams: Column) -> Column:
         def inside(p: Column) -> Column:
             twins = F.filter(p, lambda x, j: (F.get(p, j - 1)["g"] == x["g"]) | (F.get(p, j + 1)["g"] == x["g"]))
-            return F.size(F.array_distinct(F.flatten(F.transform(twins, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+            return let(F.transform(twins, lambda x: x["i"]), spread)
+
+        return let(F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))), inside)
 
-        return let(placed, inside)
+    def some(grams: Column) -> Column:
+        twins = let(F.sort_array(grams), lambda s: F.array_distinct(F.filter(s, lambda x, j: F.get(s, j + 1) == x)))
+        return let(twins, lambda t: F.when(F.size(t) <= FEW, by_lookup(grams, t)).otherwise(by_sort(grams)))
 
     def within(w: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        some = let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g)))
-        return F.when(F.size(w) < 3, F.lit(0)).otherwise(some)
+        counted = let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(some(g)))
+        return F.when(F.size(w) < 3, F.lit(0)).otherwise(counted)
 
     return let(found, within)
 
