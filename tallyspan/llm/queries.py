@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tallyspan.llm import best_fit_packing, quality_rules
+from tallyspan.llm import best_fit_packing, minhash_near_dedup, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_best_fit_packing": best_fit_packing.op2_best_fit_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_minhash_near_dedup": minhash_near_dedup.op5_minhash_near_dedup,
 }
 
 ORACLE_SQL = {"op1_quality_rules": quality_rules.oracle()}
