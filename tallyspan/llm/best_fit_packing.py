@@ -14,6 +14,7 @@ length are tokenized whole, in memory that grows with one text.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -28,10 +29,10 @@ from tallyspan.llm.shared import drop_written, table, written
 
 WINDOW = 2048
 SEPARATOR = 0
-#: Distinct spellings whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: Distinct spellings in a generation of a Python worker's memory; it holds two, and a full one replaces the older.
+REMEMBERED = 400_000
 #: Pieces that one ranking group holds on average.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 8_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 
@@ -70,23 +71,31 @@ class Spellings(dict):
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def part(self, part: str) -> bytes:
-        if (ids := self.parts.get(part)) is None:
-            spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            ids = self.parts[part] = np.asarray([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        return ids
+        spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        return struct.pack(f"<{len(t := self.model.tokenize(spelled))}I", *[x.id for x in t])
+
+    def spelled(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():
+            return self.part(word)
+        if not self.PLAIN.fullmatch(word):
+            return self.whole(word)
+        parts = self.CUT.findall(word.lower())
+        return self.part(word) if parts == [word] else b"".join(map(self.__getitem__, parts))
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) + len(self.parts) > REMEMBERED:
-            self.clear()
-            self.parts.clear()
-        ids = b"".join(map(self.part, self.CUT.findall(word.lower()))) if self.PLAIN.fullmatch(word) else self.whole(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.spelled(word)
         if len(word) < 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
