@@ -1,10 +1,57 @@
-"""Corpus pipeline (stages follow as their operators are built)."""
+"""Corpus pipeline: from documents to packed training sequences, in five stages.
+
+Each stage is a function of (spark, docs, sf_dir); all but the last return the columns of ``documents``. Documents
+scored as toxic go, one document of each group of near copies stays (five-word shingles, similarity 0.8 or more),
+secrets are replaced in the text, sources are mixed to tempered weights (every document at least once, some again),
+and the mixture is packed into sequences of 2048 tokens.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyspan.llm import best_fit_packing, minhash_near_dedup, secret_scans, source_mixing, toxicity
+from tallyspan.llm.shared import table, written
+
+#: Most times that the mixture takes a document of a source.
+REPEATS = 1.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_near_dedup.keep_one(docs)
+
+
+def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scans.redact(docs, secret_scans.fitted(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(docs, repeats=REPEATS).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("secrets", replace_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: Trained models and a tokenizer are no SQL; the stages are tested against plain versions instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents, each stage written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
