@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspan.plans import derived  # noqa: F401  the SQL side's own views
 from tallyspan.plans.views import Views, duckdb_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
