@@ -93,8 +93,8 @@ def snapshot_diff(before: DataFrame, now: DataFrame, by: str, value: str) -> Dat
 
 
 def queue_changes(snapshots: DataFrame) -> DataFrame:
-    """Changes of a queue over its snapshots (key, at, amount; a null amount: gone): appeared, reduced, raised, gone, reopened."""
-    order = Window.partitionBy("key").orderBy("at")
+    """Changes of a queue over its snapshots (key, at_us, amount; a null amount: gone): appeared, reduced, raised, gone, reopened."""
+    order = Window.partitionBy("key").orderBy("at_us")
     before = snapshots.withColumns({"was": F.lag("amount").over(order), "n": F.row_number().over(order), "ever": F.max("amount").over(order.rowsBetween(Window.unboundedPreceding, -1))})
     change = (
         F.when(F.col("amount").isNull() & F.col("was").isNotNull(), "gone").when(F.col("amount").isNotNull() & F.col("was").isNull() & F.col("ever").isNotNull(), "reopened")

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 
 def _buckets(lo: str, hi: str, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.greatest(lo, hi) / width)))
+    return F.explode(F.sequence(F.floor(F.least(lo, hi) / width), F.floor(F.greatest(lo, hi) / width)))
 
 
 def overlapping(spans: DataFrame, ranges: DataFrame, key: str, keep: str | None = None, width: int = 64) -> DataFrame:
-    """Keys of spans (key, lo, hi) that meet a range (lo, hi), ends included; with ``keep`` also that column of each range met."""
+    """Keys of spans (key, lo, hi) that meet a range (lo, hi), ends included; with ``keep`` also that column of each range met.
+
+    A span with lo = hi + 1 is the cut between two values and meets the ranges that hold both.
+    """
     kept = [keep] if keep else []
-    left = spans.where("lo <= hi").select(key, "lo", "hi", _buckets("lo", "hi", width).alias("__b"))
+    left = spans.where("lo <= hi + 1").select(key, "lo", "hi", _buckets("lo", "hi", width).alias("__b"))
     right = ranges.where("lo <= hi").select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), *kept, _buckets("lo", "hi", width).alias("__b"))
     met = left.join(right, "__b").where((F.col("lo") <= F.col("__hi")) & (F.col("hi") >= F.col("__lo")))
     return met.select(key, *kept).distinct()
