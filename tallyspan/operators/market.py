@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspan.plans.views import DAY, HOUR
 
-SETTLED = F.lit("settlement")
+SETTLED = "settlement"
 
 
 def _if(kind: str, value: Column) -> Column:
