@@ -5,9 +5,9 @@ and features of the whole text; Viterbi decodes it. It is trained here, on sente
 shapes of secrets and of harmless look-alikes, and on passages of at most ``SAMPLE_ROWS`` documents in which the base
 patterns give the labels.
 
-Decoding is cut at stretches of ordinary words: a token that is neither long and mixed nor near a word such as
-"password" is tagged O, so only windows around the other tokens are decoded, each from O to O. The windows of a
-text together are its whole text as far as tags can differ from O.
+The field is a constrained one: a token that is neither part of a long run with digits or mixed letters nor near a
+word such as "password" can only be O. So a text falls apart into windows around the other tokens, and
+decoding these one by one is decoding the whole text under that constraint.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive; repeated rows are scanned
 alike; texts of any length are read whole; an empty table gives an empty result; extra columns are not carried along.
@@ -172,12 +172,14 @@ class Field:
         joint = np.exp(np.minimum(ahead[:, :-1, :, None] + moves + (scores + back)[:, 1:, None, :] - total[:, None, None, None], 0))
         return unary, (joint * live[:, 1:, None, None]).sum((0, 1))
 
-    def decode(self, rows: list[list[str]]) -> list[int]:
-        """The best state sequence, by Viterbi."""
+    def decode(self, rows: list[list[str]], outside: list[bool] | None = None) -> list[int]:
+        """The best state sequence, by Viterbi; tokens marked ``outside`` can only be O."""
         if not rows:
             return []
         known = self.names
         scores = np.asarray([self.weights[[known[f] for f in row if f in known]].sum(0) for row in rows])
+        if outside is not None:
+            scores[np.asarray(outside), 1:] -= 1e6
         moves = self.moves + self.LEGAL
         best, back = scores[0] + self.START, []
         for line in scores[1:]:
