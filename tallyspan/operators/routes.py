@@ -62,9 +62,8 @@ def network(tallies: DataFrame, checks: DataFrame, beats: DataFrame) -> DataFram
     obligations = tallies.agg(F.sum("served").alias("served"), F.sum("broken").alias("broken"), F.sum("total").alias("total"))
     times = q.from_histogram(q.histogram(checks.where("verified"), [], "service_ms"), [], "service_ms", {"p50": 50, "p95": 95}).withColumnRenamed("n", "verified")
     newest = t.latest(beats, ["validator"], [F.desc("at_us"), F.desc("seq")]).agg(F.count_if("up").alias("up"), F.count(F.lit(1)).alias("known"))
-    one = F.lit(1).alias("__one")
-    joined = obligations.select(one, "*").join(times.select(one, "*"), "__one").join(newest.select(one, "*"), "__one")  # a row each
-    return joined.drop("__one")
+    parts = obligations.unionByName(times, allowMissingColumns=True).unionByName(newest, allowMissingColumns=True)  # a row each
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 def blobs_page(publications: DataFrame, statuses: DataFrame, charges: DataFrame, cursor: tuple, limit: int, **filters) -> DataFrame:
