@@ -78,3 +78,9 @@ def reproduced(exported: DataFrame, stored_rows: DataFrame, key: str) -> DataFra
 def snapshot(frame: DataFrame, path: str) -> None:
     """An answer kept as JSON."""
     frame.coalesce(1).write.mode("overwrite").json(path)
+
+
+def compact(spark: SparkSession, path: str, to: str, by: str, files: int = 1) -> None:
+    """A table's partitions written again in few files each; the old files stay until the caller drops them."""
+    rows = spark.read.parquet(path)
+    rows.repartition(files, by).write.mode("overwrite").partitionBy(by).parquet(to)
