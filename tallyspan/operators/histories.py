@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspan.operators.ranges import as_of, overlapping, spans_of
-
-LAST = 2_147_483_647
+from tallyspan.operators.ranges import as_of, overlapping
 
 
 def key(height: str, tx: str) -> Column:
@@ -16,10 +14,7 @@ def key(height: str, tx: str) -> Column:
 
 def params_at(publications: DataFrame, params: DataFrame) -> DataFrame:
     """Promises with the params in force at their settlement (null before the first)."""
-    left = publications.withColumn("__one", F.lit(0))
-    right = params.withColumn("__one", F.lit(0))
-    # one history for all promises: cut by height so that no task sorts them all
-    return as_of_one_history(left, right, key("height", "tx_index"), key("from_height", "from_tx"), ["timeout_days", "retention_days"]).drop("__one")
+    return as_of_one_history(publications, params, key("height", "tx_index"), key("from_height", "from_tx"), ["timeout_days", "retention_days"])
 
 
 def as_of_one_history(left: DataFrame, right: DataFrame, left_at: Column, right_at: Column, take: list[str], width: int = 64) -> DataFrame:
@@ -30,9 +25,9 @@ def as_of_one_history(left: DataFrame, right: DataFrame, left_at: Column, right_
     top = left.agg(F.max(left_at["h"])).first()[0]
     until = F.least(F.coalesce(F.col("__next")["h"], F.lit(top)), F.lit(top))
     cut = spans.where(F.col("__from")["h"] <= until).withColumn("__b", F.explode(F.sequence(F.floor(F.col("__from")["h"] / width), F.floor(until / width))))
-    marked = left.withColumns({"__at": left_at, "__id": F.monotonically_increasing_id()}).withColumn("__b", F.floor(F.col("__at")["h"] / width))
+    marked = left.withColumn("__at", left_at).withColumn("__b", F.floor(F.col("__at")["h"] / width))
     inside = (F.col("__at") >= F.col("__from")) & (F.col("__next").isNull() | (F.col("__at") < F.col("__next")))
-    return marked.join(cut.withColumnRenamed("__b", "__c"), (F.col("__b") == F.col("__c")) & inside, "left").drop("__b", "__c", "__at", "__id", "__from", "__next")
+    return marked.join(cut.withColumnRenamed("__b", "__c"), (F.col("__b") == F.col("__c")) & inside, "left").drop("__b", "__c", "__at", "__from", "__next")
 
 
 def deadlines(publications: DataFrame, params: DataFrame, day: int) -> DataFrame:
@@ -164,5 +159,3 @@ def cascade(keys: DataFrame, sources: list[tuple[str, DataFrame]], by: str) -> D
     best = every.groupBy(by).agg(F.min(F.struct("place", "detail", "source")).alias("b"))
     return keys.join(best, by, "left").select(by, F.coalesce("b.source", F.lit("unknown")).alias("source"), F.col("b.detail").alias("detail"))
 
-
-__all__ = ["spans_of"]

@@ -46,9 +46,8 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: Column, rig
     """
     names = left.columns
     carried = F.struct(*take)
-    one = left.withColumns({"__at": left_at, "__side": F.lit(1), "__take": F.lit(None)})
     kind = right.select(carried.alias("t")).schema["t"].dataType
-    one = one.withColumn("__take", F.lit(None).cast(kind)).withColumn("__own", F.struct(*names))
+    one = left.withColumns({"__at": left_at, "__side": F.lit(1), "__take": F.lit(None).cast(kind), "__own": F.struct(*names)})
     two = right.select(*by, right_at.alias("__at"), F.lit(0).alias("__side"), carried.alias("__take"))
     both = one.select(*by, "__at", "__side", "__take", "__own").unionByName(two, allowMissingColumns=True)
     running = Window.partitionBy(*by).orderBy("__at", "__side", "__take").rowsBetween(Window.unboundedPreceding, Window.currentRow)
