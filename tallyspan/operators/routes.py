@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspan.functions import rules
+from tallyspan.functions import codecs, rules
 from tallyspan.operators import paging
 from tallyspan.operators import quantiles as q
 from tallyspan.operators import tallies as t
@@ -129,3 +129,24 @@ def pace(blocks: DataFrame, n: int = 600, least: int = 40, guess: int = 6_000_00
     span = F.col("at_us") - F.min("at_us").over(back)
     step = (span / F.nullif(F.col("height") - F.min("height").over(back), F.lit(0)))
     return blocks.withColumn("pace_us", F.when(seen < least, F.lit(guess)).otherwise(F.floor(step)).cast("long"))
+
+
+def readable(publications: DataFrame, checks: DataFrame) -> DataFrame:
+    """Promises of which some check reached a server: those that a reading can speak for."""
+    reached = checks.where(rules.reached(F.col("verified"), F.col("tcp_ok"), F.col("outcome"))).select("promise_hash")
+    return publications.join(reached, "promise_hash", "left_semi")
+
+
+def shaped(rows: DataFrame, listed: list[str], detail: list[str], whole: bool) -> DataFrame:
+    """The columns of a list, or with ``whole`` those of a detail page as well."""
+    return rows.select(*listed, *(detail if whole else []))
+
+
+def resolved(addresses: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Addresses in any form (hexadecimal of either case, or bech32 of any prefix) with the validator whose key they name.
+
+    addresses: address. dimension: validator, hex (lower case). An unknown or malformed address has a null validator.
+    """
+    text = F.trim("address")
+    key = F.when(text.rlike("^[0-9a-fA-F]{40}$"), F.lower(text)).otherwise(codecs.from_bech32(text))
+    return addresses.withColumn("hex", key).join(dimension.select("validator", "hex"), "hex", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspan.functions import codecs
 from tallyspan.operators import market as m
 from tallyspan.operators import obligations as obl
 from tallyspan.operators import quantiles as q
@@ -112,3 +113,15 @@ def _(v: Views) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("settled_us") >= NOW - 60 * DAY).alias("recent"))
 
 
+
+
+@query("readable_blobs", "SELECT promise_hash, publisher FROM publications p WHERE EXISTS (SELECT 1 FROM checks c WHERE c.promise_hash = p.promise_hash AND (c.verified OR c.tcp_ok OR c.outcome = 'TCP_REFUSED'))")
+def _(v: Views) -> DataFrame:
+    return route.shaped(route.readable(v.publications, v.checks), ["promise_hash", "publisher"], ["height"], False)
+
+
+@query("resolved_addresses")
+def _(v: Views) -> DataFrame:
+    keys = v.validators.select("validator", F.substring(F.sha2(F.col("validator").cast("string"), 256), 1, 40).alias("hex"))
+    forms = keys.select(F.explode(F.array(F.upper("hex"), codecs.to_bech32("val")("hex"), codecs.to_bech32("oper")("hex"), F.lit("unknown"))).alias("address"))
+    return route.resolved(forms, keys).groupBy("validator").agg(F.count(F.lit(1)).alias("forms"))

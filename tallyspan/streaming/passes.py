@@ -58,6 +58,10 @@ class Collector:
         insert_absent(later, aside, self.keys[kind])
         return count
 
+    def run_pass(self, batches: dict[str, DataFrame]) -> dict[str, int]:
+        """One pass over a batch of each kind, in the fixed order; returns what each added."""
+        return {kind: self.take(kind, batches[kind]) for kind in ORDER if kind in batches and kind in self.keys}
+
     def sink(self, kind: str) -> Callable[[DataFrame, int], None]:
         """For ``writeStream.foreachBatch``: a repeated batch changes nothing, so each record counts once."""
         return lambda batch, _: (self.take(kind, batch), None)[1]

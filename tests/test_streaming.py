@@ -47,6 +47,13 @@ def test_records_wait_for_what_they_refer_to(spark, tmp_path):
     assert collector.take("measurements", checks) == 0
 
 
+def test_a_pass_inserts_in_order(spark, tmp_path):
+    collector = passes.Collector(spark, str(tmp_path), {"publications": ["promise_hash"], "measurements": ["key"]}, {"measurements": ("publications", "promise_hash")})
+    batches = {"measurements": spark.createDataFrame([("k1", "p1")], "key string, promise_hash string"), "publications": spark.createDataFrame([("p1",)], "promise_hash string")}
+    assert collector.run_pass(batches) == {"publications": 1, "measurements": 1}
+    assert collector.run_pass(batches) == {"publications": 0, "measurements": 0}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "beats"
     rows = spark.createDataFrame([(k, k % 3, 1_000_000 * 600 * k, k % 4 > 0) for k in range(60)], "seq long, validator long, at_us long, up boolean")
