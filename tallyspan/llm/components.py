@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.shared import drop_written, written
+from tallyspan.llm.shared import drop_written, loosened, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,10 +18,10 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _step(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    lowest = both.groupBy("a").agg(F.min("b").alias("m")).select(loosened(F.col("a")).alias("a"), F.least("a", "m").alias("m"))
     large = both.join(lowest, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     root = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    small = large.join(root.select(loosened(F.col("a")).alias("a"), "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return small.unionByName(root.select("a", F.col("m").alias("b"))).distinct()
 
 

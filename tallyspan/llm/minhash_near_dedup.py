@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspan.llm.components import components
-from tallyspan.llm.shared import drop_written, table, written
+from tallyspan.llm.shared import drop_written, loosened, table, written
 
 CHUNKS, WIDTH = 12, 5
 SYMBOLS = CHUNKS * WIDTH
@@ -218,12 +218,12 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     classes = written(present.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature")), "classes")
 
     keys = classes.select("class_id", "signature").mapInArrow(index, "key long, class_id long")
-    firsts = keys.groupBy("key").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).where("first < last").select("key", "first")
+    firsts = keys.groupBy("key").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).where("first < last").select(loosened(F.col("key")).alias("key"), "first")
     meetings = keys.join(firsts, "key").where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b"))
     clusters = components(meetings, "clusters")
 
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    tiled = clusters.join(sizes, "label").select(F.col("node").alias("class_id"), F.col("label").alias("cluster"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    tiled = clusters.join(sizes.select(loosened(F.col("label")).alias("label"), "n"), "label").select(F.col("node").alias("class_id"), F.col("label").alias("cluster"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
     texts = tiled.join(classes.select("class_id", "d1", "d2"), "class_id").join(source, F.col("class_id") == F.col("doc_id"))
     met = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))

@@ -59,6 +59,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def loosened(key: Column) -> Column:
+    """The same whole numbers, as an expression whose partitioning Spark does not know.
+
+    A table that was aggregated by a key is partitioned by it, and a join on that key would reuse this: one task then
+    has all rows of a hot key on the other side. Joined on the loosened key both sides are shuffled for the join alone,
+    and adaptive execution may split a hot partition.
+    """
+    return F.bitwise_not(F.bitwise_not(key))
+
+
 def words(text: Column) -> Column:
     """Words of a text, in order; null text gives none. One-character gaps split without a regular expression."""
     text = F.coalesce(text, F.lit(""))
