@@ -104,19 +104,19 @@ def mix(documents: DataFrame, source: str = "source", text: str = "text", id_col
 
     # a permutation of each source's blocks for every round, and for the partial one the tokens of the blocks before
     order = Window.partitionBy("__source", "__round").orderBy("__draw", "__block")
-    each = sums.join(asked, "__source").withColumn("__round", F.explode(F.sequence(F.lit(0), F.col("__whole"))))
+    each = sums.withColumnRenamed("n", "__n").join(asked, "__source").withColumn("__round", F.explode(F.sequence(F.lit(0), F.col("__whole"))))
     each = each.withColumn("__draw", F.xxhash64("__source", "__block", "__round"))
     each = each.withColumn("__place", (F.row_number().over(order) - 1).cast("long"))
-    each = each.withColumn("__before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    each = each.withColumn("__before", F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     partial = F.col("__round") == F.col("__whole")
-    blocks = each.groupBy("__source", "__block", "n", "mix_weight", "__whole", "__rest").agg(
+    blocks = each.groupBy("__source", "__block", "__n", "mix_weight", "__whole", "__rest").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("__round", "__place"))), lambda x: x["__place"]).alias("__places"),
         F.max(F.when(partial, F.col("__before"))).alias("__before"),
     )
     blocks = written(blocks, "plan")
 
     # the block in which a budget ends gives its documents in hashed order while they fit
-    ends = blocks.where("__before < __rest and __before + n > __rest").select("__source", "__block", "__before", "__rest")
+    ends = blocks.where("__before < __rest and __before + __n > __rest").select("__source", "__block", "__before", "__rest")
     running = Window.partitionBy("__source", "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spent = marked.select("__source", "__block", "__at", "mix_tokens").join(F.broadcast(ends) if len(totals) <= FEW_SOURCES else ends, ["__source", "__block"])
     spent = spent.groupBy("__source", "__block", "__at", "__before", "__rest").agg(F.sum("mix_tokens").alias("t"))
@@ -125,7 +125,7 @@ def mix(documents: DataFrame, source: str = "source", text: str = "text", id_col
 
     plan = blocks.join(limits, ["__source", "__block"], "left")
     joined = marked.join(F.broadcast(plan) if len(totals) <= FEW_SOURCES else plan, ["__source", "__block"])
-    whole_block = (F.col("__rest") > 0) & (F.col("__before") + F.col("n") <= F.col("__rest"))
+    whole_block = (F.col("__rest") > 0) & (F.col("__before") + F.col("__n") <= F.col("__rest"))
     extra = F.when(F.coalesce(whole_block | (F.col("__at") <= F.col("__to")), F.lit(False)), 1).otherwise(0)
     taken_at = F.posexplode(F.slice("__places", F.lit(1), F.col("__whole") + extra)).alias("mix_round", "mix_place")
     return joined.select(*names, "mix_tokens", "mix_weight", taken_at).select(*names, *added)

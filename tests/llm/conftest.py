@@ -21,7 +21,7 @@ ROWS = [
     (13, "you are a stupid idiot and a worthless moron"),
 ]
 
-CLASHES = "'x' as score, 1 as length, 'y' as spans, true as kept, 3 as n_words, 'z' as shard, 0 as label, 'b' as component_id, 5 as mix_round"
+CLASHES = "'x' as score, 1 as length, 'y' as spans, true as kept, 3 as n_words, 'z' as shard, 0 as label, 'b' as component_id, 5 as mix_round, 7 as n, 'q' as t, 8 as m"
 
 
 @pytest.fixture()
