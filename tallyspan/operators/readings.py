@@ -16,15 +16,10 @@ def _c(name: str) -> Column:
 
 def by_validator(checks: DataFrame) -> DataFrame:
     """One row per (reading, validator): what its answers there show."""
-    served = rules.full_served(_c("verified"), _c("outcome"), _c("cls"))
-    foreign = rules.full_foreign(_c("verified"), _c("outcome"), _c("cls"), _c("subset_of_own"))
     owed = (_c("cls") == "NOT_PROBED") & _c("assigned") & (_c("phase") == "in_window")
     full = rules.full_reading(_c("label"), _c("started_us"))
     rows = F.sequence(_c("first_row"), _c("first_row") + _c("rows_returned") - 1)
     return checks.groupBy(*READING, "validator").agg(
-        F.bool_or(served).alias("any_served"),
-        F.bool_or(_c("cls").isin(*rules.GAPS) | foreign).alias("any_gap"),
-        F.max("started_us").alias("newest_us"),
         F.bool_or(owed & ~full).alias("missed_point"),
         F.bool_or(owed & full).alias("owed_full"),
         F.bool_or(_c("cls") != "NOT_PROBED").alias("other"),
@@ -85,10 +80,15 @@ def counted(checks: DataFrame) -> DataFrame:
     Facts of readings come from all checks of any phase; filter afterwards. At a full reading a validator's own answers
     decide, at any other the state of the whole reading does.
     """
-    validators = by_validator(checks)
-    facts = readings(validators).select(*READING, "unavailable", "ran")
-    own = validators.select(*READING, "validator", "any_served", "any_gap", "newest_us")
-    joined = checks.join(own, [*READING, "validator"]).join(facts, READING)
+    facts = readings(by_validator(checks)).select(*READING, "unavailable", "ran")
+    # joined by reading first: the windows below then find their rows together and need no shuffle of their own
+    own = Window.partitionBy(*READING, "validator")
+    foreign = rules.full_foreign(_c("verified"), _c("outcome"), _c("cls"), _c("subset_of_own"))
+    joined = checks.join(facts, READING).withColumns({
+        "any_served": F.bool_or(rules.full_served(_c("verified"), _c("outcome"), _c("cls"))).over(own),
+        "any_gap": F.bool_or(_c("cls").isin(*rules.GAPS) | foreign).over(own),
+        "newest_us": F.max("started_us").over(own),
+    })
     cls, outcome, verified = _c("cls"), _c("outcome"), _c("verified")
     hold = _c("held") & (outcome != "INVALID_ROWS")
     yes = F.when(hold, "RETENTION_UNVERIFIED").otherwise("HEALTHY")
