@@ -37,8 +37,6 @@ CHUNKS, WIDTH = 12, 5
 SYMBOLS = CHUNKS * WIDTH
 #: Classes in a tile; a task holds two tiles.
 TILE = 512
-#: Distinct words a Python worker remembers the hash of.
-REMEMBERED = 1_000_000
 
 _seeds = np.random.default_rng(20).integers(0, 2**64, (2, SYMBOLS), dtype=np.uint64)
 _TIMES, _PLUS = _seeds[0] | np.uint64(1), _seeds[1]
@@ -46,17 +44,6 @@ _MARKS = np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _B
     x = (x ^ (x >> np.uint64(29))) * _C
@@ -70,7 +57,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(found) < words:
         return np.asarray([xxhash.xxh3_64_intdigest(b" ".join(found), seed=1 + len(found))], np.uint64)
-    hashed = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     last = len(found) - words + 1
     rolled = hashed[:last].copy()
     for k in range(1, words):

@@ -32,7 +32,7 @@ from tallyspan.llm.shared import table
 #: Most labelled rows that training reads.
 TRAIN_ROWS = 6000
 THRESHOLD = 0.3
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Words that a lexicon word may stand from a second-person word to count as close.
 CLOSE = 4
 
