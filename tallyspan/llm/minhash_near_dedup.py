@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspan.llm.components import components
-from tallyspan.llm.shared import drop_written, loosened, table, written
+from tallyspan.llm.shared import loosened, table, written
 
 CHUNKS, WIDTH = 12, 5
 SYMBOLS = CHUNKS * WIDTH
@@ -238,5 +238,3 @@ def keep_one(documents: DataFrame, words: int = 5, percent: int = 80, id_column:
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
-
-__all__ = ["drop_written", "keep_one", "near_duplicates", "op5_minhash_near_dedup"]

@@ -36,10 +36,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _test_folders[context.applicationId]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_folder(spark)}/tallyspan/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that were not written yet are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(frame: DataFrame, tag: str, partitions: int | None = None) -> DataFrame:
     """The frame as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/tallyspan/{tag}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     (frame.coalesce(partitions) if partitions else frame).write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
