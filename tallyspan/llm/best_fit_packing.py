@@ -32,7 +32,7 @@ SEPARATOR = 0
 #: Distinct spellings in a generation of a Python worker's memory; it holds two, and a full one replaces the older.
 REMEMBERED = 400_000
 #: Pieces that one ranking group holds on average.
-GROUP_ROWS = 8_000
+GROUP_ROWS = 2_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 
