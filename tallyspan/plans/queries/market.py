@@ -21,7 +21,8 @@ LATE = NOW + 1300 * DAY
       (SELECT count(DISTINCT coalesce(blob_key, 'promise:' || promise_hash)) FROM s) AS blobs, (SELECT count(*) FROM w WHERE kind = 'timeout') AS timeouts, (SELECT coalesce(sum(amount), 0)::BIGINT FROM w WHERE kind = 'timeout') AS timed_out,
       (SELECT count(*) FROM w WHERE kind = 'deposit' AND denom = 'unit') AS deposits, round((SELECT sum(amount) FROM s) * 1048576.0 / (SELECT sum(blob_size) FROM s), 6)::DOUBLE AS per_mib""")
 def _(v: Views) -> DataFrame:
-    return m.totals(v.payments, v.publications, START, NOW)
+    # the SQL's case of unknown keys: a tenth of the publications is not on record; totals() joins all that it is given
+    return m.totals(v.payments, v.publications.where("promise_hash % 10 <> 0"), START, NOW)
 
 
 @query("market_hours", f"SELECT at_us // {HOUR} * {HOUR} AS at_us, count(*) AS settlements, sum(amount)::BIGINT AS fees, sum(blob_size)::BIGINT AS bytes FROM payments WHERE kind = 'settlement' GROUP BY 1")

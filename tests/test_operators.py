@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspan.functions import codecs, streams
 from tallyspan.operators import assignment as a
 from tallyspan.operators import histories as h
-from tallyspan.operators import paging, ranges, routes
+from tallyspan.operators import market, paging, ranges, routes
 from tallyspan.operators import quantiles as q
 from tallyspan.operators import readings as read
 from tallyspan.operators import rollups as roll
@@ -162,3 +162,18 @@ def test_dimensions(spark):
     blocks = spark.createDataFrame([(k, k * 5) for k in range(50)], "height long, at_us long")
     paced = {r.height: r.pace_us for r in routes.pace(blocks).collect()}
     assert paced[10] == 6_000_000 and paced[45] == 5
+
+
+def test_market_totals_join_every_publication(spark):
+    """Blobs are told apart by key wherever the publication is on record, whatever its id, and by promise elsewhere."""
+    pays = [(10, 5, "settlement"), (20, 6, "settlement"), (21, 7, "settlement"), (30, 8, "settlement"), (31, 9, "timeout")]
+    payments = spark.createDataFrame([(p, at, kind, "a", "n", 3, 4, "unit") for p, at, kind in pays], "promise_hash long, at_us long, kind string, publisher string, namespace string, amount long, blob_size long, denom string")
+    known = spark.createDataFrame([(10, 0, 7), (20, 0, 7), (21, 0, 7), (30, 1, 7)], "promise_hash long, blob_version long, commitment long")
+
+    def blobs(publications):
+        row = market.totals(payments, publications, 0, 100).first()
+        return row.settlements, row.blobs
+
+    assert blobs(known) == (4, 2)  # 10, 20 and 21 share version and commitment
+    assert blobs(known.where("promise_hash <> 20")) == (4, 3)
+    assert blobs(known.limit(0)) == (4, 4)
