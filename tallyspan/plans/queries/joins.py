@@ -56,7 +56,17 @@ def _(v: Views) -> DataFrame:
     g AS (SELECT *, EXISTS (SELECT 1 FROM scan_gaps s WHERE s.last > coalesce(f.since, 0) AND s.first <= f.height) AS gap FROM f)
     SELECT promise_hash, validator, CASE WHEN gap THEN 'gap' WHEN host IS NULL THEN 'no_seed' WHEN host = '' THEN 'none' ELSE 'on_record' END AS source, CASE WHEN NOT gap AND host IS NOT NULL THEN host ELSE '' END AS host FROM g""")
 def _(v: Views) -> DataFrame:
-    pairs = v.publications.where("promise_hash % 3 = 0").join(v.assignments.select("promise_hash", "validator"), "promise_hash")
+    return _hosts(v, v.publications.where("promise_hash % 3 = 0"))
+
+
+@query("host_at_every_settlement")
+def _(v: Views) -> DataFrame:
+    """The same over every promise; tested against brute force."""
+    return _hosts(v, v.publications)
+
+
+def _hosts(v: Views, publications: DataFrame) -> DataFrame:
+    pairs = publications.join(v.assignments.select("promise_hash", "validator"), "promise_hash")
     return h.hosts_at(pairs, v.host_events, v.scan_gaps).select("promise_hash", "validator", "source", "host")
 
 

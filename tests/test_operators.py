@@ -12,6 +12,7 @@ from tallyspan.operators import market, paging, ranges, routes
 from tallyspan.operators import quantiles as q
 from tallyspan.operators import readings as read
 from tallyspan.operators import rollups as roll
+from tallyspan.plans.catalog import QUERIES
 from tallyspan.plans.views import DAY, NOW, Views
 from tests.oracle import FOLDER
 
@@ -177,3 +178,23 @@ def test_market_totals_join_every_publication(spark):
     assert blobs(known) == (4, 2)  # 10, 20 and 21 share version and commitment
     assert blobs(known.where("promise_hash <> 20")) == (4, 3)
     assert blobs(known.limit(0)) == (4, 4)
+
+
+def test_hosts_of_every_settlement(spark):
+    """Every validator of every promise, against a search of the whole history for each."""
+    v = Views(spark, FOLDER)
+    settled = {r.promise_hash: (r.height, r.tx_index) for r in v.publications.collect()}
+    history: dict[int, list[tuple]] = {}
+    for e in v.host_events.collect():
+        history.setdefault(e.validator, []).append((e.height, e.tx_index, e.host))
+    gaps = [(g.first, g.last) for g in v.scan_gaps.collect()]
+    expected = []
+    for a in v.assignments.collect():
+        at = settled[a.promise_hash]
+        height, _, host = max((e for e in history.get(a.validator, []) if e[:2] <= at), default=(0, 0, None))
+        if any(last > height and first <= at[0] for first, last in gaps):
+            expected.append((a.promise_hash, a.validator, "gap", ""))
+        else:
+            expected.append((a.promise_hash, a.validator, "no_seed" if host is None else "on_record" if host else "none", host or ""))
+    found = [tuple(r) for r in QUERIES["host_at_every_settlement"](spark, FOLDER).collect()]
+    assert sorted(found) == sorted(expected) and len({p for p, *_ in found if p % 3}) > 0
