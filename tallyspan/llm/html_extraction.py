@@ -3,7 +3,8 @@
 One pass of the standard library's streaming parser turns a page into blocks (the lines of the method), each
 with its text, the tags met since the block before and the elements around it. Ratios of text to tags are
 smoothed along the page; blocks above the mean form the content clusters. The element that holds the clusters'
-text is the content region, and every block of it counts, short ones too, but for page furniture inside.
+text is the content region, and every block of it counts, short ones too, but for page furniture inside. A class, id or
+role marks furniture only as a whole value, and only on elements that hold a minor part of the clusters' text.
 
 Defined results: null, empty and text-less pages give the empty string; unclosed and misnested markup is read as
 the parser reads it; repeated rows are extracted alike; pages of any length are read whole; an empty table gives
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,13 +28,26 @@ from tallyspan.llm.shared import table
 # Element names of HTML by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = set("script style noscript template head title svg math iframe object canvas audio video select option textarea button".split())
-FURNITURE = set("nav header footer aside form menu dialog fieldset".split())
+FURNITURE = set("nav header footer aside menu dialog".split())
+#: Furniture like a marked element: not where it holds the content, as a form around the whole page does.
+FORMS = set("form fieldset".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 REGIONS = set("article main".split())
-#: Words of class, id and role values that mark page furniture.
+#: Words that mark page furniture. A class, id or role value counts as a whole: each part of it between '-' and '_' is one of
+#: these words, one of ALONG or a number, so that "no-sidebar", "layout-sidebar-right" and "related-work" are no marks.
+OTHERS = r"comments?|commentlist|replies|respond|disqus|related|recommend\w*|promo\w*"
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|"
-    r"sidebar|widget|footer|header|masthead|toolbar|share|social|related|recommend\w*|comments?|commentlist|replies|respond|disqus|complementary|contentinfo|search|pagination|pager|login|signup|skip)(?=$|[\s_-])",
+    rf"{OTHERS}|ads?|advert\w*|adsense|sponsor\w*|banners?|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|"
+    r"sidebars?|widgets?|footer|header|masthead|toolbar|share|social|complementary|contentinfo|search|pagination|pager|login|signup|skip",
+    re.IGNORECASE,
+)
+#: Marks of texts beside the page's own; an article or main may have the last two as well.
+BESIDE = re.compile(OTHERS, re.IGNORECASE)
+BESIDE_REGION = re.compile(OTHERS + "|reply|teasers?", re.IGNORECASE)
+ALONG = re.compile(
+    r"\d+(?:x\d+)?|top|bottom|left|right|upper|lower|main|global|site|page|primary|secondary|mobile|desktop|sticky|fixed|inner|outer|box|bar|block|list|items?|wrap|wrapper|container|area|section|"
+    r"region|row|col|column|panel|card|body|div|group|slot|unit|space|overlay|title|text|message|links?|buttons?|btn|icons?|form|thread|posts?|articles?|stories|pages",
     re.IGNORECASE,
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -47,6 +61,18 @@ class Element:
     number: int
     out: bool  # furniture or silent, by itself or by an element around it
     region: int = 0  # number of the nearest article or main around it, 0 for none
+    marked: tuple[int, ...] = ()  # numbers of the marked elements that it is or lies in
+
+
+def marks(value: str, words: re.Pattern[str] = MARKS) -> bool:
+    """Whether one of the value's tokens as a whole marks furniture."""
+    for token in value.split():
+        parts = [p for p in re.split(r"[-_]+", token) if p]
+        found = [bool(words.fullmatch(p)) for p in parts]
+        along = (f or ALONG.fullmatch(p) or (k and p.lower() == "content") for k, (p, f) in enumerate(zip(parts, found, strict=True)))
+        if any(found) and (parts[0].lower() == "skip" or all(along)):
+            return True
+    return False
 
 
 @dataclass
@@ -56,6 +82,7 @@ class Block:
     path: tuple[int, ...]
     out: bool
     region: int
+    marked: tuple[int, ...] = ()
 
 
 @dataclass
@@ -68,13 +95,15 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open = [Element("", 0, False)]
         self.count, self.tags, self.parts = 0, 0, []
+        self.beside: dict[int, bool] = {}  # marked elements: whether the mark is one of texts beside the page's own
+        self.holders: set[int] = set()  # marked elements that an outermost article or main lies in
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
             top = self.open[-1]
-            self.found.append(Block(text, self.tags, tuple(e.number for e in self.open), top.out, top.region))
+            self.found.append(Block(text, self.tags, tuple(e.number for e in self.open), top.out, top.region, top.marked))
             self.tags = 0
 
     def handle_starttag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -90,17 +119,33 @@ class Blocks(HTMLParser):
         if name in ("li", "dt", "dd", "option", "tr", "td", "th"):
             self.close_to(name, within=True)
         top = self.open[-1]
-        said = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
         given = dict(attrs)
         out = top.out or name in SILENT or name in FURNITURE or "hidden" in given or given.get("aria-hidden") == "true" or bool(HIDDEN.search(given.get("style") or ""))
-        out = out or (name not in ("html", "body") and name not in REGIONS and bool(MARKS.search(said)))
-        out = out or (name in REGIONS and bool(re.search(r"comment|reply|related|promo|teaser", said, re.IGNORECASE)))
         self.count += 1
         # an article inside an article's content belongs to the outer one
         region = top.region or (self.count if name in REGIONS and not out else 0)
-        if out != top.out:
+        marked = top.marked
+        if not out and name not in ("html", "body"):
+            beside = self.mark(name, given, top.region)
+            if beside is not None:
+                self.beside[self.count] = beside
+                marked = (*marked, self.count)
+            if region == self.count and not any(self.beside[m] for m in marked):
+                self.holders.update(marked)
+        if out != top.out or marked != top.marked:
             self.end_block()
-        self.open.append(Element(name, self.count, out, region))
+        self.open.append(Element(name, self.count, out, region, marked))
+
+    def mark(self, name: str, given: dict[str, str | None], region: int) -> bool | None:
+        """None for no mark, else whether it is one of texts beside the page's own."""
+        said = " ".join(given.get(k) or "" for k in ("class", "role"))
+        own = given.get("id") or ""
+        if name in REGIONS:
+            return True if marks(f"{said} {own}", BESIDE_REGION) else None
+        if name in HEADINGS or name == "section":  # their ids are anchors of the text; outside articles a section of comments has one too
+            own = own if name == "section" and not region and marks(own, BESIDE) else ""
+        said = f"{said} {own}"
+        return marks(said, BESIDE) if name in FORMS or marks(said) else None
 
     def handle_startendtag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(name, attrs)
@@ -112,7 +157,7 @@ class Blocks(HTMLParser):
         for k in range(len(self.open) - 1, 0, -1):
             here = self.open[k].name
             if here == name:
-                if name in BLOCKS or self.open[k].out != self.open[k - 1].out:
+                if name in BLOCKS or self.open[k].out != self.open[k - 1].out or self.open[k].marked != self.open[k - 1].marked:
                     self.end_block()
                 del self.open[k:]
                 return
@@ -138,14 +183,47 @@ def smoothed(ratio: np.ndarray, radius: int = 2) -> np.ndarray:
     return np.convolve(np.pad(ratio, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def clusters(blocks: list[Block]) -> list[Block]:
+    """The usable blocks whose smoothed ratio of text to tags is above the page's mean, or all usable ones."""
+    ratio = np.asarray([len(b.text) / max(1, b.tags) if not b.out else 0.0 for b in blocks])
+    level = smoothed(ratio)
+    return [b for b, r in zip(blocks, level, strict=True) if not b.out and r >= level.mean()] or [b for b in blocks if not b.out]
+
+
+def without_marked(blocks: list[Block], beside: dict[int, bool], holders: set[int]) -> list[Block]:
+    """The blocks, with those of marked elements out.
+
+    A marked element that holds an outermost article or main, or half of the clusters' text of the article or page that it
+    lies in, is no furniture. Texts beside the page's own, such as comments, may be longer than it: they go where an
+    article or main has a block outside them at least half as long as theirs are on average.
+    """
+    if not beside or all(b.out for b in blocks):
+        return blocks
+    chosen = clusters(blocks)
+    around: dict[int, int] = {}  # text by article, 0 for the whole page
+    inside: dict[int, int] = {}  # text by marked element
+    within: dict[int, int] = {}  # the article that a marked element lies in
+    for b in blocks:
+        for m in b.marked:
+            within[m] = b.region if b.region in b.path and b.path.index(b.region) < b.path.index(m) else 0
+    for b in chosen:
+        for r in {0, b.region}:
+            around[r] = around.get(r, 0) + len(b.text)
+        for m in b.marked:
+            inside[m] = inside.get(m, 0) + len(b.text)
+    others = [len(b.text) for b in blocks if not b.out and any(beside[m] for m in b.marked)]
+    own = max((len(b.text) for b in blocks if not b.out and b.region and not any(beside[m] for m in b.marked)), default=0) * len(others) * 2 >= sum(others)
+    out = {m for m in within if (beside[m] and own) or (m not in holders and inside.get(m, 0) * 2 < max(1, around.get(within[m], 0)))}
+    left = [replace(b, out=True) if not b.out and not out.isdisjoint(b.marked) else b for b in blocks]
+    return blocks if all(b.out for b in left) else left
+
+
 def content(blocks: list[Block]) -> list[Block]:
     """The blocks of the region that the content clusters lie in."""
     usable = [b for b in blocks if not b.out]
     if not usable:
         return []
-    ratio = np.asarray([len(b.text) / max(1, b.tags) if not b.out else 0.0 for b in blocks])
-    level = smoothed(ratio)
-    chosen = [b for b, r in zip(blocks, level, strict=True) if not b.out and r >= level.mean()] or usable
+    chosen = clusters(blocks)
     weight: dict[int, int] = {}
     for b in chosen:
         if b.region:
@@ -175,7 +253,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.end_block()
-    return "\n\n".join(b.text for b in content(parser.found))
+    return "\n\n".join(b.text for b in content(without_marked(parser.found, parser.beside, parser.holders)))
 
 
 def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,27 @@ def test_pages(html, text):
     assert h.main_text(html) == text
 
 
+@pytest.mark.parametrize("html", [
+    *[f"<body><div class='{c}'><article><p>{LONG}</p><p>Tail</p></article></div></body>" for c in ("content no-sidebar", "post has-sidebar", "layout-sidebar-right", "sidebar", "widget")],
+    *[f"<body><div class='{c}'><div><p>{LONG}</p><p>Tail</p></div></div></body>" for c in ("content no-sidebar", "content-sidebar-wrap", "modal")],
+    f"<body><form action='/'><div>{NAV}</div><article><p>{LONG}</p><form><p>Mail</p></form><p>Tail</p></article></form></body>",
+    f"<body><form action='/'>{NAV}<div id='page'><div><p>{LONG}</p><p>Tail</p></div></div></form></body>",
+    f"<article class='post comments-open'><p>{LONG}</p><section id='related-work'><p>Tail</p></section></article>",
+    f"<article><p>{LONG}</p><section id='social-effects'><p>Tail</p></section></article>",
+    f"<article><p>{LONG}</p><section id='search'><p>Tail</p></section></article>",
+    f"<article><p>{LONG}</p><h2 id='notice'>Tail</h2></article>",
+    f"<main><p>{LONG}</p><p>Tail</p><div class='comments'><p>{LONG}</p><p>{LONG}</p></div><div class='related-posts'><p>{LONG}</p></div></main>",
+    f"<article><p>{LONG}</p><p>Tail</p><ul class='share-buttons'><li>Share</li></ul></article><div id='comment-list'><p>{LONG}</p></div>",
+])
+def test_marks_take_out_furniture_only(html):
+    assert h.main_text(html) == f"{LONG.strip()}\n\nTail"
+
+
+def test_whole_values_are_marks():
+    assert all(map(h.marks, ("ad", "x top-menu", "cookie-notice", "advert-box", "ad-300x250", "skip-to-content", "footer_widgets", "navigation", "sidebar-content", "related-posts")))
+    assert not any(map(h.marks, ("", "no-sidebar", "has-sidebar", "layout-sidebar-right", "related-work", "social-effects", "content-sidebar", "search-results", "adobe", "shared", "--")))
+
+
 def test_smoothing_keeps_the_level():
     import numpy as np
 
