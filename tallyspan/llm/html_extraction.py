@@ -3,8 +3,10 @@
 One pass of the standard library's streaming parser turns a page into blocks (the lines of the method), each
 with its text, the tags met since the block before and the elements around it. Ratios of text to tags are
 smoothed along the page; blocks above the mean form the content clusters. The element that holds the clusters'
-text is the content region, and every block of it counts, short ones too, but for page furniture inside. A class, id or
-role marks furniture only as a whole value, and only on elements that hold a minor part of the clusters' text.
+text is the content region, and every block of it counts, short ones too, but for page furniture inside. Articles that
+hold clusters and those beside them are one region; on pages without articles the blocks around the region count
+too, unless they are links. A class, id or role marks furniture only as a whole value, and only on elements that hold
+a minor part of the clusters' text.
 
 Defined results: null, empty and text-less pages give the empty string; unclosed and misnested markup is read as
 the parser reads it; repeated rows are extracted alike; pages of any length are read whole; an empty table gives
@@ -62,6 +64,8 @@ class Element:
     out: bool  # furniture or silent, by itself or by an element around it
     region: int = 0  # number of the nearest article or main around it, 0 for none
     marked: tuple[int, ...] = ()  # numbers of the marked elements that it is or lies in
+    link: bool = False  # whether it is or lies in a link
+    heading: bool = False
 
 
 def marks(value: str, words: re.Pattern[str] = MARKS) -> bool:
@@ -83,6 +87,7 @@ class Block:
     out: bool
     region: int
     marked: tuple[int, ...] = ()
+    links: bool = False  # mostly links, and no heading
 
 
 @dataclass
@@ -94,16 +99,16 @@ class Blocks(HTMLParser):
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open = [Element("", 0, False)]
-        self.count, self.tags, self.parts = 0, 0, []
+        self.count, self.tags, self.parts, self.linked = 0, 0, [], 0
         self.beside: dict[int, bool] = {}  # marked elements: whether the mark is one of texts beside the page's own
         self.holders: set[int] = set()  # marked elements that an outermost article or main lies in
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
-        self.parts = []
+        linked, self.parts, self.linked = self.linked, [], 0
         if text:
             top = self.open[-1]
-            self.found.append(Block(text, self.tags, tuple(e.number for e in self.open), top.out, top.region, top.marked))
+            self.found.append(Block(text, self.tags, tuple(e.number for e in self.open), top.out, top.region, top.marked, linked * 2 > len(text) and not top.heading))
             self.tags = 0
 
     def handle_starttag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -134,7 +139,7 @@ class Blocks(HTMLParser):
                 self.holders.update(marked)
         if out != top.out or marked != top.marked:
             self.end_block()
-        self.open.append(Element(name, self.count, out, region, marked))
+        self.open.append(Element(name, self.count, out, region, marked, top.link or (name == "a" and "href" in given), top.heading or name in HEADINGS))
 
     def mark(self, name: str, given: dict[str, str | None], region: int) -> bool | None:
         """None for no mark, else whether it is one of texts beside the page's own."""
@@ -174,6 +179,8 @@ class Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open[-1].name not in ("script", "style"):
             self.parts.append(data)
+            if self.open[-1].link:
+                self.linked += len(" ".join(data.split()))
 
 
 def smoothed(ratio: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -218,21 +225,25 @@ def without_marked(blocks: list[Block], beside: dict[int, bool], holders: set[in
     return blocks if all(b.out for b in left) else left
 
 
+def above(block: Block) -> int:
+    """Number of the element that the block's article or main lies in."""
+    return block.path[block.path.index(block.region) - 1]
+
+
 def content(blocks: list[Block]) -> list[Block]:
     """The blocks of the region that the content clusters lie in."""
     usable = [b for b in blocks if not b.out]
     if not usable:
         return []
     chosen = clusters(blocks)
-    weight: dict[int, int] = {}
-    for b in chosen:
-        if b.region:
-            weight[b.region] = weight.get(b.region, 0) + len(b.text)
-    if weight and max(weight.values()) * 2 >= sum(len(b.text) for b in chosen):
-        region = max(weight, key=lambda k: (weight[k], -k))
-        return [b for b in usable if b.region == region]
-    # no article: go down from the root while one element holds nine tenths of the clusters' text
-    at, depth, inside, total = 0, 0, chosen, sum(len(b.text) for b in chosen)
+    total = sum(len(b.text) for b in chosen)
+    # every article with clusters, and those beside it, are parts of one content
+    held = [b for b in chosen if b.region]
+    if held and sum(len(b.text) for b in held) * 2 >= total:
+        around = {above(b) for b in held}
+        return [b for b in usable if b.region and above(b) in around]
+    # no article: go down from the root while one element holds nine tenths of the clusters' text; beside it, menus go
+    at, depth, inside = 0, 0, chosen
     while True:
         below: dict[int, int] = {}
         for b in inside:
@@ -240,7 +251,7 @@ def content(blocks: list[Block]) -> list[Block]:
                 below[b.path[depth + 1]] = below.get(b.path[depth + 1], 0) + len(b.text)
         best = max(below, key=lambda k: (below[k], -k), default=None)
         if best is None or below[best] * 10 < total * 9:
-            return [b for b in usable if len(b.path) > depth and b.path[depth] == at]
+            return [b for b in usable if not b.links or (len(b.path) > depth and b.path[depth] == at)]
         at, depth = best, depth + 1
         inside = [b for b in inside if len(b.path) > depth and b.path[depth] == at]
 

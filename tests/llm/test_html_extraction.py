@@ -42,6 +42,18 @@ def test_marks_take_out_furniture_only(html):
     assert h.main_text(html) == f"{LONG.strip()}\n\nTail"
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<div id=page><h1>Title</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div></div>", ["Title", LONG, LONG]),
+    (f"<div id=page><h1><a href='/'>Title</a></h1><p><a href='/x'>Home</a> <a href='/y'>News</a></p><div><p>{LONG}</p><p>{LONG}</p></div></div>", ["Title", LONG, LONG]),
+    (f"<body>{NAV}<section><p>First</p></section><section><p>{LONG}</p><p>{LONG}</p></section><section><p>Last</p></section><footer>End</footer></body>", ["First", LONG, LONG, "Last"]),
+    (f"<body><div><div><p>Lead <a href='/a'>a</a></p><div><p>{LONG}</p><p>{LONG}</p></div></div><div><p>Note</p></div></div></body>", ["Lead a", LONG, LONG, "Note"]),
+    (f"<body>{NAV}<div><article><p>{LONG}</p><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG}</p></article><article><p>End</p></article></div><footer>x</footer></body>", [LONG, LONG, "Two", LONG, "End"]),
+    (f"<body><div><article><p>{LONG}</p><p>{LONG}</p></article></div><div><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article></div><div><article><p>Card</p></article></div></body>", [LONG] * 5),
+])
+def test_nothing_beside_the_heaviest_part_is_lost(html, text):
+    assert h.main_text(html) == "\n\n".join(t.strip() for t in text)
+
+
 def test_whole_values_are_marks():
     assert all(map(h.marks, ("ad", "x top-menu", "cookie-notice", "advert-box", "ad-300x250", "skip-to-content", "footer_widgets", "navigation", "sidebar-content", "related-posts")))
     assert not any(map(h.marks, ("", "no-sidebar", "has-sidebar", "layout-sidebar-right", "related-work", "social-effects", "content-sidebar", "search-results", "adobe", "shared", "--")))
