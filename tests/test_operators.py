@@ -12,6 +12,7 @@ from tallyspan.operators import market, paging, ranges, routes
 from tallyspan.operators import quantiles as q
 from tallyspan.operators import readings as read
 from tallyspan.operators import rollups as roll
+from tallyspan.operators.checks import held_promises
 from tallyspan.plans.catalog import QUERIES
 from tallyspan.plans.views import DAY, NOW, Views
 from tests.oracle import FOLDER
@@ -198,3 +199,19 @@ def test_hosts_of_every_settlement(spark):
             expected.append((a.promise_hash, a.validator, "no_seed" if host is None else "on_record" if host else "none", host or ""))
     found = [tuple(r) for r in QUERIES["host_at_every_settlement"](spark, FOLDER).collect()]
     assert sorted(found) == sorted(expected) and len({p for p, *_ in found if p % 3}) > 0
+
+
+def test_every_waiting_check_holds_its_day(spark):
+    v = Views(spark, FOLDER)
+    waiting = {r.promise_hash for r in v.checks.where("cls = 'PROBE_ERROR' and shadow_uncertain").collect()}
+    held = {r.promise_hash for r in held_promises(v.publications, v.uncertain).collect()}
+    days: dict[int, list[bool]] = {}
+    for p in v.publications.collect():
+        days.setdefault(p.settled_us // DAY, []).append(p.must_serve_us <= NOW and p.promise_hash not in held | waiting)
+    expected, rolled = [], True
+    for day in sorted(days):
+        rolled = rolled and all(days[day])
+        expected.append((day, all(days[day]), len(days[day]), rolled))
+    found = QUERIES["final_days_by_every_check"](spark, FOLDER).select("day", "final", "promises", "rolled")
+    assert sorted(map(tuple, found.collect())) == expected
+    assert any(p % 20 for p in waiting)
