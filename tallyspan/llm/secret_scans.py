@@ -38,6 +38,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 DIGIT = re.compile(r"[0-9]")
 LONG = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
+#: From a letter beside a digit on, or the other way round: whatever mixes them at all, short or long.
+VALUE = re.compile(r"[^\W\d_][+/_=.\-]*\d|\d[+/_=.\-]*[^\W\d_]")
 
 TOKEN = re.compile(r"[\w+/.\-]+={0,2}|[^\s\w+/.\-]")
 NAMES = re.compile(r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth[_-]?key|client[_-]?secret)=?s?", re.IGNORECASE)
@@ -197,6 +199,7 @@ class Field:
 def windows(text: str) -> list[tuple[int, int]]:
     """Stretches around everything that is not plainly ordinary, widened to white space and joined."""
     spots = [m.span() for m in LONG.finditer(text) if mixed(m[0]) or DIGIT.search(m[0])]
+    spots += [m.span() for m in VALUE.finditer(text)]
     lower = text.lower()
     if any(h in lower for h in NAME_HINTS):
         spots += [m.span() for m in NAMED.finditer(text)]
@@ -311,6 +314,21 @@ def labelled(text: str, secrets: list[tuple[int, int]], of_file: list[str]) -> t
     return token_features([t for t, _, _ in tokens], of_file), states
 
 
+def drawn(texts: list[str], most: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Texts with passages to train on: ``most`` at most, drawn evenly over all windows and beginnings of all texts."""
+    every = [(k, span) for k, text in enumerate(texts) for span in [*windows(text), (0, min(len(text), 200))] if span[1] - span[0] < 1500]
+    found: dict[int, list[tuple[int, int]]] = {}
+    for k, span in sorted(every if len(every) <= most else random.Random(seed).sample(every, most)):
+        found.setdefault(k, []).append(span)
+    return [(texts[k], spans) for k, spans in found.items()]
+
+
+def pieced(rows: list[list[str]], states: list[int], length: int = 64) -> list[tuple[list[list[str]], list[int]]]:
+    """A sequence in pieces of ``length`` tokens; a secret that is cut begins anew."""
+    cut = [(rows[at : at + length], states[at : at + length]) for at in range(0, len(rows), length)]
+    return [(r, [1 if s[0] == 2 else s[0], *s[1:]]) for r, s in cut]
+
+
 def train(texts: list[str], most_passages: int = 700) -> Field:
     """Fits the field on generated sentences and on passages of the given texts, labelled by the base patterns."""
     sequences = []
@@ -321,15 +339,11 @@ def train(texts: list[str], most_passages: int = 700) -> Field:
                 secrets.append((len(text), len(text) + len(piece)))
             text += piece
         sequences.append(labelled(text, secrets, ["file:code"] if k % 3 == 0 else ["file:prose"]))
-    made = len(sequences)
-    for text in texts:
+    for text, chosen in drawn(texts, most_passages):
         spans = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] + [s[:2] for s in base_spans(text) if s[2] != "assign"]
-        chosen = [*windows(text)[:4], (0, min(len(text), 200))]
         of_file = page_features(text)
-        for start, end in chosen:
-            if end - start < 1500 and len(sequences) < made + most_passages:
-                sequences.append(labelled(text[start:end], [(a - start, b - start) for a, b in spans if a < end and start < b], of_file))
-    return Field.fit([(rows[:64], states[:64]) for rows, states in sequences if rows])
+        sequences += [labelled(text[start:end], [(a - start, b - start) for a, b in spans if a < end and start < b], of_file) for start, end in chosen]
+    return Field.fit([piece for rows, states in sequences for piece in pieced(rows, states)])
 
 
 def scanner(field: Field):

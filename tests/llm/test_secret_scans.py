@@ -82,3 +82,20 @@ def test_viterbi_is_the_best_path(field):
         return score[0][path[0]] + field.START[path[0]] + sum(moves[a, b] + score[k + 1][b] for k, (a, b) in enumerate(zip(path, path[1:], strict=False)))
 
     assert tuple(field.decode(rows)) == max(itertools.product(range(3), repeat=len(rows)), key=total)
+
+
+def test_passages_are_drawn_over_all_texts_and_whole():
+    texts = [f"{k} plain words. " + ("x " * 200 + "Zx81kQ02mVb77TyU3k ") * 8 for k in range(900)]
+    chosen = s.drawn(texts, 700)
+    places = [int(t.split()[0]) for t, _ in chosen]
+    assert sum(len(spans) for _, spans in chosen) == 700 and max(places) > 880 and len(places) > 350
+    assert any(a > 5 * 419 for t, spans in chosen for a, _ in spans)  # windows after the fourth
+    assert sum(len(spans) for _, spans in s.drawn(texts[:9], 700)) == 81
+    rows = [[str(k)] for k in range(150)]
+    pieces = s.pieced(rows, [0] * 60 + [1] + [2] * 89)
+    assert [r for p, _ in pieces for r in p] == rows and [len(p) for p, _ in pieces] == [64, 64, 22] and [y[0] for _, y in pieces] == [0, 1, 1] and s.pieced([], []) == []
+
+
+@pytest.mark.parametrize("text", ["pass: hunter2x9", "the pin 4d2 of", "login bob x_9"])
+def test_short_mixed_tokens_are_decoded(text):
+    assert s.windows(f"{text} and more") == [(0, len(text) + 9)]
