@@ -3,12 +3,14 @@
 Each stage is a function of (spark, docs, sf_dir); all but the last return the columns of ``documents``. Documents
 scored as toxic go, one document of each group of near copies stays (five-word shingles, similarity 0.8 or more),
 secrets are replaced in the text, sources are mixed to tempered weights (every document at least once, some again),
-and the mixture is packed into sequences of 2048 tokens.
+and the mixture is packed into sequences of 2048 tokens. These are written as the table ``sequences-...`` in the folder of
+intermediate tables; the last stage returns a row for each of their pieces, with checksums of the written token ids.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspan.llm import best_fit_packing, minhash_near_dedup, secret_scans, source_mixing, toxicity
 from tallyspan.llm.shared import table, written
@@ -33,8 +35,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return source_mixing.mix(docs, repeats=REPEATS).select(*docs.columns)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The training sequences; every row of the mixture has a key of its own, as ids repeat and may be null."""
+    keyed = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_key")), "keyed")
+    placed = best_fit_packing.pack(keyed, key_column="row_key")
+    return best_fit_packing.sequences(keyed, placed, key_column="row_key")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing.pack(docs)
+    return best_fit_packing.digests(written(packed(docs), "sequences"))
 
 
 STAGES = [

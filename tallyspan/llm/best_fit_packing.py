@@ -34,6 +34,7 @@ REMEMBERED = 400_000
 #: Pieces that one ranking group holds on average.
 GROUP_ROWS = 2_000
 
+PLACED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 
 
@@ -197,8 +198,8 @@ def place(runs: list[tuple[int, int, int, int, int, int]]) -> Callable[[Iterator
                 ahead = rank[at] - r[:, 1]
                 sequence[at] = r[:, 3] + ahead // r[:, 5]
                 offset[at] = r[:, 4] + ahead % r[:, 5] * n
-            kept = [batch.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     return run
 
@@ -210,27 +211,34 @@ def ranked(pieces: DataFrame, groups: int) -> DataFrame:
     grouped = pieces.withColumn("group", F.pmod("salt", F.lit(groups)))
     starts = grouped.groupBy("length", "group").agg(F.count(F.lit(1)).alias("n")).select("length", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     local = grouped.withColumn("place", F.row_number().over(inner) - 1)
-    return local.join(starts, ["length", "group"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("place")).alias("rank"))
+    return local.join(starts, ["length", "group"]).select("doc_id", "piece", "start", "length", "ids_crc32", "salt", (F.col("first") + F.col("place")).alias("rank"))
 
 
-def pack(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None, separator: int = SEPARATOR) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset (its place there)."""
+def pack(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None, separator: int = SEPARATOR, key_column: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset (its place there).
+
+    With ``key_column``, a unique whole number for each row of ``documents``, also that column.
+    """
     vocabulary = vocabulary or default_vocabulary()
     text: Column = F.col(text_column)
-    source = documents.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_column), F.monotonically_increasing_id()).alias("salt"))
+    salt = F.col(key_column).cast("long") if key_column else F.xxhash64(F.col(id_column), F.monotonically_increasing_id())
+    source = documents.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), salt.alias("salt"))
     pieces = written(source.mapInArrow(cut(vocabulary, window, separator), PIECES), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # window rows at most
-    if not histogram:
-        return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    groups = 1 + sum(histogram.values()) // GROUP_ROWS
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked(pieces, groups).mapInArrow(place(plan(histogram, window)), schema)
+    if histogram:
+        groups = 1 + sum(histogram.values()) // GROUP_ROWS
+        schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, sequence_id long, offset long"
+        placed = ranked(pieces, groups).mapInArrow(place(plan(histogram, window)), schema)
+    else:
+        placed = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    return placed.select(*PLACED, *([F.col("salt").alias(key_column)] if key_column else []))
 
 
-def sequences(documents: DataFrame, placed: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None, separator: int = SEPARATOR) -> DataFrame:
-    """The packed sequences themselves: sequence_id and its token ids, at most ``window`` of them.
+def sequences(documents: DataFrame, placed: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None, separator: int = SEPARATOR, key_column: str | None = None) -> DataFrame:
+    """The packed sequences themselves: sequence_id, its token ids, at most ``window`` of them, and its parts in order.
 
-    Needs unique ids in ``documents``; tokenizes again instead of shuffling ids through the planning steps.
+    Needs unique ids in ``documents``, or the ``key_column`` that ``pack`` was given; tokenizes again instead of
+    shuffling ids through the planning steps.
     """
     vocabulary = vocabulary or default_vocabulary()
     end = np.asarray([separator], "<u4").tobytes()
@@ -239,16 +247,34 @@ def sequences(documents: DataFrame, placed: DataFrame, id_column: str = "doc_id"
         known = spellings(vocabulary)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(known.ids(text) + end, "<u4")
-                rows += [(doc_id, k, ids[at : at + window].tolist()) for k, at in enumerate(range(0, len(ids), window))]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.frombuffer(known.ids(text.as_py()) + end, "<i4")
+                rows += [(key, k, ids[at : at + window]) for k, at in enumerate(range(0, len(ids), window))]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int32()))], names=["doc_id", "piece", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int32()))], names=["__key", "__piece", "ids"])
+
+    texts = documents.select(F.col(key_column or id_column).cast("long").alias("__key"), F.col(text_column).alias("text"))
+    met = (F.col("__key") == F.col(key_column or "doc_id")) & (F.col("__piece") == F.col("piece"))
+    parts = texts.mapInArrow(run, "__key long, __piece int, ids array<int>").join(placed, met)
+    in_order = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id", "piece", "start", "length"))).alias("all"))
+    ids = F.flatten(F.transform("all", lambda x: x["ids"]))
+    return in_order.select("sequence_id", ids.alias("ids"), F.transform("all", lambda x: x.dropFields("ids")).alias("parts"))
+
 
-    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    parts = texts.mapInArrow(run, "doc_id long, piece int, ids array<int>").join(placed, ["doc_id", "piece"])
-    in_order = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return parts.groupBy("sequence_id").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
+def digests(packed: DataFrame) -> DataFrame:
+    """The rows of ``pack`` from the sequences themselves, checksums of the token ids that lie there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for sequence, ids, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                raw = ids.values.to_numpy().astype("<i4").tobytes()
+                rows += [(p["doc_id"], p["piece"], p["start"], p["length"], zlib.crc32(raw[4 * p["offset"] : 4 * (p["offset"] + p["length"])]), sequence, p["offset"]) for p in parts]
+            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
+            columns = zip(*rows, strict=True) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=PLACED)
+
+    return packed.select("sequence_id", "ids", "parts").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,20 @@ def test_near_copies_keep_their_smallest_id(spark):
     text = " ".join(f"w{k}" for k in range(200))
     rows = spark.createDataFrame([(9, text), (4, text + " tail"), (7, "something else that is said in quite other words")], "doc_id long, text string")
     assert sorted(r.doc_id for r in minhash_near_dedup.keep_one(rows).collect()) == [4, 7]
+
+
+def test_sequences_hold_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, "no id"), (None, None), (2, "word " * 5000)], "doc_id long, text string")
+    own = best_fit_packing.spellings(best_fit_packing.default_vocabulary())
+    whole = written(p.packed(docs), "test-sequences")
+    made = {r.sequence_id: r.ids for r in whole.collect()}
+    expected = sorted(t for r in docs.collect() for t in memoryview(own.ids(r.text) + bytes(4)).cast("I"))
+    assert sorted(t for ids in made.values() for t in ids) == expected and max(map(len, made.values())) <= 2048
+    rows = best_fit_packing.digests(whole).collect()
+    assert sorted(r.length for r in rows if r.doc_id is None) == sorted(len(own.ids(t)) // 4 + 1 for t in ("no id", None))
+    assert sum(r.doc_id == 1 for r in rows) == 2
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id}
+    for r in rows:
+        if r.doc_id:
+            ids = own.ids(texts[r.doc_id]) + bytes(4)
+            assert zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
