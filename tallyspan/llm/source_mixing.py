@@ -24,23 +24,23 @@ from pyspark.sql import functions as F
 from tallyspan.llm.shared import table, words, written
 
 BLOCKS = 1024
-#: Most sources whose totals the driver takes.
+#: Most sources whose totals the driver takes; beyond, it takes a histogram of them.
 MOST_SOURCES = 1_000_000
 REPEATS = 2.0
 #: Up to so many sources the plan (``BLOCKS`` rows a source) is sent to every executor; beyond, it is joined by key.
 FEW_SOURCES = 100
 
 
-def tempered(totals: dict, exponent: float) -> dict:
-    """Weights proportional to total ** exponent, of the sources that have tokens."""
+def tempered(totals: dict, exponent: float, many: dict | None = None) -> dict:
+    """Weights proportional to total ** exponent, of the sources that have tokens; ``many`` sources have that total each."""
     largest = max(totals.values(), default=0)
     raw = {s: (n / largest) ** exponent for s, n in totals.items() if n}
-    whole = sum(raw.values())
+    whole = sum(v * many[s] for s, v in raw.items()) if many else sum(raw.values())
     return {s: v / whole for s, v in raw.items()}
 
 
-def entropy(weights: dict) -> float:
-    return -sum(w * math.log(w) for w in weights.values() if w)
+def entropy(weights: dict, many: dict | None = None) -> float:
+    return -sum((many[s] if many else 1) * w * math.log(w) for s, w in weights.items() if w)
 
 
 def rounds(totals: dict, weights: dict) -> dict:
@@ -49,7 +49,7 @@ def rounds(totals: dict, weights: dict) -> dict:
     return {s: max(1.0, weights[s] / totals[s] / least) if s in weights else 1.0 for s in totals}
 
 
-def bisect(totals: dict, repeats: float | None = REPEATS, target_entropy: float | None = None, steps: int = 60) -> float:
+def bisect(totals: dict, repeats: float | None = REPEATS, target_entropy: float | None = None, steps: int = 60, many: dict | None = None) -> float:
     """The exponent from 0 to 1: the smallest one within the repetition limit, or the one that meets the entropy.
 
     Repetitions and entropy both fall as the exponent rises. An entropy outside the reachable range gives the
@@ -57,9 +57,9 @@ def bisect(totals: dict, repeats: float | None = REPEATS, target_entropy: float
     """
 
     def enough(exponent: float) -> bool:
-        weights = tempered(totals, exponent)
+        weights = tempered(totals, exponent, many)
         if target_entropy is not None:
-            return entropy(weights) <= target_entropy
+            return entropy(weights, many) <= target_entropy
         return max(rounds(totals, weights).values(), default=1.0) <= repeats
 
     low, high = 0.0, 1.0
@@ -71,6 +71,13 @@ def bisect(totals: dict, repeats: float | None = REPEATS, target_entropy: float
     return high
 
 
+def budgeted(totals: dict, repeats: float | None, target_entropy: float | None, many: dict | None = None) -> dict:
+    """Each source's weight, whole rounds, and tokens of the partial round."""
+    weights = tempered(totals, bisect(totals, repeats, target_entropy, many=many), many)
+    taken = rounds(totals, weights)
+    return {s: (float(weights.get(s, 0.0)), int(taken[s]), round((taken[s] - int(taken[s])) * totals[s])) for s in totals}
+
+
 def word_tokens(text: Column) -> Column:
     """Words of a text, the token unit where no vocabulary is given."""
     return F.size(words(text)).cast("long")
@@ -93,14 +100,18 @@ def mix(documents: DataFrame, source: str = "source", text: str = "text", id_col
         "__at": fixed,
     })
     sums = written(marked.groupBy("__source", "__block").agg(F.sum("mix_tokens").alias("n")), "blocks")
-    found = sums.groupBy("__source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals = {r["__source"]: r["n"] for r in found}
-    weights = tempered(totals, bisect(totals, repeats, target_entropy))
-    taken = rounds(totals, weights)
-    budgets = [(s, float(weights.get(s, 0.0)), int(taken[s]), round((taken[s] - int(taken[s])) * totals[s])) for s in totals]
-    asked = documents.sparkSession.createDataFrame(budgets, "__source string, mix_weight double, __whole int, __rest long")
+    each_total = sums.groupBy("__source").agg(F.sum("n").alias("n"))
+    found = each_total.limit(MOST_SOURCES + 1).collect()
+    few = len(found) <= FEW_SOURCES
+    schema = "mix_weight double, __whole int, __rest long"
+    if len(found) <= MOST_SOURCES:
+        totals = {r["__source"]: r["n"] for r in found}
+        budgets = [(s, *b) for s, b in budgeted(totals, repeats, target_entropy).items()]
+        asked = documents.sparkSession.createDataFrame(budgets, f"__source string, {schema}")
+    else:  # a source's budget follows from its total: the driver takes the distinct totals alone, at most the root of twice all tokens
+        many = {r["n"]: r["m"] for r in each_total.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
+        budgets = [(n, *b) for n, b in budgeted({n: n for n in many}, repeats, target_entropy, many).items()]
+        asked = each_total.join(documents.sparkSession.createDataFrame(budgets, f"n long, {schema}"), "n").drop("n")
 
     # a permutation of each source's blocks for every round, and for the partial one the tokens of the blocks before
     order = Window.partitionBy("__source", "__round").orderBy("__draw", "__block")
@@ -118,13 +129,13 @@ def mix(documents: DataFrame, source: str = "source", text: str = "text", id_col
     # the block in which a budget ends gives its documents in hashed order while they fit
     ends = blocks.where("__before < __rest and __before + __n > __rest").select("__source", "__block", "__before", "__rest")
     running = Window.partitionBy("__source", "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spent = marked.select("__source", "__block", "__at", "mix_tokens").join(F.broadcast(ends) if len(totals) <= FEW_SOURCES else ends, ["__source", "__block"])
+    spent = marked.select("__source", "__block", "__at", "mix_tokens").join(F.broadcast(ends) if few else ends, ["__source", "__block"])
     spent = spent.groupBy("__source", "__block", "__at", "__before", "__rest").agg(F.sum("mix_tokens").alias("t"))
     spent = spent.where((F.col("__before") + F.col("t")) <= F.col("__rest")).withColumn("__sum", F.col("__before") + F.sum("t").over(running))
     limits = spent.where("__sum <= __rest").groupBy("__source", "__block").agg(F.max("__at").alias("__to"))
 
     plan = blocks.join(limits, ["__source", "__block"], "left")
-    joined = marked.join(F.broadcast(plan) if len(totals) <= FEW_SOURCES else plan, ["__source", "__block"])
+    joined = marked.join(F.broadcast(plan) if few else plan, ["__source", "__block"])
     whole_block = (F.col("__rest") > 0) & (F.col("__before") + F.col("__n") <= F.col("__rest"))
     extra = F.when(F.coalesce(whole_block | (F.col("__at") <= F.col("__to")), F.lit(False)), 1).otherwise(0)
     taken_at = F.posexplode(F.slice("__places", F.lit(1), F.col("__whole") + extra)).alias("mix_round", "mix_place")

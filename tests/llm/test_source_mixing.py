@@ -64,3 +64,13 @@ def test_plan_by_key_equals_plan_by_broadcast(spark, monkeypatch):
     monkeypatch.setattr(m, "FEW_SOURCES", 0)
     two = m.mix(documents).select("doc_id", "mix_round", "mix_place")
     assert one.exceptAll(two).count() == 0 and one.count() == two.count()
+
+
+@pytest.mark.parametrize("wanted", [{"repeats": 1.6}, {"repeats": None, "target_entropy": 3.0}])
+def test_any_number_of_sources(spark, monkeypatch, wanted):
+    documents = table(spark, SF, "documents").withColumn("source", m.F.concat("source", (m.F.col("doc_id") % 9).cast("string")))
+    columns = ["doc_id", "mix_round", "mix_place", m.F.round("mix_weight", 9)]
+    one = m.mix(documents, **wanted).select(*columns).collect()
+    monkeypatch.setattr(m, "MOST_SOURCES", 3)
+    two = m.mix(documents, **wanted).select(*columns).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and len(one) >= documents.count()
