@@ -56,7 +56,8 @@ class Spellings(dict):
 
     The vocabulary never joins tokens over white space, so a text's ids are its words' ids in order. Words of
     plain Latin letters, digits and signs are cut by the vocabulary's own pattern here and go straight to its
-    merge table; any other word goes through the whole tokenizer.
+    merge table; any other word, and one that holds an added token such as ``<|endoftext|>``, goes through the whole
+    tokenizer.
     """
 
     # Fixed value: the vocabulary's splitting pattern, over lower-cased ASCII and Latin-1 letters.
@@ -69,7 +70,8 @@ class Spellings(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        # tokens that are looked for in the text before anything else is done to it
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.older: dict[str, bytes] = {}
@@ -82,6 +84,8 @@ class Spellings(dict):
         return struct.pack(f"<{len(t := self.model.tokenize(spelled))}I", *[x.id for x in t])
 
     def spelled(self, word: str) -> bytes:
+        if any(token in word for token in self.added):
+            return self.whole(word)
         if word.isascii() and word.isalpha() and word.islower():
             return self.part(word)
         if not self.PLAIN.fullmatch(word):

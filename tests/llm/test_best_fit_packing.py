@@ -14,14 +14,45 @@ def test_spellings_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     own, whole = b.Spellings(b.default_vocabulary()), Tokenizer.from_file(b.default_vocabulary())
-    whole.encode_special_tokens = True
     draw = random.Random(5)
-    letters = [chr(c) for c in range(9, 0x250)] + [*"Σςİıﬁ東京́‍🙂"] + [*"abcdeABC .,!'"] * 20 + ["'s", "'LL", "<|endoftext|>"]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>"]
+    letters = [chr(c) for c in range(9, 0x250)] + [*"Σςİıﬁ東京́‍🙂"] + [*"abcdeABC .,!'"] * 20 + ["'s", "'LL"] + special * 4
     for _ in range(1500):
         text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 50)))
         assert own.ids(text) == np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_special_tokens_are_single_ids():
+    own = b.Spellings(b.default_vocabulary())
+    assert np.frombuffer(own.ids("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
+    assert 49406 in np.frombuffer(own.ids("x<|startoftext|>y"), "<u4")
+
+
+def test_rows_equal_the_untouched_tokenizer(spark):
+    """Every column but the place, row for row, and as few sequences as item-by-item best fit makes."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(b.default_vocabulary())
+    texts = {k: t for k, t in enumerate([None, "", "<|endoftext|>", "a<|endoftext|>b <|startoftext|>", "word " * 5000, "x" * 9000, *(f"w{k} <|endoftext|> " * k for k in range(60))])}
+    expected, lengths = set(), []
+    for k, text in texts.items():
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, 0]
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            lengths.append(len(part))
+            expected.add((k, piece, at, len(part), zlib.crc32(np.asarray(part, "<u4").tobytes())))
+    rows = b.pack(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == expected and len(rows) == len(expected)
+    free = []
+    for length in sorted(lengths, reverse=True):
+        fits = [k for k, f in enumerate(free) if f >= length]
+        if fits:
+            free[min(fits, key=lambda k: free[k])] -= length
+        else:
+            free.append(2048 - length)
+    assert len({r.sequence_id for r in rows}) == len(free)
+
+
 def bins_of(runs):
     bins = {}
     for length, _, count, first, offset, each in runs:
