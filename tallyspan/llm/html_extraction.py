@@ -1,23 +1,32 @@
 """HTML extraction: parser events to blocks, text-to-tag ratios, Gaussian smoothing, threshold, content region.
 
-One pass of the standard library's streaming parser turns a page into blocks (the lines of the method), each
-with its text, the tags met since the block before and the elements around it. Ratios of text to tags are
-smoothed along the page; blocks above the mean form the content clusters. The element that holds the clusters'
-text is the content region, and every block of it counts, short ones too, but for page furniture inside. Articles that
-hold clusters and those beside them are one region; on pages without articles the blocks around the region count
-too, unless they are links. A class, id or role marks furniture only as a whole value, and only on elements that hold
-a minor part of the clusters' text.
+1. One pass of the standard library's streaming parser turns a page into blocks (the lines of the method), each with its
+   text, the tags met since the block before and the element it ends in.
+2. Ratios of text to tags are smoothed along the page by a Gaussian, so that a short line takes part in what stands
+   around it. The threshold that parts the logarithms of the levels best (largest variance between both sides) makes two
+   clusters, if their means are ``APART`` apart; else all blocks are one.
+3. The lowest element that holds nine tenths of the upper clusters' text is the content region. Its blocks count, short
+   ones too; where it is the whole page, those from the first to the last clustered one. Outside it count clustered
+   blocks that are not mostly links, and headings right before what counts. Where articles or mains hold half of the
+   clusters' text, those with a block above the page's mean level and those beside them are the region.
+
+Names of elements and whole class, id or role values only take out furniture. A mark takes out no element that holds
+an outermost article or half of the clusters' text. A header inside an article is the article's own.
 
 Defined results: null, empty and text-less pages give the empty string; unclosed and misnested markup is read as
-the parser reads it; repeated rows are extracted alike; pages of any length are read whole; an empty table gives
-an empty result; extra columns are not carried along.
+the parser reads it, a marked section (``<![...``) as a comment up to the next ``>``,
+what follows the last ``>`` as text; if the parser refuses markup all
+the same, the page ends there; repeated rows are extracted alike; pages of any length are read whole, in time and
+memory that grow with their length, whatever the nesting; an empty table gives an empty result; extra columns are not
+carried along.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,6 +45,8 @@ FORMS = set("form fieldset".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 REGIONS = set("article main".split())
+#: Least distance of the clusters' mean levels, in natural logarithms.
+APART = 2.0
 #: Words that mark page furniture. A class, id or role value counts as a whole: each part of it between '-' and '_' is one of
 #: these words, one of ALONG or a number, so that "no-sidebar", "layout-sidebar-right" and "related-work" are no marks.
 OTHERS = r"comments?|commentlist|replies|respond|disqus|related|recommend\w*|promo\w*"
@@ -57,15 +68,20 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Element:
     name: str
-    number: int
+    parent: Element | None
     out: bool  # furniture or silent, by itself or by an element around it
-    region: int = 0  # number of the nearest article or main around it, 0 for none
-    marked: tuple[int, ...] = ()  # numbers of the marked elements that it is or lies in
+    region: Element | None = None  # the outermost article or main around it, or itself
+    mark: Element | None = None  # the nearest marked element around it, or itself
+    says_beside: bool = False  # whether its own mark is one of texts beside the page's own
+    beside: bool = False  # whether it is or lies in such an element
     link: bool = False  # whether it is or lies in a link
     heading: bool = False
+    holder: bool = False  # of a marked element: whether an outermost article or main lies in it
+    weight: int = 0  # text of clusters in it
+    inside: bool = False  # whether it is or lies in the content region
 
 
 def marks(value: str, words: re.Pattern[str] = MARKS) -> bool:
@@ -79,36 +95,34 @@ def marks(value: str, words: re.Pattern[str] = MARKS) -> bool:
     return False
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Block:
     text: str
     tags: int
-    path: tuple[int, ...]
-    out: bool
-    region: int
-    marked: tuple[int, ...] = ()
+    at: Element
     links: bool = False  # mostly links, and no heading
+    out: bool = False
 
 
-@dataclass
 class Blocks(HTMLParser):
-    """Collects the blocks of a page in order."""
+    """Collects the blocks and elements of a page in order."""
 
-    found: list[Block] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open = [Element("", 0, False)]
-        self.count, self.tags, self.parts, self.linked = 0, 0, [], 0
-        self.beside: dict[int, bool] = {}  # marked elements: whether the mark is one of texts beside the page's own
-        self.holders: set[int] = set()  # marked elements that an outermost article or main lies in
+        self.found: list[Block] = []
+        self.every = [Element("", None, False)]  # elements around others come before them
+        self.open = [self.every[0]]
+        self.places: dict[str, list[int]] = {}  # where in ``open`` elements of a name are
+        self.barriers = [0]  # where in ``open`` elements are that others are not closed past
+        self.tags, self.parts, self.linked = 0, [], 0
+        self.unclosed = False  # whether a comment without an end was met: none further on has one
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         linked, self.parts, self.linked = self.linked, [], 0
         if text:
             top = self.open[-1]
-            self.found.append(Block(text, self.tags, tuple(e.number for e in self.open), top.out, top.region, top.marked, linked * 2 > len(text) and not top.heading))
+            self.found.append(Block(text, self.tags, top, linked * 2 > len(text) and not top.heading, top.out))
             self.tags = 0
 
     def handle_starttag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -125,30 +139,33 @@ class Blocks(HTMLParser):
             self.close_to(name, within=True)
         top = self.open[-1]
         given = dict(attrs)
-        out = top.out or name in SILENT or name in FURNITURE or "hidden" in given or given.get("aria-hidden") == "true" or bool(HIDDEN.search(given.get("style") or ""))
-        self.count += 1
-        # an article inside an article's content belongs to the outer one
-        region = top.region or (self.count if name in REGIONS and not out else 0)
-        marked = top.marked
+        furniture = name in FURNITURE and not (name == "header" and top.region)
+        out = top.out or name in SILENT or furniture or "hidden" in given or given.get("aria-hidden") == "true" or bool(HIDDEN.search(given.get("style") or ""))
+        new = Element(name, top, out, top.region, top.mark, False, top.beside, top.link or (name == "a" and "href" in given), top.heading or name in HEADINGS)
         if not out and name not in ("html", "body"):
-            beside = self.mark(name, given, top.region)
+            beside = self.mark(name, given, top.region is not None)
             if beside is not None:
-                self.beside[self.count] = beside
-                marked = (*marked, self.count)
-            if region == self.count and not any(self.beside[m] for m in marked):
-                self.holders.update(marked)
-        if out != top.out or marked != top.marked:
+                new.mark, new.says_beside, new.beside = new, beside, new.beside or beside
+            if name in REGIONS and not top.region:  # an article inside an article's content belongs to the outer one
+                new.region = new
+                if new.mark and not new.beside:
+                    new.mark.holder = True
+        if out != top.out or new.mark is not top.mark:
             self.end_block()
-        self.open.append(Element(name, self.count, out, region, marked, top.link or (name == "a" and "href" in given), top.heading or name in HEADINGS))
+        if name in BLOCKS:
+            self.barriers.append(len(self.open))
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append(new)
+        self.every.append(new)
 
-    def mark(self, name: str, given: dict[str, str | None], region: int) -> bool | None:
+    def mark(self, name: str, given: dict[str, str | None], in_region: bool) -> bool | None:
         """None for no mark, else whether it is one of texts beside the page's own."""
         said = " ".join(given.get(k) or "" for k in ("class", "role"))
         own = given.get("id") or ""
         if name in REGIONS:
             return True if marks(f"{said} {own}", BESIDE_REGION) else None
         if name in HEADINGS or name == "section":  # their ids are anchors of the text; outside articles a section of comments has one too
-            own = own if name == "section" and not region and marks(own, BESIDE) else ""
+            own = own if name == "section" and not in_region and marks(own, BESIDE) else ""
         said = f"{said} {own}"
         return marks(said, BESIDE) if name in FORMS or marks(said) else None
 
@@ -159,15 +176,18 @@ class Blocks(HTMLParser):
 
     def close_to(self, name: str, within: bool = False) -> None:
         """Closes the innermost open element of the name; with ``within`` not past another kind of container."""
-        for k in range(len(self.open) - 1, 0, -1):
-            here = self.open[k].name
-            if here == name:
-                if name in BLOCKS or self.open[k].out != self.open[k - 1].out or self.open[k].marked != self.open[k - 1].marked:
-                    self.end_block()
-                del self.open[k:]
-                return
-            if within and (here in BLOCKS or here in ("ul", "ol", "table")):
-                return
+        places = self.places.get(name)
+        if not places or (within and places[-1] < self.barriers[-1]):
+            return
+        k = places[-1]
+        here, below = self.open[k], self.open[k - 1]
+        if name in BLOCKS or here.out != below.out or here.mark is not below.mark:
+            self.end_block()
+        for gone in self.open[k:]:
+            self.places[gone.name].pop()
+        del self.open[k:]
+        while self.barriers[-1] >= k:
+            self.barriers.pop()
 
     def handle_endtag(self, name: str) -> None:
         self.tags += 1
@@ -182,6 +202,15 @@ class Blocks(HTMLParser):
             if self.open[-1].link:
                 self.linked += len(" ".join(data.split()))
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A comment up to the next ``>``, whatever it says; the parser's own version refuses unknown words."""
+        return self.rawdata.find(">", i) + 1 or -1
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        at = -1 if self.unclosed else super().parse_comment(i, report)
+        self.unclosed |= at < 0
+        return at
+
 
 def smoothed(ratio: np.ndarray, radius: int = 2) -> np.ndarray:
     """Convolution with a Gaussian of standard deviation ``radius / 2``; the ends are repeated."""
@@ -190,81 +219,119 @@ def smoothed(ratio: np.ndarray, radius: int = 2) -> np.ndarray:
     return np.convolve(np.pad(ratio, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def clusters(blocks: list[Block]) -> list[Block]:
-    """The usable blocks whose smoothed ratio of text to tags is above the page's mean, or all usable ones."""
+def threshold(levels: np.ndarray) -> float:
+    """The least level of the upper of two clusters, or of all if they are not ``APART``."""
+    order = np.sort(levels)
+    n = len(order)
+    sums = np.cumsum(order)
+    below = np.arange(1, n)
+    low, high = sums[:-1] / below, (sums[-1] - sums[:-1]) / (n - below)
+    between = below * (n - below) * (high - low) ** 2
+    between[order[1:] == order[:-1]] = -1  # equal levels stay together
+    if n < 2 or between.max() <= 0:
+        return float(order[0])
+    k = int(between.argmax())
+    return float(order[k + 1] if high[k] - low[k] >= APART else order[0])
+
+
+def clusters(blocks: list[Block]) -> tuple[list[Block], list[Block]]:
+    """The usable blocks whose smoothed ratio of text to tags is in the upper cluster, and those above the page's mean."""
     ratio = np.asarray([len(b.text) / max(1, b.tags) if not b.out else 0.0 for b in blocks])
-    level = smoothed(ratio)
-    return [b for b, r in zip(blocks, level, strict=True) if not b.out and r >= level.mean()] or [b for b in blocks if not b.out]
+    usable = np.asarray([not b.out for b in blocks])
+    levels = smoothed(ratio)
+    least, mean = np.expm1(threshold(np.log1p(levels[usable]))) * (1 - 1e-9), levels.mean()
+    upper = [(b, level) for b, level in zip(blocks, levels, strict=True) if not b.out and level >= least]
+    return [b for b, _ in upper], [b for b, level in upper if level >= mean]
 
 
-def without_marked(blocks: list[Block], beside: dict[int, bool], holders: set[int]) -> list[Block]:
-    """The blocks, with those of marked elements out.
+def take_out_marked(page: Blocks) -> None:
+    """Marks the blocks of furniture by class, id or role as out.
 
     A marked element that holds an outermost article or main, or half of the clusters' text of the article or page that it
     lies in, is no furniture. Texts beside the page's own, such as comments, may be longer than it: they go where an
     article or main has a block outside them at least half as long as theirs are on average.
     """
-    if not beside or all(b.out for b in blocks):
-        return blocks
-    chosen = clusters(blocks)
-    around: dict[int, int] = {}  # text by article, 0 for the whole page
-    inside: dict[int, int] = {}  # text by marked element
-    within: dict[int, int] = {}  # the article that a marked element lies in
-    for b in blocks:
-        for m in b.marked:
-            within[m] = b.region if b.region in b.path and b.path.index(b.region) < b.path.index(m) else 0
-    for b in chosen:
-        for r in {0, b.region}:
+    marked = [e for e in page.every if e.mark is e]
+    usable = [b for b in page.found if not b.out]
+    if not marked or not usable:
+        return
+    around: dict[Element | None, int] = {}  # text by article, None for the whole page
+    for b in clusters(page.found)[0]:
+        for r in {None, b.at.region}:
             around[r] = around.get(r, 0) + len(b.text)
-        for m in b.marked:
-            inside[m] = inside.get(m, 0) + len(b.text)
-    others = [len(b.text) for b in blocks if not b.out and any(beside[m] for m in b.marked)]
-    own = max((len(b.text) for b in blocks if not b.out and b.region and not any(beside[m] for m in b.marked)), default=0) * len(others) * 2 >= sum(others)
-    out = {m for m in within if (beside[m] and own) or (m not in holders and inside.get(m, 0) * 2 < max(1, around.get(within[m], 0)))}
-    left = [replace(b, out=True) if not b.out and not out.isdisjoint(b.marked) else b for b in blocks]
-    return blocks if all(b.out for b in left) else left
-
-
-def above(block: Block) -> int:
-    """Number of the element that the block's article or main lies in."""
-    return block.path[block.path.index(block.region) - 1]
-
-
-def content(blocks: list[Block]) -> list[Block]:
+        if b.at.mark:
+            b.at.mark.weight += len(b.text)
+    for e in reversed(marked):
+        if e.parent.mark:
+            e.parent.mark.weight += e.weight
+            e.parent.mark.holder |= e.holder
+    others = [len(b.text) for b in usable if b.at.beside]
+    own = max((len(b.text) for b in usable if b.at.region and not b.at.beside), default=0) * len(others) * 2 >= sum(others)
+    out: set[Element] = set()
+    for e in marked:
+        minor = not e.holder and e.weight * 2 < max(1, around.get(e.parent.region, 0))
+        if e.parent.mark in out or (e.says_beside and own) or minor:
+            out.add(e)
+    gone = [b for b in usable if b.at.mark in out]
+    if len(gone) < len(usable):
+        for b in gone:
+            b.out = True
+    for e in marked:
+        e.weight = 0
+
+
+def content(page: Blocks) -> list[Block]:
     """The blocks of the region that the content clusters lie in."""
-    usable = [b for b in blocks if not b.out]
+    usable = [b for b in page.found if not b.out]
     if not usable:
         return []
-    chosen = clusters(blocks)
+    chosen, heavy = clusters(page.found)
     total = sum(len(b.text) for b in chosen)
-    # every article with clusters, and those beside it, are parts of one content
-    held = [b for b in chosen if b.region]
-    if held and sum(len(b.text) for b in held) * 2 >= total:
-        around = {above(b) for b in held}
-        return [b for b in usable if b.region and above(b) in around]
-    # no article: go down from the root while one element holds nine tenths of the clusters' text; beside it, menus go
-    at, depth, inside = 0, 0, chosen
-    while True:
-        below: dict[int, int] = {}
-        for b in inside:
-            if len(b.path) > depth + 2:  # an element that holds blocks of its own, not the block's own element
-                below[b.path[depth + 1]] = below.get(b.path[depth + 1], 0) + len(b.text)
-        best = max(below, key=lambda k: (below[k], -k), default=None)
-        if best is None or below[best] * 10 < total * 9:
-            return [b for b in usable if not b.links or (len(b.path) > depth and b.path[depth] == at)]
-        at, depth = best, depth + 1
-        inside = [b for b in inside if len(b.path) > depth and b.path[depth] == at]
+    # every article with a heavy block, and those beside it, are parts of one content
+    held = [b for b in chosen if b.at.region]
+    around = {b.at.region.parent for b in heavy if b.at.region}
+    if around and sum(len(b.text) for b in held) * 2 >= total:
+        return [b for b in usable if b.at.region and b.at.region.parent in around]
+    for b in chosen:  # the element that a block ends in is the block's own
+        (b.at.parent or b.at).weight += len(b.text)
+    for e in reversed(page.every[1:]):
+        e.parent.weight += e.weight
+    region = page.every[0]
+    for e in page.every:  # elements that hold so much lie in one another
+        if e.weight * 10 >= total * 9:
+            region = e
+    for e in page.every:
+        e.inside = e is region or (e.parent is not None and e.parent.inside)
+    counted = set(chosen)
+    if region.name in ("", "html", "body"):
+        ends = [k for k, b in enumerate(usable) if b in counted]
+        inner = {b for b in usable[ends[0] : ends[-1] + 1] if b.at.inside}
+    else:
+        inner = {b for b in usable if b.at.inside}
+    taken, after = [], False
+    for b in reversed(usable):
+        takes = b in inner or (not b.links and (b in counted or (b.at.heading and after)))
+        if takes:
+            taken.append(b)
+        after = takes or (after and b.links)
+    return taken[::-1]
 
 
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.end_block()
-    return "\n\n".join(b.text for b in content(without_marked(parser.found, parser.beside, parser.holders)))
+    page = Blocks()
+    last = html.rfind(">") + 1  # no tag ends behind it, and the parser would look for an end again and again
+    try:
+        page.feed(html[:last])
+        page.close()
+        page.handle_data(unescape(html[last:]))
+    except AssertionError:  # how the parser refuses markup that it cannot make anything of
+        pass
+    page.end_block()
+    take_out_marked(page)
+    return "\n\n".join(b.text for b in content(page))
 
 
 def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,6 +54,56 @@ def test_nothing_beside_the_heaviest_part_is_lost(html, text):
     assert h.main_text(html) == "\n\n".join(t.strip() for t in text)
 
 
+PLAIN = "".join(f"<div><span>{w}</span></div>" for w in ("Home", "News", "Sport", "Weather", "Contact", "Imprint"))
+
+
+#: Pages without article or main, and without any mark or furniture element: only the clusters can tell.
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<body><div>{PLAIN}</div><div><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>{LONG}</p></div><div>{PLAIN}</div></body>", ["Title", LONG, "Short.", LONG, LONG]),
+    (f"<body>{PLAIN}<p>{LONG}</p><p>Mid</p><p>{LONG}</p><p>{LONG}</p>{PLAIN}</body>", [LONG, "Mid", LONG, LONG]),
+    (f"<table><tr><td>{PLAIN}</td><td><div><h2>Head</h2>{LONG}<br>{LONG}<p>{LONG}</p></div></td><td>{PLAIN}</td></tr></table>", ["Head", f"{LONG.strip()} {LONG}", LONG]),
+])
+def test_clusters_decide(html, text, monkeypatch):
+    kept = h.main_text(html)
+    assert all(t.strip() in kept for t in text) and "Weather" not in kept and "Sport" not in kept
+    monkeypatch.setattr(h, "smoothed", lambda ratio: ratio * 0)  # without the levels nothing tells them apart
+    assert "Weather" in h.main_text(html)
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<body><form action='/'>{NAV}<article><h1>T</h1><p>{LONG}</p></article></form></body>", f"T\n\n{LONG.strip()}"),
+    (f"<body>{NAV}<div class='social-policy'><article><h1>T</h1><p>{LONG}</p></article></div></body>", f"T\n\n{LONG.strip()}"),
+    (f"<body><header><h1>Site</h1></header><article><header><h1>T</h1></header><p>{LONG}</p><footer>x</footer></article></body>", f"T\n\n{LONG.strip()}"),
+    (f"<article><p>{LONG}</p><![foo bar]><p>Tail</p><![CDATA[x]]><!foo><?php x ?></article>", f"{LONG.strip()}\n\nTail"),
+    ("<![foo bar]>", ""), ("<![endif]", "<![endif]"), ("a<b &amp; c", "a<b & c"), ("</", "</"), ("&#xffffffff;&#0;", "\ufffd\ufffd"),
+])
+def test_odd_pages(html, text):
+    assert h.main_text(html) == text
+
+
+def test_malformed_markup_never_raises():
+    import random
+
+    draw = random.Random(11)
+    parts = ["<", ">", "<!", "<![", "]]>", "]>", "<!--", "-->", "--!>", "</", "/>", "<?", "<div", "<p>", "</p>", "<a href='", '"', "'", "=", "&", "&#", "&#x41", ";", "<script>", "</script", "<style>", "<title>", "<table>", "<td>", "<li>", "<article>", "</article>", "<![CDATA[", "<!DOCTYPE", " ", "\n", "text", "\x00", "é", "<br/>", "<plaintext>", "<textarea>", "<svg>"]
+    for _ in range(4000):
+        html = "".join(draw.choice(parts) for _ in range(draw.randint(0, 25)))
+        assert isinstance(h.main_text(html), str), html
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<b>x", "<div class=ad>x", "<article>x", "<p><b>", "<b><p>x", "</x>", "<b></i>", "<li><b>", "<form>x", "<table><td>x", "<div hidden>x", "<", "<a ", "&", "<!", "<![", "<![x]>", "<br>x", "x<p>", "<!-- >", "<!--", "<a '>", "<script></"])
+def test_long_and_deep_pages_take_linear_time(part):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        h.main_text(part * n)
+        return time.process_time() - began
+
+    took(100)
+    assert took(20_000) < 16 * max(took(5_000), 0.05)
+
+
 def test_whole_values_are_marks():
     assert all(map(h.marks, ("ad", "x top-menu", "cookie-notice", "advert-box", "ad-300x250", "skip-to-content", "footer_widgets", "navigation", "sidebar-content", "related-posts")))
     assert not any(map(h.marks, ("", "no-sidebar", "has-sidebar", "layout-sidebar-right", "related-work", "social-effects", "content-sidebar", "search-results", "adobe", "shared", "--")))
