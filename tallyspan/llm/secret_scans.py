@@ -3,11 +3,13 @@
 The field tags tokens as outside (O), begin (B) or inside (I) of a secret from the token's shape, the words around it
 and features of the whole text; Viterbi decodes it. It is trained here, on sentences generated from publicly documented
 shapes of secrets and of harmless look-alikes, and on passages of at most ``SAMPLE_ROWS`` documents in which the base
-patterns give the labels.
+patterns give the labels. At most ``PASSAGES`` passages of at most ``PASSAGE_TOKENS`` tokens and ``PASSAGE_CHARS`` characters
+are taken with something that mixes letters and digits, and as many without, drawn evenly over all passages of these documents.
 
-The field is a constrained one: a token that is neither part of a long run with digits or mixed letters nor near a
-word such as "password" can only be O. So a text falls apart into windows around the other tokens, and
-decoding these one by one is decoding the whole text under that constraint.
+Every token of every text is scored. What a token's score takes from the token itself is worked out once a spelling; what it
+takes from its neighbours and its text is added for a whole stretch at once. Where O is ahead by more than any change of
+transitions could make up for, every best path is at O (``Field.slack``), so the path is looked for between such tokens alone
+and is the one of the whole text.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive; repeated rows are scanned
 alike; texts of any length are read whole; an empty table gives an empty result; extra columns are not carried along.
@@ -19,35 +21,42 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspan.llm.shared import sampled, table
+from tallyspan.llm.shared import sampled_ids, table
 
+#: Bounds of what the field is trained on.
 SAMPLE_ROWS = 1000
+PASSAGES = 400
+PASSAGE_TOKENS = 64
+PASSAGE_CHARS = 2000
+#: Spellings that a Python worker remembers, and characters that are tokenized at a time.
+REMEMBERED, REMEMBERED_CHARS = 60_000, 4_000_000
+STRETCH = 250_000
 KINDS = ("assign", "access", "hex", "crf")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-DIGIT = re.compile(r"[0-9]")
 LONG = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
-#: From a letter beside a digit on, or the other way round: whatever mixes them at all, short or long.
-VALUE = re.compile(r"[^\W\d_][+/_=.\-]*\d|\d[+/_=.\-]*[^\W\d_]")
 
+GAP = re.compile(r"\s")
 TOKEN = re.compile(r"[\w+/.\-]+={0,2}|[^\s\w+/.\-]")
 NAMES = re.compile(r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth[_-]?key|client[_-]?secret)=?s?", re.IGNORECASE)
-NAMED = re.compile(r"passw|passphr|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth[_-]?key|://[^\s/:@]+:[^\s/@]+@", re.IGNORECASE)
-NAME_HINTS = ("passw", "passp", "pwd", "secret", "token", "key", "credential", "bearer", "://")
+#: Names as whole tokens only: they are parts of many other words.
+SHORT_NAMES = re.compile(r"(?:pass|pin|login|key)=?", re.IGNORECASE)
 # Publicly documented beginnings of issued keys.
 PREFIXES = ("ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "sk-", "xoxb-", "xoxp-", "xoxa-", "AKIA", "ASIA", "AIza", "ya29.", "eyJ", "SG.", "npm_", "pypi-", "dop_v1_", "hf_")
-MARGIN = 96
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -80,40 +89,98 @@ def mixed(token: str) -> bool:
     return bool(digits and letters) or inner >= 3
 
 
-def page_features(text: str) -> list[str]:
-    """Features of the whole text: whether it looks like code or settings."""
-    signs = sum(text.count(c) for c in "={};")
-    return ["file:code"] if signs * 50 > len(text) else ["file:prose"]
+def file_features(text: str) -> list[str]:
+    """Features of the whole text, in steps: signs of code, digits, length of lines, assignments, addresses, key material."""
+    size = max(1, len(text))
+    lines = text.count("\n") + 1
+
+    def step(count: int, per: int) -> int:
+        """0 for none, 1 while they are rarer than four in ``per`` characters, then a step for each fourfold density, 4 at most."""
+        return next((k for k in (1, 2, 3) if count * per < size * 4**k), 4) if count else 0
+
+    return [
+        f"file:signs:{step(sum(text.count(c) for c in '={};'), 200)}", f"file:assignments:{step(text.count('=') + text.count(': '), 200)}",
+        f"file:lines:{min(4, int(np.log2(size / lines) / 2))}", f"file:digits:{step(sum(text.count(c) for c in '0123456789'), 100)}",
+        f"file:links:{min(2, text.count('://'))}", f"file:armour:{'-----BEGIN' in text}",
+    ]
+
+
+@dataclass(frozen=True, slots=True)
+class Alone:
+    """What is known of a token by itself."""
+
+    features: tuple[str, ...]
+    name: bool
+    mixed: bool  # long, with digits among letters or capitals inside
+    value: bool  # may be a password
+    assigns: bool  # after it comes a value
+    leads: bool  # right after it comes a value
+    at: bool
+    colon: bool
+    slashes: bool
+    before: str  # how it is seen by the token after it
+    after: str  # how it is seen by the token before it
+
+
+def named_by(t: str) -> bool:
+    """Whether a token is a name that secrets are given under, or a longer word with one in it."""
+    found = NAMES.search(t)
+    return bool(found and (len(t) < 28 or NAMES.fullmatch(t.strip("=._-")))) or bool(SHORT_NAMES.fullmatch(t))
+
+
+@cache
+def word_alone(length: int, variety: int, name: bool, leads: bool) -> Alone:
+    """What is known of a short token of letters alone; few such are told apart."""
+    row = ("bias", f"len:{length}", "shape:word", f"variety:{variety}", f"name:{name}", "kind:letters", "mixed:False", "value:False")
+    return Alone(row, name, False, False, False, leads, False, False, False, "word", "word")
+
+
+def alone(t: str) -> Alone:
+    n = len(t)
+    if n < 12 and t.isalpha():
+        return word_alone(n // 4, len(set(t)) // 4, named_by(t), n < 7 and t.lower() in ("is", "bearer"))
+    core = t.strip("._-=/")
+    n, several = len(core), len(set(core))
+    digits, letters = sum(map(str.isdigit, core)), sum(map(str.isalpha, core))
+    name = not digits and named_by(t)
+    is_mixed = n >= 16 and mixed(core)
+    value = bool(n >= 6 and digits and letters)
+    row = [
+        "bias", f"len:{min(n, 40) // 4}", "shape:word" if n < 12 and letters == n else f"shape:{shape(core)}" if n < 12 else "shape:long", f"variety:{min(several, 24) // 4}", f"name:{name}",
+        f"kind:{'digits' if digits == n else 'letters' if letters == n else 'both' if digits and letters else 'signs'}", f"mixed:{is_mixed}", f"value:{value}",
+    ]
+    row += ["hexadecimal"] if n >= 16 and digits and letters and all(c in "0123456789abcdefABCDEF" for c in core) else []
+    row += ["issued"] if n >= 10 and core.startswith(PREFIXES) and mixed(core) else []
+    row += ["dotted"] if "." in core and not digits else []
+    row += ["card"] if digits == n and 12 <= n <= 19 else []
+    word = len(t) > 2 or t.isalnum()
+    return Alone(tuple(row), name, is_mixed, value, t in ":=" or t.endswith("="), t.lower() in ("is", "bearer"), t == "@", t == ":", t.startswith("//"), "word" if word else t, "word" if word else t)
+
+
+def around(named: bool, assigned: bool, value: bool, address: bool, in_url: bool, login: bool) -> list[str]:
+    """Features of a token's neighbourhood."""
+    row = [f"named:{named}", f"named+assigned:{named and assigned}", f"value+named+assigned:{value and named and assigned}"]
+    return [*row, *(["address"] if address else []), *(["in url"] if in_url else []), *(["login"] if login else [])]
+
+
+def kind_of(mixed: bool, value: bool, named: bool) -> str:
+    """Which tokens share the weights of a feature of the text."""
+    return "mixed" if mixed else "value" if value else "named" if named else "other"
 
 
 def token_features(tokens: list[str], of_file: list[str]) -> list[list[str]]:
-    names = [bool(NAMES.fullmatch(t.strip("=._-"))) or bool(NAMES.search(t)) and len(t) < 28 and not any(c.isdigit() for c in t) for t in tokens]
+    """The features of every token of a text, one by one; ``Scorer`` gives their weights all at once."""
+    known = [alone(t) for t in tokens]
     rows = []
-    for i, t in enumerate(tokens):
-        core = t.strip("._-=/")
-        before = tokens[max(0, i - 4) : i]
-        named = any(names[max(0, i - 4) : i])
-        assigned = any(b in ":=" or b.endswith("=") for b in before[-3:]) or any(b.lower() in ("is", "bearer") for b in before[-1:])
-        n, several = len(core), len(set(core))
-        digits, letters = sum(c.isdigit() for c in core), sum(c.isalpha() for c in core)
-        row = [
-            "bias", f"len:{min(n, 40) // 4}", f"shape:{shape(core)}" if n < 12 else "shape:long",
-            f"variety:{min(several, 24) // 4}", f"prev:{before[-1].lower() if before and not before[-1].isalnum() else 'word'}",
-            f"next:{tokens[i + 1] if i + 1 < len(tokens) and not tokens[i + 1].isalnum() else 'word'}",
-            f"named:{named}", f"named+assigned:{named and assigned}", f"name:{names[i]}",
-            f"kind:{'digits' if digits == n else 'letters' if letters == n else 'both' if digits and letters else 'signs'}",
-        ]
-        is_mixed = mixed(core) and n >= 16
-        value = n >= 6 and (digits and letters) and not names[i]
-        row += [f"mixed:{is_mixed}", f"value:{bool(value)}", f"value+named+assigned:{bool(value and named and assigned)}"]
-        row += ["hexadecimal"] if n >= 16 and all(c in "0123456789abcdefABCDEF" for c in core) and digits and letters else []
-        row += ["issued"] if core.startswith(PREFIXES) and n >= 16 and mixed(core) else []
-        row += ["dotted"] if "." in core and not digits else []
-        row += ["card"] if digits == n and 12 <= n <= 19 else []
-        row += ["address"] if "@" in tokens[i + 1 : i + 2] + before[-1:] else []
-        row += ["in url"] if ":" in before[-1:] and t.startswith("//") else []
-        row += [f + (":mixed" if is_mixed else ":named" if named else "") for f in of_file]
-        rows.append(row)
+    for i, t in enumerate(known):
+        named = any(k.name for k in known[max(0, i - 4) : i])
+        assigned = any(k.assigns for k in known[max(0, i - 3) : i]) or (i > 0 and known[i - 1].leads)
+        address = (i > 0 and known[i - 1].at) or (i + 1 < len(known) and known[i + 1].at)
+        in_url = i > 0 and known[i - 1].colon and t.slashes
+        login = i > 0 and known[i - 1].colon and i + 1 < len(known) and known[i + 1].at
+        before, after = known[i - 1].before if i else "word", known[i + 1].after if i + 1 < len(known) else "word"
+        kind = kind_of(t.mixed, t.value, named)
+        rows.append([*t.features, f"prev:{before}", f"next:{after}", *around(named, assigned, t.value, address, in_url, login), *(f"{f}:{kind}" for f in of_file)])
     return rows
 
 
@@ -161,87 +228,216 @@ class Field:
 
     @classmethod
     def _marginals(cls, scores: np.ndarray, moves: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected states and moves of all sequences, by scaled forward and backward sums."""
         many, longest, _ = scores.shape
-        ahead, back = np.zeros_like(scores), np.zeros_like(scores)
-        ahead[:, 0] = scores[:, 0] + cls.START
-        for t in range(1, longest):
-            ahead[:, t] = scores[:, t] + np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves, axis=1)
+        odds = np.exp(scores - scores.max(2, keepdims=True))
+        step = np.exp(np.maximum(moves, -700))
+        ahead, back, scale = np.empty_like(odds), np.ones_like(odds), np.ones((many, longest, 1))
+        now = odds[:, 0] * np.exp(np.maximum(cls.START, -700))
+        for t in range(longest):
+            if t:
+                now = (ahead[:, t - 1] @ step) * odds[:, t]
+            scale[:, t] = now.sum(1, keepdims=True)
+            ahead[:, t] = now / scale[:, t]
         for t in range(longest - 2, -1, -1):
-            reach = np.logaddexp.reduce(moves + (scores[:, t + 1] + back[:, t + 1])[:, None, :], axis=2)
-            back[:, t] = np.where(live[:, t + 1, None], reach, 0)
-        total = np.logaddexp.reduce(ahead[:, 0] + back[:, 0], axis=1)
-        unary = np.exp(np.minimum(ahead + back - total[:, None, None], 0))
-        joint = np.exp(np.minimum(ahead[:, :-1, :, None] + moves + (scores + back)[:, 1:, None, :] - total[:, None, None, None], 0))
-        return unary, (joint * live[:, 1:, None, None]).sum((0, 1))
-
-    def decode(self, rows: list[list[str]], outside: list[bool] | None = None) -> list[int]:
-        """The best state sequence, by Viterbi; tokens marked ``outside`` can only be O."""
-        if not rows:
-            return []
-        known = self.names
-        scores = np.asarray([self.weights[[known[f] for f in row if f in known]].sum(0) for row in rows])
-        if outside is not None:
-            scores[np.asarray(outside), 1:] -= 1e6
-        moves = self.moves + self.LEGAL
-        best, back = scores[0] + self.START, []
-        for line in scores[1:]:
-            via = best[:, None] + moves
-            back.append(via.argmax(0))
-            best = via.max(0) + line
-        state = int(best.argmax())
+            reach = ((odds[:, t + 1] * back[:, t + 1]) @ step.T) / scale[:, t + 1]
+            back[:, t] = np.where(live[:, t + 1, None], reach, 1)
+        follow = odds[:, 1:] * back[:, 1:] / scale[:, 1:] * live[:, 1:, None]
+        return ahead * back, step * np.einsum("ntj,ntk->jk", ahead[:, :-1], follow)
+
+    def weight(self, features) -> np.ndarray:
+        """The summed weights of features, a number a state; unknown ones weigh nothing."""
+        return self.weights[[self.names[f] for f in features if f in self.names]].sum(0)
+
+    def slack(self) -> tuple[float, float]:
+        """The most that transitions can lose where a secret is cut by setting one of its tokens to O.
+
+        The first number where the token after it is not inside; the second where it is, which then begins a secret.
+        """
+        m = self.moves + self.LEGAL
+        most = [-np.inf, -np.inf]
+        for p, k, n, x in product((None, 0, 1, 2), (1, 2), (None, 0, 1, 2), (None, 0, 1, 2)):
+            to = 1 if n == 2 else n
+
+            def total(a: int, b: int | None, p=p, x=x) -> float:
+                first = self.START[a] if p is None else m[p, a]
+                return float(first + (0 if b is None else m[a, b] + (0 if x is None else m[b, x])))
+
+            old = total(k, n)
+            if old > -1e5:
+                most[n == 2] = max(most[n == 2], old - total(0, to))
+        return most[0], most[1]
+
+    def best(self, scores: list[list[float]], before: bool, after: bool) -> list[int]:
+        """The best state sequence by Viterbi; ``before`` and ``after``: whether a token at O stands there."""
+        m = (self.moves + self.LEGAL).tolist()
+        o, b, i = scores[0]
+        now = (o + m[0][0], b + m[0][1], i + m[0][2]) if before else (o, b, i + float(self.START[2]))
+        back = []
+        (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = m
+        for o, b, i in scores[1:]:
+            x, y, z = now
+            to_o = max((x + oo, 0), (y + bo, -1), (z + io, -2))
+            to_b = max((x + ob, 0), (y + bb, -1), (z + ib, -2))
+            to_i = max((x + oi, 0), (y + bi, -1), (z + ii, -2))
+            back.append((-to_o[1], -to_b[1], -to_i[1]))
+            now = (to_o[0] + o, to_b[0] + b, to_i[0] + i)
+        ends = [v + m[k][0] for k, v in enumerate(now)] if after else list(now)
+        state = ends.index(max(ends))
         path = [state]
         for pointers in reversed(back):
-            state = int(pointers[state])
+            state = pointers[state]
             path.append(state)
         return path[::-1]
 
+    def decode(self, rows: list[list[str]]) -> list[int]:
+        """The best state sequence of a whole text from its tokens' features."""
+        return self.best([self.weight(row).tolist() for row in rows], False, False) if rows else []
+
+
+class Scorer(dict):
+    """Maps spellings to rows of what is known of them; scores stretches of tokens with their neighbours."""
+
+    def __init__(self, field: Field) -> None:
+        self.field = field
+        self.slack = field.slack()
+        self.near = np.asarray([field.weight(around(*(bool(code >> k & 1) for k in range(6)))) for code in range(64)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.chars = 0
+        self.kinds: dict[Alone, int] = {}  # spellings of which the same is known share a row
+        self.own, self.before, self.after = (np.zeros((1024, 3)) for _ in range(3))
+        self.flags = np.zeros(1024, np.int64)
+
+    def __missing__(self, token: str) -> int:
+        t = alone(token)
+        k = self.kinds.get(t)
+        if k is None:
+            k = self.kinds[t] = len(self.kinds)
+            if k == len(self.flags):
+                for name in ("own", "before", "after", "flags"):
+                    old = getattr(self, name)
+                    setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+            self.own[k] = self.field.weight(t.features)
+            self.before[k], self.after[k] = self.field.weight([f"prev:{t.before}"]), self.field.weight([f"next:{t.after}"])
+            self.flags[k] = sum(v << j for j, v in enumerate((t.name, t.mixed, t.value, t.assigns, t.leads, t.at, t.colon, t.slashes)))
+        self[token] = k
+        self.chars += len(token)
+        return k
+
+    def scores(self, tokens: list[str], of_file: np.ndarray) -> np.ndarray:
+        """(token, state) sums of weights; ``of_file``: the weights of the text's features by kind of token."""
+        ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        flags = self.flags[ids]
+        name, mixed, value, assigns, leads, at, colon, slashes = ((flags >> j & 1).astype(bool) for j in range(8))
+
+        def among(seen: np.ndarray, last: int) -> np.ndarray:
+            """Whether one of the ``last`` tokens before is such."""
+            total = np.concatenate([[0], np.cumsum(seen)])
+            k = np.arange(len(seen))
+            return total[k] > total[np.maximum(0, k - last)]
+
+        named, assigned = among(name, 4), among(assigns, 3) | among(leads, 1)
+        behind = np.append(at[1:], False)  # whether the next token is such
+        colon = among(colon, 1)
+        code = named + 2 * assigned + 4 * value + 8 * (among(at, 1) | behind) + 16 * (colon & slashes) + 32 * (colon & behind)
+        kind = np.where(mixed, 0, np.where(value, 1, np.where(named, 2, 3)))
+        found = self.own[ids] + self.near[code] + of_file[kind]
+        word = self["x"]
+        found[1:] += self.before[ids[:-1]]
+        found[:-1] += self.after[ids[1:]]
+        found[0] += self.before[word]
+        found[-1] += self.after[word]
+        return found
+
+    def sure(self, scores: np.ndarray) -> np.ndarray:
+        """Tokens at which every best path of the whole text is at O; the last one needs no follower."""
+        ahead = scores[:, 0] - np.maximum(scores[:, 1], scores[:, 2])
+        follower = np.zeros(len(scores))
+        follower[:-1] = scores[1:, 1] - scores[1:, 2]
+        return (ahead > self.slack[0] + 1e-6) & (ahead + follower > self.slack[1] + 1e-6)
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """The spans that the best path of the whole text tags."""
+        if len(self) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.forget()
+        of_text = file_features(text)
+        of_file = np.asarray([self.field.weight([f"{f}:{kind}" for f in of_text]) for kind in ("mixed", "value", "named", "other")])
+        found: list[tuple[int, int]] = []
+        held: list[tuple[list[float], int, int]] = []  # (scores, start, end) of the open run of tokens that are not sure
+        led = False  # whether a token at O stands before the run
+
+        def close(after: bool) -> None:
+            if held:
+                now: list[int] | None = None
+                for state, (_, a, b) in zip(self.field.best([x[0] for x in held], led, after), held, strict=True):
+                    if state == 2 and now:
+                        now[1] = b
+                        continue
+                    if now:
+                        found.append((now[0], now[1]))
+                    now = [a, b] if state else None
+                if now:
+                    found.append((now[0], now[1]))
+                held.clear()
+
+        past: list[str] = []  # the tokens before the stretch that its tokens look at
+        for start, end in stretches(text):
+            tokens = TOKEN.findall(text, start, end)
+            if not tokens:
+                continue
+            last = end == len(text)
+            ahead = [] if last else [m[0] for m, _ in zip(TOKEN.finditer(text, end), range(2), strict=False)]
+            scores = self.scores([*past, *tokens, *ahead], of_file)
+            sure = self.sure(scores)[len(past) : len(past) + len(tokens)]
+            scores = scores[len(past) : len(past) + len(tokens)]
+            if not sure.all():
+                spans = None
+                for k in np.flatnonzero(~sure).tolist():
+                    if spans is None:
+                        spans = [m.span() for m in TOKEN.finditer(text, start, end)]
+                        previous = -1
+                    if k > previous + 1:
+                        close(True)
+                        led = True
+                    held.append((scores[k].tolist(), *spans[k]))
+                    previous = k
+                if previous < len(tokens) - 1:
+                    close(True)
+                    led = True
+            else:
+                close(True)
+                led = True
+            past = [*past, *tokens][-4:]
+        close(False)
+        return found
+
+
+def stretches(text: str, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Parts of a text of about ``size`` characters, cut before white space."""
+    size, start = size or STRETCH, 0
+    while start < len(text):
+        end = min(len(text), start + size)
+        gap = GAP.search(text, end)
+        end = gap.start() if gap else len(text)
+        yield start, end
+        start = end
+
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around everything that is not plainly ordinary, widened to white space and joined."""
-    spots = [m.span() for m in LONG.finditer(text) if mixed(m[0]) or DIGIT.search(m[0])]
-    spots += [m.span() for m in VALUE.finditer(text)]
-    lower = text.lower()
-    if any(h in lower for h in NAME_HINTS):
-        spots += [m.span() for m in NAMED.finditer(text)]
-    found: list[tuple[int, int]] = []
-    for start, end in sorted(spots):
-        start, end = max(0, start - MARGIN), min(len(text), end + MARGIN)
-        while start and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        if found and start <= found[-1][1]:
-            found[-1] = (found[-1][0], max(end, found[-1][1]))
-        else:
-            found.append((start, end))
-    return found
-
-
-def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
-    """Spans that the field tags, over all windows of a text."""
-    spans, of_file = [], None
-    for start, end in windows(text):
-        of_file = of_file or page_features(text)
-        tokens = [(m[0], m.start() + start, m.end() + start) for m in TOKEN.finditer(text[start:end])]
-        states = field.decode(token_features([t for t, _, _ in tokens], of_file))
-        now: list[int] | None = None
-        for (_, a, b), state in [*zip(tokens, states, strict=True), (("", 0, 0), 0)]:
-            if now and (state != 2):
-                spans.append(now)
-                now = None
-            if state == 1 or (state == 2 and not now):
-                now = [a, b]
-            elif state == 2 and now:
-                now[1] = b
-    return [(a, a + len(kept)) for a, b in spans if (kept := text[a:b].rstrip(".,;:!?)]}\"'"))]
-
-
-def all_spans(text: str | None, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def field_spans(text: str, scorer: Scorer) -> list[tuple[int, int]]:
+    """Spans that the field tags, without closing signs."""
+    return [(a, a + len(kept)) for a, b in scorer.spans(text) if (kept := text[a:b].rstrip(".,;:!?)]}\"'"))]
+
+
+def all_spans(text: str | None, scorer: Scorer) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans: the field's are added where no base span holds them."""
     if not text:
         return [], []
     base = base_spans(text)
-    added = [(a, b, "crf") for a, b in field_spans(text, field) if not any(s <= a and b <= e for s, e, _ in base)]
+    starts, ends = [x[0] for x in base], list(accumulate((x[1] for x in base), max))
+    added = [(a, b, "crf") for a, b in field_spans(text, scorer) if not (k := bisect_right(starts, a)) or ends[k - 1] < b]
     return base, sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -263,7 +459,7 @@ def made_sentences(count: int = 800, seed: int = 7) -> list[list[tuple[str, int]
             lambda: draw.choice(("xoxb-", "xoxp-")) + some(string.digits, 10, 12) + "-" + some(mixed_letters, 18, 24),
             lambda: "AIza" + some(mixed_letters + "-_", 35, 35), lambda: "eyJ" + some(mixed_letters, 20, 40) + "." + some(mixed_letters, 20, 60) + "." + some(mixed_letters + "-_", 20, 43),
             lambda: some(mixed_letters + "+/", 40, 40), lambda: some("0123456789abcdef", 32, 40), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16, 16),
-            lambda: "glpat-" + some(mixed_letters, 20, 20), lambda: some(mixed_letters, 24, 48),
+            lambda: "glpat-" + some(mixed_letters, 20, 20), lambda: some(mixed_letters, 24, 48), lambda: "sk-" + some(mixed_letters, 11, 24),
         ])()
 
     def password() -> str:
@@ -278,7 +474,7 @@ def made_sentences(count: int = 800, seed: int = 7) -> list[list[tuple[str, int]
             lambda: f"DejaVuSans{some(string.ascii_lowercase, 4, 8).capitalize()}Regular2.ttf", lambda: f"{some(string.ascii_lowercase, 4, 9)}-{some(string.ascii_lowercase, 4, 9)}-{some(string.ascii_lowercase, 4, 9)}-{draw.randint(10, 2030)}",
         ])()
 
-    names = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "API-KEY", "access_key", "client_secret", "Password", "SECRET", "TOKEN")
+    names = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "API-KEY", "access_key", "client_secret", "Password", "SECRET", "TOKEN", "pass", "pin", "login", "passphrase")
     sentences = []
     for _ in range(count):
         pieces = [(filler(), 0)]
@@ -314,46 +510,76 @@ def labelled(text: str, secrets: list[tuple[int, int]], of_file: list[str]) -> t
     return token_features([t for t, _, _ in tokens], of_file), states
 
 
-def drawn(texts: list[str], most: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Texts with passages to train on: ``most`` at most, drawn evenly over all windows and beginnings of all texts."""
-    every = [(k, span) for k, text in enumerate(texts) for span in [*windows(text), (0, min(len(text), 200))] if span[1] - span[0] < 1500]
-    found: dict[int, list[tuple[int, int]]] = {}
-    for k, span in sorted(every if len(every) <= most else random.Random(seed).sample(every, most)):
-        found.setdefault(k, []).append(span)
-    return [(texts[k], spans) for k, spans in found.items()]
+def passages(text: str, at_a_time: int = PASSAGE_TOKENS, most_chars: int = PASSAGE_CHARS) -> Iterator[tuple[int, int]]:
+    """All passages of a text: consecutive tokens, at most so many and so long."""
+    start, end, n = 0, 0, 0
+    for m in TOKEN.finditer(text):
+        if n and (n == at_a_time or m.end() - start > most_chars):
+            yield start, end
+            n = 0
+        if not n:
+            start = m.start()
+        end, n = m.end(), n + 1
+    if n:
+        yield start, end
 
 
-def pieced(rows: list[list[str]], states: list[int], length: int = 64) -> list[tuple[list[list[str]], list[int]]]:
-    """A sequence in pieces of ``length`` tokens; a secret that is cut begins anew."""
-    cut = [(rows[at : at + length], states[at : at + length]) for at in range(0, len(rows), length)]
-    return [(r, [1 if s[0] == 2 else s[0], *s[1:]]) for r, s in cut]
+VALUE = re.compile(r"[^\W\d_][+/_=.\-]*\d|\d[+/_=.\-]*[^\W\d_]")
+
+
+def labels_of(text: str) -> list[tuple[int, int]]:
+    """The base patterns' secrets: of an assignment its value."""
+    return sorted([m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] + [x[:2] for x in base_spans(text) if x[2] != "assign"])
+
+
+def drawer(most: int):
+    """(id, text) to (odd, draw, passage, starts, ends, features): of each text those ``most`` of either sort that come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                of_file, secrets = file_features(text), labels_of(text)
+                kinds: dict[bool, list] = {False: [], True: []}
+                for start, end in passages(text):
+                    draw = int.from_bytes(hashlib.md5(f"{number}:{start}".encode()).digest()[:7], "big")
+                    kinds[bool(VALUE.search(text, start, end))].append((draw, start, end))
+                for odd, found in kinds.items():
+                    for draw, start, end in sorted(found)[:most]:
+                        mine = [(max(a, start) - start, min(b, end) - start) for a, b in secrets if a < end and start < b]
+                        rows.append((odd, draw, text[start:end], [a for a, _ in mine], [b for _, b in mine], of_file))
+            kinds_of = (pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True)], names=["odd", "draw", "passage", "starts", "ends", "features"])
+
+    return run
 
 
-def train(texts: list[str], most_passages: int = 700) -> Field:
-    """Fits the field on generated sentences and on passages of the given texts, labelled by the base patterns."""
+def train(drawn: list[tuple[str, list[tuple[int, int]], list[str]]] = ()) -> Field:
+    """Fits the field on generated sentences and on (passage, secrets, features of its text)."""
     sequences = []
+    kinds = [file_features("plain words of a text that goes on like this. " * 20), file_features("a = 1;\nb: {2}\n" * 20)]
     for k, pieces in enumerate(made_sentences()):
         text, secrets = "", []
         for piece, secret in pieces:
             if secret:
                 secrets.append((len(text), len(text) + len(piece)))
             text += piece
-        sequences.append(labelled(text, secrets, ["file:code"] if k % 3 == 0 else ["file:prose"]))
-    for text, chosen in drawn(texts, most_passages):
-        spans = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] + [s[:2] for s in base_spans(text) if s[2] != "assign"]
-        of_file = page_features(text)
-        sequences += [labelled(text[start:end], [(a - start, b - start) for a, b in spans if a < end and start < b], of_file) for start, end in chosen]
-    return Field.fit([piece for rows, states in sequences for piece in pieced(rows, states)])
+        sequences.append(labelled(text, secrets, kinds[1] if k % 3 == 0 else kinds[0]))
+    sequences += [labelled(text, secrets, of_file) for text, secrets, of_file in drawn]
+    return Field.fit([x for x in sequences if x[0]])
 
 
 def scanner(field: Field):
     """(doc_id, text) to counts and span lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(field)
         for batch in batches:
             counts, digests, lists = {k: [] for k in KINDS[:3]}, [], []
             for text in batch.column(1):
-                base, every = all_spans(text.as_py(), field)
+                base, every = all_spans(text.as_py(), scorer)
                 for kind in KINDS[:3]:
                     counts[kind].append(sum(s[2] == kind for s in base))
                 digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
@@ -364,8 +590,11 @@ def scanner(field: Field):
     return run
 
 
-def fitted(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = SAMPLE_ROWS) -> Field:
-    return train(sampled(documents, rows, id_column, text_column))
+def fitted(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = SAMPLE_ROWS, passages: int = PASSAGES) -> Field:
+    """The field trained on passages of at most ``rows`` documents; only passages reach the driver."""
+    drawn = sampled_ids(documents, rows, id_column, text_column).mapInArrow(drawer(passages), "odd boolean, draw long, passage string, starts array<long>, ends array<long>, features array<string>")
+    found = [r for odd in (True, False) for r in drawn.where(F.col("odd") == odd).orderBy("draw", "passage").limit(passages).collect()]
+    return train([(r["passage"], [*zip(r["starts"], r["ends"], strict=True)], r["features"]) for r in found])
 
 
 def scan(documents: DataFrame, field: Field, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -375,10 +604,10 @@ def scan(documents: DataFrame, field: Field, id_column: str = "doc_id", text_col
     return source.mapInArrow(scanner(field), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redacted(text: str | None, field: Field, mark: str = "[SECRET]") -> str | None:
+def redacted(text: str | None, scorer: Scorer, mark: str = "[SECRET]") -> str | None:
     """The text with every span replaced; of overlapping spans the union goes."""
     out, at = [], 0
-    for start, end, _ in all_spans(text, field)[1]:
+    for start, end, _ in all_spans(text, scorer)[1]:
         if start >= at:
             out += [text[at:start], mark]
         at = max(at, end)
@@ -390,10 +619,11 @@ def redact(documents: DataFrame, field: Field, text_column: str = "text", length
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(field)
         for batch in batches:
             k = names.index(text_column)
             old = batch.column(k).to_pylist()
-            new = [redacted(t, field) for t in old]
+            new = [redacted(t, scorer) for t in old]
             columns = list(batch.columns)
             columns[k] = pa.array(new, batch.schema.field(k).type)
             if length_column in names:

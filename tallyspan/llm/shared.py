@@ -88,13 +88,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def sampled(documents: DataFrame, rows: int, id_column: str, text_column: str) -> list[str]:
-    """Texts of at most ``rows`` ids, those whose hashes come first; one text an id (its smallest)."""
+def sampled_ids(documents: DataFrame, rows: int, id_column: str, text_column: str) -> DataFrame:
+    """(__id, __text) of at most ``rows`` ids, those whose hashes come first; one text an id (its smallest)."""
     source = documents.select(F.col(id_column).alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
     picked = source.select("__id").where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    ids = [r[0] for r in picked.collect()]
-    if not ids:
-        return []
-    known = documents.sparkSession.createDataFrame([(i,) for i in ids], source.select("__id").schema)
-    found = source.join(F.broadcast(known), "__id").groupBy("__id").agg(F.min("__text").alias("t")).collect()
-    return [r["t"] for r in sorted(found, key=lambda r: str(r[0]))]
+    known = documents.sparkSession.createDataFrame(picked.collect(), source.select("__id").schema)  # rows ids at most
+    return source.join(F.broadcast(known), "__id").groupBy("__id").agg(F.min("__text").alias("__text"))

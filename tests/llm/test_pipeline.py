@@ -28,8 +28,8 @@ def test_stages_against_plain_versions(spark):
             roots = plain_components([(r.doc_id, r.text) for r in before], 5, 80)
             assert sorted(r.doc_id for r in after) == sorted(i for i, r in roots.items() if i == r)
         elif name == "secrets":
-            field = secret_scans.fitted(spark.createDataFrame(before, docs.schema))
-            assert {r.doc_id: r.text for r in after} == {r.doc_id: secret_scans.redacted(r.text, field) for r in before}
+            scorer = secret_scans.Scorer(secret_scans.fitted(spark.createDataFrame(before, docs.schema)))
+            assert {r.doc_id: r.text for r in after} == {r.doc_id: secret_scans.redacted(r.text, scorer) for r in before}
         elif name == "mixing":
             assert {r.doc_id for r in after} == {r.doc_id for r in before} and len(after) >= len(before)
         else:
