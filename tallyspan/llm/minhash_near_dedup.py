@@ -1,18 +1,21 @@
 """MinHash near-duplicates by a multi-index Hamming join of b-bit signatures.
 
-1. Every text becomes its set of word shingles (64-bit hashes), a 128-bit digest of the set and a signature
-   of ``CHUNKS * WIDTH`` symbols of 16 bits. Equal sets are one class from here on.
-2. A signature is split into chunks. Two signatures that differ in fewer than ``2 * CHUNKS`` symbols have, by the
+1. Every text becomes its set of word shingles (64-bit hashes), a 128-bit digest of the set and a signature: ``CHUNKS *
+   WIDTH`` symbols of 16 bits, which are indexed, and ``SKETCH`` more of 8 bits. Equal sets are one class from here on.
+2. The indexed symbols are split into chunks. Two signatures that differ in fewer than ``2 * CHUNKS`` of them have, by the
    pigeonhole principle, a chunk with at most one wrong symbol, so each chunk is indexed once for every symbol
    that may be wrong (that symbol left out). All pairs under that distance therefore meet under some key; a pair
    beyond it is still missed with probability (1 - 0.835)**12 < 5e-10 at a similarity of 0.85, 2e-7 at 0.8.
-3. Each key links its classes to the smallest one of them (no pairs), and the components of those links are the
-   candidate clusters. Clusters are cut into tiles; every two tiles of a cluster meet in one task, which counts
-   all their intersections exactly over the full sets and emits a spanning forest of the true links.
-4. Components of those links give the result.
+3. Keys with the same classes count once. The classes of a key are compared by the Hamming distance of their whole
+   signatures, in tiles that meet pairwise; a pair that differs in more than ``FARTHEST`` of all symbols, or whose sizes
+   rule a link out, is dropped, which a pair of similarity 0.8 is with probability under 1e-9. So texts that only share a
+   part, however many they are, go no further. Of the pairs that are left a tile emits a spanning forest.
+4. The components of these forests are the candidate clusters, cut into tiles of texts; every two tiles of a cluster meet
+   in one task, which counts all their intersections exactly over the full sets and emits a spanning forest of the true
+   links. Components of those links give the result.
 
-Nothing is capped: a cluster of n classes is n / TILE tiles, which meet pairwise. No hot key is gathered: keys
-are reduced by a partial minimum and joined back, where Spark may split them.
+Nothing is capped: a key of n classes is n / SIGN_TILE tiles of signatures, a cluster n / TILE tiles of texts, which meet
+pairwise. No hot key is gathered: keys are reduced by partial aggregates and joined back, where Spark may split them.
 
 Defined results: null and empty texts and texts of white space have an empty set, are linked with nothing and
 kept; with fewer words than a shingle has, the whole sequence is the one shingle; rows that share an id count as
@@ -35,10 +38,13 @@ from tallyspan.llm.shared import loosened, table, written
 
 CHUNKS, WIDTH = 12, 5
 SYMBOLS = CHUNKS * WIDTH
-#: Classes in a tile; a task holds two tiles.
-TILE = 512
+#: Symbols that are only compared, and the most of all symbols in which a pair may differ.
+SKETCH = 132
+FARTHEST = 76
+#: Classes in a tile of signatures and in a tile of texts; a task holds two tiles at a time.
+SIGN_TILE, TILE = 1024, 512
 
-_seeds = np.random.default_rng(20).integers(0, 2**64, (2, SYMBOLS), dtype=np.uint64)
+_seeds = np.random.default_rng(20).integers(0, 2**64, (2, SYMBOLS + SKETCH), dtype=np.uint64)
 _TIMES, _PLUS = _seeds[0] | np.uint64(1), _seeds[1]
 _MARKS = np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -73,12 +79,28 @@ def digest(members: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(value[:8], "little", signed=True), int.from_bytes(value[8:], "little", signed=True)
 
 
-def signature(members: np.ndarray) -> np.ndarray:
-    """16 bits of the smallest member under each of the hash functions."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(members), 4096):
-        np.minimum(least, (members[at : at + 4096, None] * _TIMES + _PLUS).min(0), out=least)
-    return (_mixed(least) & np.uint64(0xFFFF)).astype("<u2")
+def signature(members: np.ndarray) -> bytes:
+    """16 or 8 bits of the smallest member under each of the hash functions."""
+    least = np.full(SYMBOLS + SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(members), 512):
+        np.minimum(least, (members[at : at + 512, None] * _TIMES + _PLUS).min(0), out=least)
+    bits = _mixed(least)
+    return bits[:SYMBOLS].astype("<u2").tobytes() + bits[SYMBOLS:].astype("u1").tobytes()
+
+
+def symbols(signatures: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The indexed symbols and the others, a row a signature."""
+    rows = np.frombuffer(b"".join(signatures), "u1").reshape(len(signatures), 2 * SYMBOLS + SKETCH)
+    return rows[:, : 2 * SYMBOLS].copy().view("<u2"), rows[:, 2 * SYMBOLS :]
+
+
+def distances(signatures: list[bytes]) -> np.ndarray:
+    """The number of symbols in which every two signatures differ."""
+    total = np.zeros((len(signatures), len(signatures)), np.uint8)
+    for part in symbols(signatures):
+        for column in np.ascontiguousarray(part.T):
+            total += column[:, None] != column[None, :]
+    return total
 
 
 def profiler(words: int):
@@ -93,7 +115,7 @@ def profiler(words: int):
                 sizes.append(len(members))
                 first.append(d1)
                 second.append(d2)
-                signs.append(signature(members).tobytes() if len(members) else b"")
+                signs.append(signature(members) if len(members) else b"")
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(signs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2", "signature"])
 
@@ -110,7 +132,7 @@ def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if not n:
             continue
-        signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(n, CHUNKS, WIDTH).astype(np.uint64)
+        signs = symbols(batch.column(1).to_pylist())[0].reshape(n, CHUNKS, WIDTH).astype(np.uint64)
         keys = []
         for c in range(CHUNKS):
             for left_out in range(WIDTH):
@@ -142,17 +164,11 @@ def intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return total
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links with ``100 * intersection >= percent * union``: (id, smallest id it reaches here)."""
-    if len(ids) < 2:
-        return []
-    both = intersections(sets).astype(np.float64)
-    sizes = np.asarray([len(s) for s in sets], np.float64)
-    linked = 100.0 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+def spanning(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric table of links: (id, smallest id it reaches here)."""
     np.fill_diagonal(linked, True)
-    order = np.argsort(ids)
     left, edges = np.ones(len(ids), bool), []
-    for root in order:
+    for root in np.argsort(ids):
         if not left[root]:
             continue
         reached = np.zeros(len(ids), bool)
@@ -166,15 +182,26 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     return edges
 
 
-def verifier(words: int, percent: int):
-    """Rows sorted by (cluster, low, high), each with class_id, d1, d2 and text, to edges (a, b)."""
+def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links with ``100 * intersection >= percent * union``."""
+    if len(ids) < 2:
+        return []
+    both = intersections(sets).astype(np.float64)
+    sizes = np.asarray([len(s) for s in sets], np.float64)
+    return spanning(ids, 100.0 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
 
-    def edges_of(rows: list[tuple]) -> list[tuple[int, int]]:
-        known: dict[tuple, np.ndarray] = {}
-        for class_id, d1, d2, text in rows:
-            if (class_id, d1, d2) not in known and digest(members := shingles(text, words)) == (d1, d2):
-                known[class_id, d1, d2] = members
-        return forest(np.asarray([k[0] for k in known], np.int64), [*known.values()], percent)
+
+def near_forest(rows: list[tuple[int, int, bytes]], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of (class_id, size, signature) under the distance whose sizes allow a link."""
+    if len(rows) < 2:
+        return []
+    ids, sizes = np.asarray([r[0] for r in rows], np.int64), np.asarray([r[1] for r in rows], np.int64)
+    near = distances([r[2] for r in rows]) <= FARTHEST
+    return spanning(ids, near & (100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)))
+
+
+def by_tiles(edges_of, values: tuple[str, ...]):
+    """Rows sorted by (cluster, low, high), two tiles of a cluster, to the edges (a, b) that ``edges_of`` their values gives."""
 
     def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -183,8 +210,7 @@ def verifier(words: int, percent: int):
         key, rows, found = None, [], []
         for batch in batches:
             keys = zip(*(batch.column(n).to_pylist() for n in ("cluster", "low", "high")), strict=True)
-            values = zip(*(batch.column(n) for n in ("class_id", "d1", "d2", "text")), strict=True)
-            for now, value in zip(keys, values, strict=True):
+            for now, value in zip(keys, zip(*(batch.column(n) for n in values), strict=True), strict=True):
                 if now != key:
                     found += edges_of(rows)
                     key, rows = now, []
@@ -197,26 +223,55 @@ def verifier(words: int, percent: int):
     return run
 
 
+def verifier(words: int, percent: int):
+    """Texts of two tiles to a spanning forest of their true links."""
+
+    def edges_of(rows: list[tuple]) -> list[tuple[int, int]]:
+        known: dict[tuple, np.ndarray] = {}
+        for class_id, d1, d2, text in rows:
+            if (class_id, d1, d2) not in known and digest(members := shingles(text, words)) == (d1, d2):
+                known[class_id, d1, d2] = members
+        return forest(np.asarray([k[0] for k in known], np.int64), [*known.values()], percent)
+
+    return by_tiles(edges_of, ("class_id", "d1", "d2", "text"))
+
+
+def tiled(members: DataFrame, size: int) -> DataFrame:
+    """Rows with a cluster and its number of classes, once for each two tiles that meet: ``low`` and ``high``."""
+    cut = members.withColumn("__tiles", F.ceil(F.col("n") / size).cast("int"))
+    cut = cut.withColumn("__tile", F.pmod(F.xxhash64("class_id"), F.col("__tiles")).cast("int"))
+    met = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("__other"))
+    met = met.withColumns({"low": F.least("__tile", "__other"), "high": F.greatest("__tile", "__other")}).drop("n", "__tile", "__tiles", "__other")
+    return met.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "class_id")
+
+
+def near_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests (a, b) of the classes under the distance, for every key of the index."""
+    keys = classes.select("class_id", "signature").mapInArrow(index, "key long, class_id long")
+    shared = keys.groupBy("key").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).where("first < last")
+    shared = written(keys.join(shared.select(loosened(F.col("key")).alias("key")), "key"), "keys")
+    # keys with equal classes stand for one group: a pair of near copies shares many
+    marks = [F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("mark1"), F.sum(F.shiftright(F.xxhash64("class_id", F.lit(2)), 32)).alias("mark2")]
+    groups = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("first"), F.max("class_id").alias("last"), *marks)
+    one = groups.groupBy("n", "first", "last", "mark1", "mark2").agg(F.min("key").alias("key")).select(loosened(F.col("key")).alias("key"), "n")
+    members = shared.join(one, "key").select("class_id", F.col("key").alias("cluster"), "n")
+    signed = members.join(classes.select("class_id", "size", "signature"), "class_id")
+    return tiled(signed, SIGN_TILE).mapInArrow(by_tiles(lambda rows: near_forest(rows, percent), ("class_id", "size", "signature")), "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id and kept (doc_id = component_id)."""
     source = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     profiles = written(source.mapInArrow(profiler(words), "doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "profiles")
     present = profiles.where("n_shingles > 0 and doc_id is not null")
-    classes = written(present.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature")), "classes")
-
-    keys = classes.select("class_id", "signature").mapInArrow(index, "key long, class_id long")
-    firsts = keys.groupBy("key").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).where("first < last").select(loosened(F.col("key")).alias("key"), "first")
-    meetings = keys.join(firsts, "key").where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b"))
-    clusters = components(meetings, "clusters")
+    one = present.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.min("n_shingles").alias("size"), F.min("signature").alias("signature"))
+    classes = written(one, "classes")
+    clusters = components(near_pairs(classes, percent), "clusters")
 
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    tiled = clusters.join(sizes.select(loosened(F.col("label")).alias("label"), "n"), "label").select(F.col("node").alias("class_id"), F.col("label").alias("cluster"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
-    texts = tiled.join(classes.select("class_id", "d1", "d2"), "class_id").join(source, F.col("class_id") == F.col("doc_id"))
-    met = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    met = met.select("cluster", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "class_id", "d1", "d2", "text")
-    met = met.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "class_id")
-    links = met.mapInArrow(verifier(words, percent), "a long, b long")
+    members = clusters.join(sizes.select(loosened(F.col("label")).alias("label"), "n"), "label").select(F.col("node").alias("class_id"), F.col("label").alias("cluster"), "n")
+    texts = members.join(classes.select("class_id", "d1", "d2"), "class_id").join(source, F.col("class_id") == F.col("doc_id")).drop("doc_id")
+    links = tiled(texts, TILE).mapInArrow(verifier(words, percent), "a long, b long")
     # rows of one id with different sets are one document
     own = present.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "class_id"), ["d1", "d2"]).where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     return _labelled(profiles, components(links.unionByName(own), "links"))

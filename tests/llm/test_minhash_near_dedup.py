@@ -26,7 +26,7 @@ def plain(rows, words, percent):
 
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+            if any(x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return {i: find(i) for i in ids}
@@ -63,6 +63,7 @@ def test_components_equal_brute_force(spark, awkward):
 
 def test_many_tiles_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(m, "TILE", 7)
+    monkeypatch.setattr(m, "SIGN_TILE", 5)
     rows = corpus(9)
     found = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
     assert {r.doc_id: r.component_id for r in found} == plain(rows, 3, 85)
@@ -73,11 +74,11 @@ def test_index_meets_every_pair_under_the_distance(spark):
 
     draw = np.random.default_rng(4)
     for distance in (0, 5, 2 * m.CHUNKS - 1):
-        one = draw.integers(0, 2**16, m.SYMBOLS).astype("<u2")
+        one, rest = draw.integers(0, 2**16, m.SYMBOLS).astype("<u2"), bytes(m.SKETCH)
         for _ in range(50):
             two = one.copy()
             two[draw.choice(m.SYMBOLS, distance, replace=False)] ^= 1
-            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([one.tobytes(), two.tobytes()], pa.binary())], names=["class_id", "signature"])
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([one.tobytes() + rest, two.tobytes() + rest], pa.binary())], names=["class_id", "signature"])
             out = next(m.index(iter([batch]))).to_pydict()
             keys = {}
             for k, c in zip(out["key"], out["class_id"], strict=True):
@@ -111,7 +112,36 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
 
-def test_query_covers_every_row(spark):
-    sf = "/root/testdata/sf0.001"
+def test_query_equals_all_pairs(spark):
+    sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     assert {r.doc_id: r.component_id for r in m.op5_minhash_near_dedup(spark, sf).collect()} == plain(rows, 3, 85)
+
+
+def test_distances_count_differing_symbols():
+    draw = np.random.default_rng(8)
+    signs = [m.signature(np.unique(draw.integers(0, 60, 50).astype(np.uint64))) for _ in range(7)]
+    found = m.distances(signs)
+    one, rest = m.symbols(signs)
+    assert all(found[a, b] == (one[a] != one[b]).sum() + (rest[a] != rest[b]).sum() for a in range(7) for b in range(7))
+
+
+def boilerplate(draw, share, n=700, size=200):
+    """Texts with a common part, of about this similarity pair by pair, and some near copies among them."""
+    common = [f"c{k}" for k in range(round(size * 2 * share / (1 + share)))]
+    rows = [" ".join([f"u{draw.randrange(10**7)}" for _ in range(size - len(common))] + common) for _ in range(n)]
+    return [(k, t) for k, t in enumerate(rows + [edited(draw, t.split(), 1) for t in rows[:10]])]
+
+
+def test_a_shared_part_makes_no_clusters(spark, monkeypatch):
+    """Only pairs under the distance go on to be verified, whatever the number of texts that share a part."""
+    for share in (0.2, 0.3, 0.4):
+        rows = boilerplate(random.Random(4), share)
+        fed = []
+        real = m.tiled
+        monkeypatch.setattr(m, "tiled", lambda members, size: fed.append((size, met := real(members, size))) or met)
+        found = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85)
+        assert {r.doc_id for r in found.collect() if not r.kept} == set(range(700, 710))
+        monkeypatch.setattr(m, "tiled", real)
+        texts = next(met for size, met in fed if size == m.TILE)
+        assert texts.count() <= 24  # two for each pair of near copies, and next to none by chance
