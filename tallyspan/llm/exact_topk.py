@@ -2,11 +2,12 @@
 
 Queries are dealt to blocks of ``QUERY_BLOCK``, candidates to shards of about ``SHARD_ROWS``; every block meets every
 shard in one task, which multiplies tile by tile and keeps k rows a query. The lists of ``FAN_IN`` shards are
-merged at a time until one list is left. Components are whole numbers, so products are exact: in single precision while the
-largest possible sum stays under 2**24, in double precision under 2**53, in whole numbers beyond.
+merged at a time until one list is left. Components are whole numbers, shuffled in as few bytes as the largest of the table needs.
+Products are exact: in single precision while the largest possible sum stays under 2**24, in double precision under 2**53; rows
+and queries with larger components are multiplied in limbs of 21 bits, whose sums are put together as whole numbers.
 
 Defined results: vectors that are null or empty or hold a null or non-finite component, and rows without an id,
-take no part; rows that share an id count once, with the smallest vector; vectors of another length are no
+take no part; components and scores beyond 64 bits are the nearest 64-bit number, and rank as such; rows that share an id count once, with the smallest vector; vectors of another length are no
 candidates; with fewer candidates than k all are returned; ties go to the smaller id; an empty table gives an empty
 result; extra columns are not carried along.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyspan.llm.shared import table, written
 
-QUERY_BLOCK = 8192
+QUERY_BLOCK = 32_768
 SHARD_ROWS = 16_384
 TILE_QUERIES, TILE_ROWS = 512, 8192
 FAN_IN = 32
@@ -29,7 +30,7 @@ FAN_IN = 32
 def whole_numbers(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of every component, or null if the vector takes no part."""
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    scaled = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    scaled = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))  # to the ends of a long, if beyond
     return F.when((F.size(vector) > 0) & F.coalesce(sound, F.lit(False)), scaled)
 
 
@@ -39,18 +40,57 @@ def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
+#: Bits of a limb, and components that are multiplied at a time so that sums of products stay under 2**53.
+LIMB, LIMB_WIDTH = 21, 1024
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def largest(rows: np.ndarray) -> np.ndarray:
+    """The largest size of a component of each row; as floats, for the smallest long has no positive one."""
+    return np.maximum(rows.max(1, initial=0).astype(np.float64), -(rows.min(1, initial=0).astype(np.float64)))
+
+
+def wide(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of any 64-bit rows, exact, then cut to 64 bits."""
+
+    def limbs(rows: np.ndarray) -> list[np.ndarray]:
+        return [(rows >> LIMB * k & (1 << LIMB) - 1 if k < 2 else rows >> LIMB * 2).astype(np.float64) for k in range(3)]
+
+    total = np.zeros((len(left), len(right)), object)
+    for at in range(0, left.shape[1], LIMB_WIDTH):
+        a, b = limbs(left[:, at : at + LIMB_WIDTH]), limbs(right[:, at : at + LIMB_WIDTH])
+        for i in range(3):
+            for j in range(3):
+                total = total + (a[i] @ b[j].T).astype(np.int64).astype(object) * (1 << LIMB * (i + j))
+    return np.minimum(np.maximum(total, LEAST), MOST).astype(np.int64)
+
+
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of both, as numbers of a kind that holds them exactly."""
+    a, b, dim = largest(left), largest(right), left.shape[1]
+    bound = a.max(initial=0) * b.max(initial=0) * dim
+    if bound < 2**53:
+        kind = np.float32 if bound < 2**24 else np.float64
+        return left.astype(kind) @ right.astype(kind).T
+    most = np.sqrt(2.0**53 / dim) * (1 - 1e-9)
+    low, few = a < most, b < most  # a single large row does not slow down all others
+    scores = np.empty((len(left), len(right)), np.int64)
+    scores[np.ix_(low, few)] = left[low].astype(np.float64) @ right[few].astype(np.float64).T
+    scores[:, ~few] = wide(left, right[~few])
+    scores[np.ix_(~low, few)] = wide(left[~low], right[few])
+    return scores
+
+
 def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, id, score) of the k best rows of each query, ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
-    rows, ids = rows[order], ids[order]
-    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1]
-    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
-    left, right = queries.astype(kind), rows.astype(kind)
+    rows, ids = rows[order].astype(np.int64), ids[order]
+    queries = queries.astype(np.int64)
     found = []
-    for a in range(0, len(left), TILE_QUERIES):
+    for a in range(0, len(queries), TILE_QUERIES):
         part = [[] for _ in query_ids[a : a + TILE_QUERIES]]
-        for b in range(0, len(right), TILE_ROWS):
-            scores = left[a : a + TILE_QUERIES] @ right[b : b + TILE_ROWS].T
+        for b in range(0, len(rows), TILE_ROWS):
+            scores = products(queries[a : a + TILE_QUERIES], rows[b : b + TILE_ROWS])
             for i, line in enumerate(scores):
                 own = query_ids[a + i]
                 if len(line) > k + 1:
@@ -58,8 +98,9 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
                 else:
                     at = np.arange(len(line))
                 at = at[ids[b + at] != own]
-                at = at[np.argsort(-line[at], kind="stable")[:k]]  # ids ascend, so equal scores keep the smaller first
-                part[i] += [(int(line[j]), int(ids[b + j])) for j in at]
+                # ids ascend, so of equal scores the smaller id comes first if the reversed order is reversed again
+                at = at[::-1][np.argsort(line[at[::-1]], kind="stable")[::-1]]
+                part[i] += [(int(line[j]), int(ids[b + j])) for j in at[:k]]
         for i, seen in enumerate(part):
             found += [(int(query_ids[a + i]), y, s) for s, y in sorted(seen, key=lambda x: (-x[0], x[1]))[:k]]
     return found
@@ -70,7 +111,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     sound = vectors.select(F.col(id_column).cast("long").alias("vec_id"), whole_numbers(F.col(vector_column), scale).alias("v"), is_query.alias("q"))
     sound = sound.where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     sound = written(sound.withColumn("dim", F.size("v")), "vectors")
-    count = sound.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0)).alias("q")).first()
+    ends = [F.max(F.array_max("v")).alias("most"), F.min(F.array_min("v")).alias("least")]
+    count = sound.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0)).alias("q"), *ends).first()
+    bytes_of = {"smallint": 2**15, "int": 2**31}
+    kind = next((t for t, n in bytes_of.items() if count["n"] and -n <= count["least"] and count["most"] < n), "bigint")
+    sound = sound.withColumn("v", F.col("v").cast(f"array<{kind}>"))
     blocks, shards = 1 + count["q"] // QUERY_BLOCK, 1 + count["n"] // SHARD_ROWS
     fixed = F.xxhash64("vec_id")
     # other names than the candidates' columns: a cogroup of one table with itself loses equally named ones

@@ -46,7 +46,24 @@ def test_blocks_shards_and_the_merging_tree(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) == plain(rows, 5)
 
 
-def test_large_components_stay_exact():
-    big = np.asarray([[2**30, 1], [2**30, 2]], np.int64)
-    assert x.best_of(big[:1], np.asarray([0]), big, np.asarray([0, 1]), 5) == [(0, 1, 2**60 + 2)]
-    assert x.best_of(np.asarray([[2**33]], np.int64), np.asarray([0]), np.asarray([[2**33]], np.int64), np.asarray([1]), 1) == [(0, 1, 2**66)]
+def test_large_components_through_the_query(spark):
+    """Products of any size are exact up to 64 bits and cut there; a few large rows among many small ones change nothing else."""
+    draw = np.random.default_rng(12)
+    rows = [(k, [float(v) for v in draw.integers(-4, 5, 3) / 4]) for k in range(120)]
+    rows += [(500, [3e8, 1.0, 0.0]), (501, [3e8, 0.5, 0.0]), (502, [-3e8, 1.0, 2.0]), (550, [1e30, 1.0, 1.0]), (551, [-1e30, 0.0, 0.0]), (552, [1e5, 1e5, 1e5]), (553, [3.6028797018963964e16, 0.0, 0.0])]
+    scaled = {i: [max(-(2**63), min(2**63 - 1, int(np.floor(256 * np.float64(x))))) for x in v] for i, v in rows}
+    expected = {}
+    for q in (i for i in scaled if i % 50 == 0):
+        dots = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(scaled[q], w, strict=True)))), i) for i, w in scaled.items() if i != q)
+        expected |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(dots[:5])}
+    assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == expected
+
+
+def test_wide_products_equal_python():
+    draw = np.random.default_rng(1)
+    for most in (2**30, 2**45, 2**62):
+        left, right = draw.integers(-most, most, (4, 7)), draw.integers(-most, most, (5, 7))
+        left[0, 0], right[1, 1] = -(2**63), 2**63 - 1
+        exact = [[max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(one, two, strict=True)))) for two in right] for one in left]
+        assert x.products(left, right).tolist() == exact
+    assert x.best_of(np.asarray([[2**30, 1]]), np.asarray([0]), np.asarray([[2**30, 1], [2**30, 2]]), np.asarray([0, 1]), 5) == [(0, 1, 2**60 + 2)]
