@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspan.llm.shared import table, written
@@ -30,12 +30,13 @@ from tallyspan.llm.shared import table, written
 WINDOW = 2048
 SEPARATOR = 0
 #: Distinct spellings in a generation of a Python worker's memory; it holds two, and a full one replaces the older.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Pieces that one ranking group holds on average.
 GROUP_ROWS = 2_000
 
 PLACED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
+NAMES = ("doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids")
 
 
 def default_vocabulary() -> str:
@@ -120,9 +121,14 @@ def spellings(vocabulary: str) -> Spellings:
     return _spellings[vocabulary]
 
 
-def cut(vocabulary: str, window: int, separator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Tokenizes (doc_id, text, salt) rows into pieces of ``window`` tokens at most."""
+def cut(vocabulary: str, window: int, separator: int, with_ids: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tokenizes (doc_id, text, salt) rows into pieces of ``window`` tokens at most; with their ids, as bytes, if asked."""
     end = np.asarray([separator], "<u4").tobytes()
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 7 if with_ids else 6]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(NAMES[: len(kinds)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = spellings(vocabulary)
@@ -132,11 +138,11 @@ def cut(vocabulary: str, window: int, separator: int) -> Callable[[Iterator[pa.R
                 ids = known.ids(text.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * window)):
                     part = ids[at : at + 4 * window]
-                    rows.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), salt.as_py()))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "salt")
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+                    rows.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), salt.as_py(), *([part] if with_ids else [])))
+                    if len(rows) >= 4096:
+                        yield batch_of(rows)
+                        rows = []
+            yield batch_of(rows)
 
     return run
 
@@ -202,7 +208,7 @@ def place(runs: list[tuple[int, int, int, int, int, int]]) -> Callable[[Iterator
                 ahead = rank[at] - r[:, 1]
                 sequence[at] = r[:, 3] + ahead // r[:, 5]
                 offset[at] = r[:, 4] + ahead % r[:, 5] * n
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
+            names = [*NAMES[:6]]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     return run
@@ -218,67 +224,64 @@ def ranked(pieces: DataFrame, groups: int) -> DataFrame:
     return local.join(starts, ["length", "group"]).select("doc_id", "piece", "start", "length", "ids_crc32", "salt", (F.col("first") + F.col("place")).alias("rank"))
 
 
-def pack(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None, separator: int = SEPARATOR, key_column: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset (its place there).
+def pieces_of(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
+    """The table of all pieces, written; ``salt`` is a number of its own for each row of ``documents``."""
+    salt = F.monotonically_increasing_id()
+    source = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), salt.alias("salt"))
+    cutter = cut(vocabulary or default_vocabulary(), window, separator, with_ids)
+    return written(source.mapInArrow(cutter, PIECES + (", ids binary" if with_ids else "")), "pieces")
 
-    With ``key_column``, a unique whole number for each row of ``documents``, also that column.
-    """
-    vocabulary = vocabulary or default_vocabulary()
-    text: Column = F.col(text_column)
-    salt = F.col(key_column).cast("long") if key_column else F.xxhash64(F.col(id_column), F.monotonically_increasing_id())
-    source = documents.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), salt.alias("salt"))
-    pieces = written(source.mapInArrow(cut(vocabulary, window, separator), PIECES), "pieces")
+
+def placed(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The pieces with their sequence_id and offset (place there), and ``salt``."""
+    pieces = pieces.select(*NAMES[:6])
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # window rows at most
-    if histogram:
-        groups = 1 + sum(histogram.values()) // GROUP_ROWS
-        schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, sequence_id long, offset long"
-        placed = ranked(pieces, groups).mapInArrow(place(plan(histogram, window)), schema)
-    else:
-        placed = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    return placed.select(*PLACED, *([F.col("salt").alias(key_column)] if key_column else []))
+    if not histogram:
+        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    groups = 1 + sum(histogram.values()) // GROUP_ROWS
+    return ranked(pieces, groups).mapInArrow(place(plan(histogram, window)), f"{PIECES}, sequence_id long, offset long")
+
+
+def pack(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None, separator: int = SEPARATOR) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset (its place there)."""
+    return placed(pieces_of(documents, id_column, text_column, window, vocabulary, separator), window).select(*PLACED)
 
 
-def sequences(documents: DataFrame, placed: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None, separator: int = SEPARATOR, key_column: str | None = None) -> DataFrame:
-    """The packed sequences themselves: sequence_id, its token ids, at most ``window`` of them, and its parts in order.
+def sequences(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None, separator: int = SEPARATOR) -> DataFrame:
+    """The packed sequences themselves: sequence_id, its token ids as bytes, at most ``window`` of them, and its parts in order.
 
-    Needs unique ids in ``documents``, or the ``key_column`` that ``pack`` was given; tokenizes again instead of
-    shuffling ids through the planning steps.
+    A part has doc_id, row_key (a number of its own for each row of ``documents``), piece, start, length and offset.
+    Ids need not be unique. Every text is tokenized once: the ids wait in the table of pieces for their places.
     """
-    vocabulary = vocabulary or default_vocabulary()
-    end = np.asarray([separator], "<u4").tobytes()
+    pieces = pieces_of(documents, id_column, text_column, window, vocabulary, separator, with_ids=True)
+    places = placed(pieces, window).select("salt", "piece", "sequence_id", "offset")
+    parts = pieces.join(places, ["salt", "piece"])
+    in_order = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id", F.col("salt").alias("row_key"), "piece", "start", "length"))).alias("all"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = spellings(vocabulary)
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(known.ids(text.as_py()) + end, "<i4")
-                rows += [(key, k, ids[at : at + window]) for k, at in enumerate(range(0, len(ids), window))]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int32()))], names=["__key", "__piece", "ids"])
+            ids = [b"".join(x["ids"] for x in row) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], names=["sequence_id", "ids", "parts"])
 
-    texts = documents.select(F.col(key_column or id_column).cast("long").alias("__key"), F.col(text_column).alias("text"))
-    met = (F.col("__key") == F.col(key_column or "doc_id")) & (F.col("__piece") == F.col("piece"))
-    parts = texts.mapInArrow(run, "__key long, __piece int, ids array<int>").join(placed, met)
-    in_order = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id", "piece", "start", "length"))).alias("all"))
-    ids = F.flatten(F.transform("all", lambda x: x["ids"]))
-    return in_order.select("sequence_id", ids.alias("ids"), F.transform("all", lambda x: x.dropFields("ids")).alias("parts"))
+    kind = "array<struct<offset: long, doc_id: long, row_key: long, piece: int, start: long, length: long>>"
+    split = in_order.select("sequence_id", F.transform("all", lambda x: F.struct(x["ids"].alias("ids"))).alias("ids"), F.transform("all", lambda x: x.dropFields("ids")).alias("parts"))
+    return split.mapInArrow(run, f"sequence_id long, ids binary, parts {kind}")
 
 
 def digests(packed: DataFrame) -> DataFrame:
-    """The rows of ``pack`` from the sequences themselves, checksums of the token ids that lie there."""
+    """The rows of ``pack`` and ``row_key`` from the sequences themselves, checksums of the token ids that lie there."""
+    fields = ("doc_id", "row_key", "piece", "start", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for sequence, ids, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = ids.values.to_numpy().astype("<i4").tobytes()
-                rows += [(p["doc_id"], p["piece"], p["start"], p["length"], zlib.crc32(raw[4 * p["offset"] : 4 * (p["offset"] + p["length"])]), sequence, p["offset"]) for p in parts]
-            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
-            columns = zip(*rows, strict=True) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=PLACED)
-
-    return packed.select("sequence_id", "ids", "parts").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+            for sequence, ids, parts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                rows += [(*(p[f] for f in fields), zlib.crc32(ids[4 * p["offset"] : 4 * (p["offset"] + p["length"])]), sequence, p["offset"]) for p in parts]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 5)
+            columns = zip(*rows, strict=True) if rows else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*fields, "ids_crc32", "sequence_id", "offset"])
+
+    return packed.select("sequence_id", "ids", "parts").mapInArrow(run, "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ repaired and rendered by itself. So the longest conversation is neither sorted n
 
 Defined results: a null or unknown role must be relabelled; a null text is empty; a null turn number comes first;
 rows that share a turn number stand in order of role and text, repeated rows too; a null conversation id is a
-conversation of its own; an empty table gives an empty result; extra columns are not carried along.
+conversation of its own; ids may be of any type that can be compared; rules under which some conversation has no legal
+repair are refused with a ValueError; an empty table gives an empty result; extra columns are not carried along.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyspan.llm.shared import table, written
 
@@ -39,6 +41,20 @@ class Automaton:
     insert: int = 3
     relabel: int = 5
 
+    def __post_init__(self) -> None:
+        """Refuses rules under which some conversation has no legal repair."""
+        finish, met, todo = self.finish(), {frozenset([0])}, [frozenset([0])]
+        while todo:
+            now = todo.pop()
+            if all(finish[state][0] >= NEVER for state in now):
+                raise ValueError("under these rules some conversation cannot be repaired")
+            for role in (*self.roles, None):
+                steps = self.steps(role)
+                after = frozenset(option[0] for state in now for option in steps[state])
+                if after not in met:
+                    met.add(after)
+                    todo.append(after)
+
     def states(self) -> list[str]:
         return ["", *self.roles]
 
@@ -156,16 +172,18 @@ def format_chats(turns: DataFrame, automaton: Automaton = Automaton(), segment:
     together are its rendered text.
     """
     source = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
+        F.col("conv_id"),
         F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("long").alias("segment"),
         F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     source = source.withColumn("mark", F.xxhash64("text"))
     order = ["conv_id", "segment", "turn", "role", "mark"]
+    kind = source.schema["conv_id"].dataType
+    name, of_id = kind.simpleString(), to_arrow_type(kind)
     size = len(automaton.roles) + 1
-    costs_schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("costs", pa.list_(pa.int64()))])
-    cuts_schema = pa.schema([("c", pa.int64()), ("s", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32()), ("last", pa.bool_())])
-    out_schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("piece", pa.int32()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("rendered", pa.string())])
+    costs_schema = pa.schema([("conv_id", of_id), ("segment", pa.int64()), ("costs", pa.list_(pa.int64()))])
+    cuts_schema = pa.schema([("c", of_id), ("s", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32()), ("last", pa.bool_())])
+    out_schema = pa.schema([("conv_id", of_id), ("segment", pa.int64()), ("piece", pa.int32()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("rendered", pa.string())])
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair = Repair(automaton)
@@ -214,13 +232,13 @@ def format_chats(turns: DataFrame, automaton: Automaton = Automaton(), segment:
         return emitted((row for key, rows in groups(batches, 2) for row in of(key, rows)), out_schema)
 
     roles = source.drop("text").repartition("conv_id", "segment").sortWithinPartitions(*order)
-    costs = roles.select("conv_id", "segment", "turn", "role", "mark").mapInArrow(tables, "conv_id long, segment long, costs array<long>")
+    costs = roles.select("conv_id", "segment", "turn", "role", "mark").mapInArrow(tables, f"conv_id {name}, segment long, costs array<long>")
     met = costs.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
-    fixed = written(met.mapInArrow(cuts, "c long, s long, entry int, exit int, last boolean"), "cuts")
+    fixed = written(met.mapInArrow(cuts, f"c {name}, s long, entry int, exit int, last boolean"), "cuts")
     joined = source.join(fixed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s")))
     joined = joined.repartition("conv_id", "segment").sortWithinPartitions(*order)
     pieces = joined.select("conv_id", "segment", "turn", "role", "text", "entry", "exit", "last")
-    return pieces.mapInArrow(render, "conv_id long, segment long, piece int, turn long, role string, new_role string, action string, rendered string")
+    return pieces.mapInArrow(render, f"conv_id {name}, segment long, piece int, turn long, role string, new_role string, action string, rendered string")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ PASSAGES = 400
 PASSAGE_TOKENS = 64
 PASSAGE_CHARS = 2000
 #: Spellings that a Python worker remembers, and characters that are tokenized at a time.
-REMEMBERED, REMEMBERED_CHARS = 60_000, 4_000_000
+REMEMBERED, REMEMBERED_CHARS = 120_000, 4_000_000
 STRETCH = 250_000
 KINDS = ("assign", "access", "hex", "crf")
 

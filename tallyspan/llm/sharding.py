@@ -6,8 +6,9 @@ the summed weight, so at each level a node is met in proportion to the weight be
 least draw at each level. Adding a shard, or raising its weight, lowers draws in its own subtree only: rows move
 into that shard and nowhere else.
 
-Slots are ranks within a shard, counted inside 4096 hash groups and shifted by the groups before; no shard is
-sorted in one task.
+Slots are ranks within a shard, counted inside 4096 hash groups of ids and shifted by the groups before. Equal rows, however
+many, are told apart by a salt of ``SALTS`` values: a group only orders the counts of its distinct rows, so neither a shard
+nor the rows of one id are sorted in one task.
 
 Defined results: a null text has size 8 and the checksum of no bytes; a null id is the key of the empty string;
 rows of one id share a shard and have a slot each; an empty table gives an empty result; extra columns are not
@@ -25,6 +26,7 @@ from tallyspan.llm.shared import let, table, written
 
 SHARDS = 24
 GROUP_DIGITS = 3  # hexadecimal digits that name a slot group
+SALTS = 256
 
 
 @dataclass(frozen=True)
@@ -83,13 +85,19 @@ def shard(documents: DataFrame, tree: list[Shard], grown: list[Shard], id_column
         descend(key, tree).cast("int").alias("shard"),
         descend(key, grown).cast("int").alias("grown_shard"),
         F.substring(F.md5(key), 1, GROUP_DIGITS).alias("__group"),
+        F.coalesce(F.concat(F.lit("="), F.col(id_column).cast("string")), F.lit("")).alias("__key"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("__salt"),
     )
-    placed = written(placed, "shards")
+    placed = written(placed, "shards")  # the salt is fixed from here on
+    same = ["shard", "__group", "__key", "size", "text_crc32", "__salt"]
+    counts = placed.groupBy(*same, "doc_id").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "__group").agg(F.count(F.lit(1)).alias("n")).select("shard", "__group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("shard", "__group").orderBy("doc_id", "size", "text_crc32")
-    ranked = placed.withColumn("__rank", F.row_number().over(inside) - 1).join(starts, ["shard", "__group"])
-    return ranked.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("__start") + F.col("__rank")).alias("slot"), "grown_shard")
+    inside = Window.partitionBy("shard", "__group").orderBy("doc_id", "size", "text_crc32", "__salt").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.withColumn("__ahead", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["shard", "__group"])
+    firsts = firsts.select(*same, (F.col("__start") + F.col("__ahead")).alias("__first"))
+    ranked = placed.join(firsts, same).withColumn("__rank", F.row_number().over(Window.partitionBy(*same).orderBy("grown_shard")) - 1)
+    return ranked.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("__first") + F.col("__rank")).alias("slot"), "grown_shard")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,18 +45,55 @@ def own_folder(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application; results that were not written yet are lost with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    _delete(spark, own_folder(spark))
+
+
+#: Folders of the tables written inside the open scopes, innermost last.
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(frame: DataFrame, tag: str, partitions: int | None = None) -> DataFrame:
-    """The frame as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors."""
+def written(frame: DataFrame, tag: str, partitions: int | None = None, keep: bool = False) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors.
+
+    The open scope drops it when it ends, unless it is to be kept.
+    """
     spark = frame.sparkSession
     path = f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     (frame.coalesce(partitions) if partitions else frame).write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the tables that are written inside, when it ends; gives the function that writes a result to be kept.
+
+    A result that is not written inside by that function may read tables that are gone afterwards.
+    """
+    mine: list[str] = []
+    _scopes.append(mine)
+
+    def kept(frame: DataFrame, tag: str) -> DataFrame:
+        result = written(frame, tag)
+        path = mine.pop()
+        if len(_scopes) > 1:  # it is the outer scope's now
+            _scopes[-2].append(path)
+        return result
+
+    try:
+        yield kept
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            _delete(spark, path)
+
+
 def drop_written(frame: DataFrame) -> None:
     """Deletes the files of a table made by ``written`` that nothing reads any more."""
     spark = frame.sparkSession

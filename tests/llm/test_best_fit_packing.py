@@ -110,10 +110,24 @@ def test_ranks_are_gapless_in_any_number_of_groups(spark):
         assert all(sorted(v) == list(range(len(v))) for v in found.values())
 
 
-def test_sequences_round_trip(spark, awkward):
-    unique = awkward.where("doc_id is not null").dropDuplicates(["doc_id"])
-    placed = b.pack(unique).persist()
-    made = {r.sequence_id: r.ids for r in b.sequences(unique, placed).collect()}
-    for r in placed.collect():
-        part = np.asarray(made[r.sequence_id][r.offset : r.offset + r.length], "<u4").tobytes()
-        assert zlib.crc32(part) == r.ids_crc32
+def test_sequences_round_trip(spark, awkward, nothing):
+    """Every part of every sequence is its text's ids, ids repeated or null; every row of the table is there once."""
+    from tallyspan.llm.shared import written
+
+    docs = awkward.select("doc_id", "text")
+    own, made = b.Spellings(b.default_vocabulary()), written(b.sequences(docs), "test-sequences")
+    expected = sorted((r.doc_id or -1, own.ids(r.text) + bytes(4)) for r in docs.collect())
+    found, place = {}, {}
+    for r in made.collect():
+        at = 0
+        for p in r.parts:
+            assert p.offset == at
+            at += p.length
+            found.setdefault((p.doc_id or -1, p.row_key), {})[p.start] = bytes(r.ids[4 * p.offset : 4 * at])
+            place[p.row_key, p.piece] = (p.doc_id, p.start, p.length, r.sequence_id, p.offset)
+        assert len(r.ids) == 4 * at <= 4 * 2048
+    assert sorted((k[0], b"".join(v[s] for s in sorted(v))) for k, v in found.items()) == expected
+    rows = b.digests(made).collect()
+    assert {(r.row_key, r.piece): (r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows} == place and len(rows) == len(place)
+    assert all(zlib.crc32(found[r.doc_id or -1, r.row_key][r.start]) == r.ids_crc32 for r in rows)
+    assert b.sequences(nothing).count() == 0 and b.digests(b.sequences(nothing)).count() == 0

@@ -9,16 +9,32 @@ from tallyspan.llm.shared import table
 A = c.Automaton()
 
 
+#: What may follow a start or a role, written out by hand.
+AFTER = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+
+
 def cheapest(roles):
-    finish = A.finish()
+    """The least cost of a legal conversation that has every given turn, by trying all ways.
+
+    Costs: 2 for merging a turn into the one before, 5 for another role than given, 3 for an empty turn put in between.
+    """
 
     @lru_cache(None)
-    def least(k, state):
+    def least(k, last):
         if k == len(roles):
-            return finish[state][0]
-        return min((o[1] + least(k + 1, o[0]) for o in A.steps(roles[k] if roles[k] in A.roles else None)[state]), default=c.NEVER)
+            return {"": 0, "assistant": 0, "user": 3, "system": 6}[last]
+        found = []
+        for role in ("system", "user", "assistant"):
+            paid = 0 if role == roles[k] else 5
+            if role == last:
+                found.append(paid + 2 + least(k + 1, role))
+            if role in AFTER[last]:
+                found.append(paid + least(k + 1, role))
+            if any(role in AFTER[between] for between in AFTER[last]):
+                found.append(paid + 3 + least(k + 1, role))
+        return min(found)
 
-    return least(0, 0)
+    return least(0, "")
 
 
 def by_conversation(frame):
@@ -64,3 +80,19 @@ def test_query_covers_every_turn(spark):
     sf = "/root/testdata/sf0.001"
     rows = c.op8_chat_formatting(spark, sf).where("action <> 'insert'")
     assert rows.count() == table(spark, sf, "conversations").count()
+
+
+def test_rules_without_a_way_are_refused():
+    import pytest
+
+    with pytest.raises(ValueError, match="cannot be repaired"):
+        c.Automaton(follows=(("", "user"),), ends=("assistant",))
+    with pytest.raises(ValueError, match="cannot be repaired"):
+        c.Automaton(roles=("user", "assistant"), follows=(("user", "assistant"),))
+    assert c.Automaton(roles=("user",), follows=(("", "user"),), ends=("user",)).finish()[1] == (0, [])
+
+
+def test_ids_of_other_types(spark):
+    frame = spark.createDataFrame([("a", 0, "user", "Hi"), ("a", 1, "assistant", "Yes"), ("7", 0, "tool", "x"), (None, 0, "user", "y")], "conv_id string, turn long, role string, text string")
+    found = by_conversation(c.format_chats(frame))
+    assert set(found) == {"a", "7", None} and "".join(r.rendered for r in found["a"]).count("<|end|>") == 2

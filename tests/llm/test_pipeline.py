@@ -40,30 +40,44 @@ def test_stages_against_plain_versions(spark):
 
 
 def test_stages_on_awkward_rows(spark, awkward, nothing):
-    for docs in (awkward.select("doc_id", "text", "lang", "source", "n_chars"), nothing.select("doc_id", "text", "lang", "source", "n_chars")):
-        for name, stage in p.STAGES:
-            docs = written(stage(spark, docs, SF), f"test-{name}")
-            docs.count()
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = awkward.select(*names)
+    kept = {r.doc_id for r in docs.collect()}
+    for name, stage in p.STAGES:
+        before = docs.collect()
+        docs = written(stage(spark, docs, SF), f"test-{name}")
+        after = docs.collect()
+        if name == "toxicity":
+            assert {r.doc_id for r in after} <= kept and {1, 4, 5, 6, 7, 10, None} <= {r.doc_id for r in after}
+        elif name == "near_dedup":
+            assert {4, 5, 6, 7, None} <= {r.doc_id for r in after} and not {2, 3, 8} & {r.doc_id for r in after}
+        elif name == "secrets":
+            assert len(after) == len(before) and not any("hunter2hunter2" in (r.text or "") for r in after)
+            assert sorted(str(r.text) for r in after if r.doc_id != 12) == sorted(str(r.text) for r in before if r.doc_id != 12)
+        elif name == "mixing":
+            assert {r.doc_id for r in after} == {r.doc_id for r in before} and {tuple(r) for r in after} == {tuple(r) for r in before}
+        else:
+            assert {r.doc_id for r in after} == {r.doc_id for r in before} and len({(r.row_key, r.piece) for r in after}) == len(after)
+            assert len({r.row_key for r in after}) == len(before)
+    docs = nothing.select(*names)
+    for name, stage in p.STAGES:
+        docs = written(stage(spark, docs, SF), f"test-{name}")
+        assert docs.count() == 0
+
+
+def test_run_keeps_only_its_results(spark):
+    from pathlib import Path
+
+    from tallyspan.llm.shared import own_folder, release
+
+    release(spark)
+    rows = p.run(spark, SF).collect()
+    assert len({(r.row_key, r.piece) for r in rows}) == len(rows) > 0
+    left = {f.name.rsplit("-", 1)[0] for f in Path(own_folder(spark).removeprefix("file://")).iterdir()}
+    assert left == {"sequences", "stage-packing"}
 
 
 def test_near_copies_keep_their_smallest_id(spark):
     text = " ".join(f"w{k}" for k in range(200))
     rows = spark.createDataFrame([(9, text), (4, text + " tail"), (7, "something else that is said in quite other words")], "doc_id long, text string")
     assert sorted(r.doc_id for r in minhash_near_dedup.keep_one(rows).collect()) == [4, 7]
-
-
-def test_sequences_hold_repeated_and_null_ids(spark):
-    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, "no id"), (None, None), (2, "word " * 5000)], "doc_id long, text string")
-    own = best_fit_packing.spellings(best_fit_packing.default_vocabulary())
-    whole = written(p.packed(docs), "test-sequences")
-    made = {r.sequence_id: r.ids for r in whole.collect()}
-    expected = sorted(t for r in docs.collect() for t in memoryview(own.ids(r.text) + bytes(4)).cast("I"))
-    assert sorted(t for ids in made.values() for t in ids) == expected and max(map(len, made.values())) <= 2048
-    rows = best_fit_packing.digests(whole).collect()
-    assert sorted(r.length for r in rows if r.doc_id is None) == sorted(len(own.ids(t)) // 4 + 1 for t in ("no id", None))
-    assert sum(r.doc_id == 1 for r in rows) == 2
-    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id}
-    for r in rows:
-        if r.doc_id:
-            ids = own.ids(texts[r.doc_id]) + bytes(4)
-            assert zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32

@@ -4,6 +4,8 @@ import hashlib
 import math
 import zlib
 
+from pyspark.sql import functions as F
+
 from tallyspan.llm import sharding as s
 from tests.oracle import FOLDER, same
 
@@ -32,6 +34,18 @@ def test_awkward_rows(spark, awkward, nothing):
         assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
 
 
+def test_equal_rows_are_spread(spark):
+    """A third of all rows with one id and one text, a third without an id: no window or join has them in one partition."""
+    rows = spark.range(6000).selectExpr("case id % 3 when 0 then 7 when 1 then null else id end as doc_id", "case id % 3 when 2 then string(id) else 'same' end as text")
+    out = s.shard(rows, s.layout(24), s.layout(25)).persist()
+    for shard, slots in {r.shard: r.s for r in out.groupBy("shard").agg(F.collect_list("slot").alias("s")).collect()}.items():
+        assert sorted(slots) == list(range(len(slots))), shard
+    assert out.count() == 6000
+    plan = s.shard(rows, s.layout(24), s.layout(25))._jdf.queryExecution().optimizedPlan().toString()
+    ranks = [w for w in plan.split("\n") if "row_number" in w and "Window" in w]
+    assert ranks and all("__salt" in w for w in ranks)  # the other windows are over counts
+
+
 def test_growth_moves_rows_into_the_new_shard_only(spark):
     rows = spark.range(4000).selectExpr("id as doc_id", "'t' as text")
     for n in (5, 24, 25, 31):
