@@ -5,6 +5,8 @@ Each rule is a Column over the columns of a checks table; order of branches is p
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,73 +19,83 @@ END_LABELS = ("end", "full", "enough")
 FULL_SINCE = 1_790_957_389_000_000
 
 
-def first_of(*rules: tuple[Column, str]) -> Column:
-    """The class of the first rule that holds; the last rule's condition is not asked."""
-    out = F.lit(rules[-1][1])
-    for condition, name in reversed(rules[:-1]):
-        out = F.when(F.coalesce(condition, F.lit(False)), F.lit(name)).otherwise(out)
-    return out
+# Outcomes that the classes are told apart by, beside those above.
+ROWS = ("WRONG_ROWS", "PARTIAL")
+NO_HOST = ("NO_REGISTERED_HOST", "UNROUTABLE_HOST")
+OTHERS = ("SERVED_OK", "NOT_FOUND", "INVALID_ROWS", "RPC_THROTTLED", "RPC_DEADLINE", "IDENTITY_FAIL", "PROBE_ERROR", "MISSED", "REACHABLE")
 
 
 def phase(started: Column, must_serve: Column, tolerance: int) -> Column:
     return F.when(started < must_serve, "in_window").when(started <= must_serve + tolerance, "grace").otherwise("post")
 
 
+# The names of classes in what follows, in the record format's spelling.
+def _by_phase(outcome: str, genuine: bool) -> tuple[str, str, str]:
+    """The class of an answer of an endorsing validator in the window, in the grace after it and past both."""
+    silent = outcome in UNREACHED or outcome in BAD_ANSWERS or outcome == "RPC_THROTTLED"
+    if outcome == "SERVED_OK":
+        return "HEALTHY", "HEALTHY", "SERVED_PAST_WINDOW"
+    if outcome == "NOT_FOUND":
+        return "FAULT", "TOLERATED", "EXPECTED_GONE"
+    if outcome == "INVALID_ROWS":
+        return "FAULT", "FAULT", "FAULT"
+    if outcome in ROWS:
+        return ("UNMATCHED_GENUINE", "UNMATCHED_GENUINE", "SERVED_PAST_WINDOW") if genuine else ("FAULT", "FAULT", "SERVED_PAST_WINDOW")
+    if silent:
+        return "SERVER_ERROR" if outcome in BAD_ANSWERS else "THROTTLED" if outcome == "RPC_THROTTLED" else "UNREACHABLE", "TOLERATED", "UNREACHABLE_POST_WINDOW"
+    return "PROBE_ERROR", "PROBE_ERROR", "PROBE_ERROR"
+
+
+def _unassigned(outcome: str) -> str:
+    if outcome in ("SERVED_OK", "INVALID_ROWS", *ROWS):
+        return "SERVING_UNASSIGNED"
+    return "EXPECTED_UNASSIGNED" if outcome in ("NOT_FOUND", "RPC_THROTTLED", *UNREACHED, *BAD_ANSWERS) else "PROBE_ERROR"
+
+
+def _answers(outcome: str) -> list[str]:
+    """The classes of an outcome by case, and within it by whether the identity is stale.
+
+    Cases: the pin is stale and the validator assigned, or not; no endorsement; not assigned; then by phase each: verified rows of
+    another's shard, perhaps of another's, verified, not verified. What concerns the observer comes first, then the
+    endpoint, then what was promised, then the phase.
+    """
+    shadowed = ["SHADOWED_SHARD"] * 3 if outcome in ROWS else [*_by_phase(outcome, True)]
+    uncertain = ["PROBE_ERROR"] * 3 if outcome in ROWS else [*_by_phase(outcome, True)]
+    cases = ["PROBE_ERROR", "PROBE_ERROR", "UNATTESTED", _unassigned(outcome), *shadowed, *uncertain, *_by_phase(outcome, True), *_by_phase(outcome, False)]
+    if outcome in ("PROBE_ERROR", "RPC_DEADLINE"):
+        cases = ["PROBE_ERROR"] * len(cases)
+    if outcome in ("MISSED", "REACHABLE"):
+        cases = ["NOT_PROBED"] * len(cases)
+    if outcome in NO_HOST:
+        cases = ["EXPECTED_UNASSIGNED" if k in (1, 3) else "NOT_REGISTERED" for k in range(len(cases))]
+    if outcome == "IDENTITY_FAIL":
+        return ["IDENTITY_MISMATCH", "IDENTITY_EXPIRED"] * len(cases)
+    return [c for case in cases for c in (case, case)]
+
+
+@cache
+def _class_table() -> str:
+    """All answers as one map literal; the empty outcome stands for every other one."""
+    rows = (f"'{o}', array({', '.join(map(repr, _answers(o)))})" for o in (*UNREACHED, *BAD_ANSWERS, *ROWS, *NO_HOST, *OTHERS, ""))
+    return f"map({', '.join(rows)})"
+
+
 def classification(outcome: Column, stage: Column, flag: dict[str, Column]) -> Column:
-    """The class of a check from its outcome, its phase and its evidence.
+    """The class of a check from its outcome, its phase and its evidence: one look into a table of all cases.
 
     ``flag`` has assigned, attested, attestation_unknown, verified, shadowed, shadow_uncertain, identity_stale and
-    pin_stale. What concerns the observer comes first, then the endpoint, then what was promised, then the phase.
+    pin_stale; a null flag decides nothing, a null ``assigned`` counts as not assigned.
     """
-    some_rows = outcome.isin("WRONG_ROWS", "PARTIAL")
-    genuine = some_rows & flag["verified"]
-    unreached, bad = outcome.isin(*UNREACHED), outcome.isin(*BAD_ANSWERS)
-    unassigned = first_of(
-        (outcome == "NOT_FOUND", "EXPECTED_UNASSIGNED"),
-        (outcome.isin("SERVED_OK", "PARTIAL", "WRONG_ROWS", "INVALID_ROWS"), "SERVING_UNASSIGNED"),
-        (unreached | bad | (outcome == "RPC_THROTTLED"), "EXPECTED_UNASSIGNED"),
-        (F.lit(True), "PROBE_ERROR"),
-    )
-    within = first_of(
-        (outcome == "SERVED_OK", "HEALTHY"),
-        (outcome.isin("NOT_FOUND", "INVALID_ROWS"), "FAULT"),
-        (genuine, "UNMATCHED_GENUINE"),
-        (some_rows, "FAULT"),
-        (bad, "SERVER_ERROR"),
-        (outcome == "RPC_THROTTLED", "THROTTLED"),
-        (unreached, "UNREACHABLE"),
-        (F.lit(True), "PROBE_ERROR"),
-    )
-    grace = first_of(
-        (outcome == "SERVED_OK", "HEALTHY"),
-        (outcome == "NOT_FOUND", "TOLERATED"),
-        (outcome == "INVALID_ROWS", "FAULT"),
-        (genuine, "UNMATCHED_GENUINE"),
-        (some_rows, "FAULT"),
-        (bad | unreached | (outcome == "RPC_THROTTLED"), "TOLERATED"),
-        (F.lit(True), "PROBE_ERROR"),
-    )
-    post = first_of(
-        (outcome == "NOT_FOUND", "EXPECTED_GONE"),
-        (outcome.isin("SERVED_OK", "WRONG_ROWS", "PARTIAL"), "SERVED_PAST_WINDOW"),
-        (outcome == "INVALID_ROWS", "FAULT"),
-        (bad | unreached | (outcome == "RPC_THROTTLED"), "UNREACHABLE_POST_WINDOW"),
-        (F.lit(True), "PROBE_ERROR"),
-    )
-    by_phase = F.when(stage == "in_window", within).when(stage == "grace", grace).otherwise(post)
-    no_host = outcome.isin("NO_REGISTERED_HOST", "UNROUTABLE_HOST")
-    return (
-        F.when(outcome.isin("PROBE_ERROR", "RPC_DEADLINE"), "PROBE_ERROR")
-        .when(outcome.isin("MISSED", "REACHABLE"), "NOT_PROBED")
-        .when(outcome == "IDENTITY_FAIL", F.when(flag["identity_stale"], "IDENTITY_EXPIRED").otherwise("IDENTITY_MISMATCH"))
-        .when(no_host, F.when(flag["assigned"], "NOT_REGISTERED").otherwise("EXPECTED_UNASSIGNED"))
-        .when(flag["pin_stale"], "PROBE_ERROR")
-        .when(flag["assigned"] & ~flag["attested"] & ~flag["attestation_unknown"], "UNATTESTED")
-        .when(~flag["assigned"], unassigned)
-        .when(genuine & flag["shadowed"], "SHADOWED_SHARD")
-        .when(genuine & flag["shadow_uncertain"], "PROBE_ERROR")
-        .otherwise(by_phase)
+    assigned = F.coalesce(flag["assigned"], F.lit(False))
+    step = F.when(stage == "in_window", 0).when(stage == "grace", 1).otherwise(2)
+    case = (
+        F.when(flag["pin_stale"], F.when(assigned, 0).otherwise(1))
+        .when(assigned & ~flag["attested"] & ~flag["attestation_unknown"], 2)
+        .when(~assigned, 3)
+        .otherwise(step + F.when(flag["verified"] & flag["shadowed"], 4).when(flag["verified"] & flag["shadow_uncertain"], 7).when(flag["verified"], 10).otherwise(13))
     )
+    table = F.expr(_class_table())
+    return F.get(F.coalesce(F.element_at(table, outcome), F.element_at(table, F.lit(""))), case * 2 + F.when(flag["identity_stale"], 1).otherwise(0))
 
 
 def effective(cls: Column, outcome: Column, held: Column) -> Column:
@@ -112,6 +124,7 @@ def end_segment(scheduled: Column, settled: Column, must_serve: Column, label: C
     return label.isin(*END_LABELS) | ((scheduled - must_serve) * 4 >= settled - must_serve)
 
 
+# The edges and names of load bands.
 def load_band(rows: Column) -> Column:
     return F.when(rows <= 148, "floor").when(rows < 1024, "low").when(rows < 2731, "mid").otherwise("high")
 

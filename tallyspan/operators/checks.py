@@ -17,6 +17,23 @@ def held_promises(publications: DataFrame, uncertain: DataFrame) -> DataFrame:
     return overlapping(spans, open_ranges, "promise_hash")
 
 
+def with_held(publications: DataFrame, uncertain: DataFrame, keep: list[str], width: int = 64) -> DataFrame:
+    """promise_hash, ``keep`` and ``held``: whether the promise's heights meet a range that still holds verdicts.
+
+    One shuffle by promise, which a join with its checks can use again. Ranges are cut at buckets of ``width`` heights, so a
+    bucket has at most width * (width + 1) / 2 different ones; a promise's heights lie in few buckets.
+    """
+    first, last = F.col("__b") * width, F.col("__b") * width + width - 1
+    cut = uncertain.where("holds").select("from_height", "to_height", F.explode(F.sequence(F.floor(F.col("from_height") / width), F.floor(F.col("to_height") / width))).alias("__b"))
+    cut = cut.select("__b", F.struct(F.greatest("from_height", first).alias("lo"), F.least("to_height", last).alias("hi")).alias("r"))
+    ranges = cut.groupBy("__b").agg(F.collect_set("r").alias("__ranges"))
+    lo, hi = F.col("promise_height") - 1, F.col("height")
+    spans = publications.select("promise_hash", *keep, lo.alias("__lo"), hi.alias("__hi"), F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))).alias("__b"))
+    meets = F.exists("__ranges", lambda r: (r["lo"] <= F.col("__hi")) & (r["hi"] >= F.col("__lo")))
+    joined = spans.join(ranges, "__b", "left")
+    return joined.groupBy("promise_hash").agg(*[F.max(c).alias(c) for c in keep], F.max(F.coalesce(meets, F.lit(False))).alias("held"))
+
+
 def evidence() -> dict[str, Column]:
     names = ("assigned", "attested", "attestation_unknown", "verified", "shadowed", "shadow_uncertain", "identity_stale", "pin_stale")
     return {n: F.col(n) for n in names}
@@ -24,9 +41,7 @@ def evidence() -> dict[str, Column]:
 
 def classified(raw: DataFrame, publications: DataFrame, uncertain: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Raw checks with what their promise says (settled_us, must_serve_us, ...), ``verified``, ``phase``, ``cls`` and ``held``."""
-    held = held_promises(publications, uncertain).withColumn("held", F.lit(True))
-    promised = publications.select("promise_hash", "settled_us", "must_serve_us", "needed_rows", "excess_rows", "height", "tx_index", "commitment")
-    promised = promised.join(held, "promise_hash", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    promised = with_held(publications, uncertain, ["settled_us", "must_serve_us", "needed_rows", "excess_rows", "height", "tx_index", "commitment"])
     verified = (F.col("outcome") == "SERVED_OK") | (F.col("outcome").isin("WRONG_ROWS", "PARTIAL") & F.col("rows_verify"))
     joined = raw.join(promised, "promise_hash").withColumn("verified", verified)
     joined = joined.withColumn("phase", rules.phase(F.col("started_us"), F.col("must_serve_us"), tolerance))

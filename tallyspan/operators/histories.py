@@ -159,3 +159,45 @@ def cascade(keys: DataFrame, sources: list[tuple[str, DataFrame]], by: str) -> D
     best = every.groupBy(by).agg(F.min(F.struct("place", "detail", "source")).alias("b"))
     return keys.join(best, by, "left").select(by, F.coalesce("b.source", F.lit("unknown")).alias("source"), F.col("b.detail").alias("detail"))
 
+
+
+def run_spans(events: DataFrame) -> DataFrame:
+    """Runs of processes from their events (component, vantage, pid, at_us, kind): from each start to the first stop from then on,
+    or while none came to the last beat before the next start. Equal starts are one."""
+    key = ["component", "vantage", "pid"]
+    rank = F.when(F.col("kind") == "started", 0).when(F.col("kind") == "beat", 1).otherwise(2)
+    order = Window.partitionBy(*key).orderBy("at_us", rank)
+    started = F.when(F.col("kind") == "started", F.col("at_us"))
+    marked = events.distinct().withColumns({
+        "__run": F.count(started).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "__stop": F.first(F.when(F.col("kind") == "stopped", F.col("at_us")), ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+    })
+    found = marked.where("__run > 0").groupBy(*key, "__run").agg(
+        F.min(started).alias("from_us"), F.max(F.when(F.col("kind") == "started", F.col("__stop"))).alias("stopped_us"), F.max(F.when(F.col("kind") == "beat", F.col("at_us"))).alias("beat_us")
+    )
+    return found.select(*key, "from_us", F.coalesce("stopped_us", "beat_us", "from_us").alias("to_us"), F.col("stopped_us").isNotNull().alias("stopped"))
+
+
+def gaps_between(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Stretches between the first and the last span of each key that no span covers."""
+    order = Window.partitionBy(*by).orderBy("from_us", "to_us").rowsBetween(Window.unboundedPreceding, -1)
+    upto = spans.withColumn("__upto", F.max("to_us").over(order)).where(F.col("from_us") > F.col("__upto"))
+    return upto.select(*by, F.col("__upto").alias("from_us"), F.col("from_us").alias("to_us"))
+
+
+def confirmed_elsewhere(beats: DataFrame, within: int) -> DataFrame:
+    """Every failed heartbeat with what else is known of it.
+
+    ``flaky``: the heartbeat before it of the same vantage at the same host was answered. ``elsewhere``: up or down by the newest
+    heartbeat of another vantage at the same host, less than ``within`` before; none without one.
+    """
+    own = Window.partitionBy("validator", "host", "vantage").orderBy("at_us", "seq")
+    order = Window.partitionBy("validator", "host").orderBy("at_us", "seq")
+    before = F.lag(F.struct("vantage", "at_us", "up")).over(order)
+    marked = beats.select("seq", "validator", "host", "vantage", "at_us", "up", F.lag("up").over(own).alias("__own")).withColumn("__before", before)
+    # in a row of heartbeats of one vantage, the newest of another is the one before the first of them
+    other = F.when(F.col("__before")["vantage"] != F.col("vantage"), F.col("__before"))
+    found = marked.withColumn("__other", F.last(other, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("not up")
+    recent = F.col("__other")["at_us"] > F.col("at_us") - within
+    elsewhere = F.when(recent, F.when(F.col("__other")["up"], "up").otherwise("down")).otherwise("none")
+    return found.select("seq", "validator", F.coalesce("__own", F.lit(False)).alias("flaky"), elsewhere.alias("elsewhere"))

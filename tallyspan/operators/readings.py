@@ -14,23 +14,40 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
+def _gains(checks: DataFrame) -> DataFrame:
+    """Checks with ``__gain``: the rows that a verified answer adds to those of its reading that start before it.
+
+    Answers are stretches of row numbers, so the gains of a reading add up to the number of its distinct rows.
+    """
+    gave = _c("verified") & (_c("rows_returned") > 0)
+    end = F.when(gave, _c("first_row") + _c("rows_returned"))
+    before = Window.partitionBy(*READING).orderBy(F.when(gave, _c("first_row")), end).rowsBetween(Window.unboundedPreceding, -1)
+    upto = checks.withColumn("__end", end).withColumn("__upto", F.max("__end").over(before))
+    gain = F.when(gave, F.greatest(F.lit(0), _c("__end") - F.greatest(_c("first_row"), F.coalesce("__upto", _c("first_row")))))
+    return upto.withColumn("__gain", F.coalesce(gain, F.lit(0))).drop("__end", "__upto")
+
+
+def _owed(full: bool) -> Column:
+    """Whether a check that was due in the window was not made, at a full reading or at any other."""
+    of_full = rules.full_reading(_c("label"), _c("started_us"))
+    return (_c("cls") == "NOT_PROBED") & _c("assigned") & (_c("phase") == "in_window") & (of_full if full else ~of_full)
+
+
 def by_validator(checks: DataFrame) -> DataFrame:
     """One row per (reading, validator): what its answers there show."""
-    owed = (_c("cls") == "NOT_PROBED") & _c("assigned") & (_c("phase") == "in_window")
-    full = rules.full_reading(_c("label"), _c("started_us"))
-    rows = F.sequence(_c("first_row"), _c("first_row") + _c("rows_returned") - 1)
-    return checks.groupBy(*READING, "validator").agg(
-        F.bool_or(owed & ~full).alias("missed_point"),
-        F.bool_or(owed & full).alias("owed_full"),
+    reached = rules.reached(_c("verified"), _c("tcp_ok"), _c("outcome"))
+    return _gains(checks).groupBy(*READING, "validator").agg(
+        F.bool_or(_owed(full=False)).alias("missed_point"),
+        F.bool_or(_owed(full=True)).alias("owed_full"),
         F.bool_or(_c("cls") != "NOT_PROBED").alias("other"),
         F.bool_or(~_c("cls").isin(*rules.GAPS)).alias("asked"),
         F.bool_or("verified").alias("gave"),
-        F.bool_or(rules.reached(_c("verified"), _c("tcp_ok"), _c("outcome"))).alias("reached"),
+        F.bool_or(reached).alias("reached"),
         F.coalesce(F.max(F.when(_c("outcome") == "SERVED_OK", _c("rows_returned"))), F.lit(0)).alias("own_rows"),
         F.coalesce(F.sum(F.when(_c("verified"), _c("rows_returned"))), F.lit(0)).alias("rows"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(_c("verified") & (_c("rows_returned") > 0), rows)))).alias("indices"),
+        F.sum("__gain").alias("gains"),
         F.bool_or(_c("assigned") & _c("attested") & (_c("phase") == "in_window")).alias("endorses"),
-        F.bool_or((_c("phase") == "in_window") & rules.reached(_c("verified"), _c("tcp_ok"), _c("outcome"))).alias("reached_in_window"),
+        F.bool_or((_c("phase") == "in_window") & reached).alias("reached_in_window"),
         F.bool_or(_c("label").isin(*rules.END_LABELS)).alias("end_label"),
         F.max("needed_rows").alias("needed_rows"),
         F.max("excess_rows").alias("excess_rows"),
@@ -43,7 +60,7 @@ def readings(validators: DataFrame) -> DataFrame:
     out = validators.groupBy(*READING).agg(
         (F.sum("own_rows") - F.max("excess_rows")).alias("lower"),
         F.sum("rows").alias("upper"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("indices")))).cast("long").alias("have"),
+        F.sum("gains").cast("long").alias("have"),
         F.bool_or("reached").alias("ran"),
         F.bool_or(_c("missed_point") | (_c("owed_full") & ~_c("other"))).alias("missed"),
         F.count_if("asked").alias("asked"),
@@ -78,30 +95,39 @@ def counted(checks: DataFrame) -> DataFrame:
     """Checks with ``counted``: what each one counts as once its whole reading is known.
 
     Facts of readings come from all checks of any phase; filter afterwards. At a full reading a validator's own answers
-    decide, at any other the state of the whole reading does.
+    decide, at any other the state of the whole reading does. All facts are windows over one exchange by reading and
+    two sorts of it, so the checks are read and classified once; a reading has at most a few checks of each validator.
     """
-    facts = readings(by_validator(checks)).select(*READING, "unavailable", "ran")
-    # joined by reading first: the windows below then find their rows together and need no shuffle of their own
-    own = Window.partitionBy(*READING, "validator")
-    foreign = rules.full_foreign(_c("verified"), _c("outcome"), _c("cls"), _c("subset_of_own"))
-    joined = checks.join(facts, READING).withColumns({
-        "any_served": F.bool_or(rules.full_served(_c("verified"), _c("outcome"), _c("cls"))).over(own),
-        "any_gap": F.bool_or(_c("cls").isin(*rules.GAPS) | foreign).over(own),
-        "newest_us": F.max("started_us").over(own),
-    })
+    in_order = Window.partitionBy(*READING, "validator").orderBy("started_us")
+    own, whole = Window.partitionBy(*READING, "validator"), Window.partitionBy(*READING)
     cls, outcome, verified = _c("cls"), _c("outcome"), _c("verified")
+    foreign = rules.full_foreign(verified, outcome, cls, _c("subset_of_own"))
+    marked = checks.withColumn("__first", F.row_number().over(in_order) == 1).withColumns({
+        "__served": F.bool_or(rules.full_served(verified, outcome, cls)).over(own),
+        "__blank": F.bool_or(cls.isin(*rules.GAPS) | foreign).over(own),
+        "__newest_us": F.max("started_us").over(own),
+        "__other": F.bool_or(cls != "NOT_PROBED").over(own),
+        "__own_rows": F.coalesce(F.max(F.when(outcome == "SERVED_OK", _c("rows_returned"))).over(own), F.lit(0)),
+    }).withColumns({
+        "__lower": F.sum(F.when(_c("__first"), _c("__own_rows"))).over(whole) - _c("excess_rows"),
+        "__ran": F.bool_or(rules.reached(verified, _c("tcp_ok"), outcome)).over(whole),
+        "__missed": F.bool_or(_owed(full=False) | (_owed(full=True) & ~_c("__other"))).over(whole),
+    })
+    known = _gains(marked).withColumn("__have", F.sum("__gain").over(whole))
+    available = (_c("__lower") >= _c("needed_rows")) | (_c("__have") >= _c("needed_rows"))
+    unavailable = (_c("needed_rows") > 0) & ~available & _c("__ran") & ~_c("__missed")
     hold = _c("held") & (outcome != "INVALID_ROWS")
     yes = F.when(hold, "RETENTION_UNVERIFIED").otherwise("HEALTHY")
     no = F.when(hold, "RETENTION_UNVERIFIED").otherwise("FAULT")
     at_full = (
         F.when(rules.full_served(verified, outcome, cls), yes)
         .when(cls.isin(*rules.GAPS), cls)
-        .when(rules.full_foreign(verified, outcome, cls, _c("subset_of_own")), "NOT_COUNTED")
-        .when(_c("any_served") | _c("any_gap") | (_c("newest_us") > _c("started_us")), "NOT_COUNTED")
-        .when(~_c("ran") | _c("attempt_owed"), "NOT_COUNTED")
+        .when(foreign, "NOT_COUNTED")
+        .when(_c("__served") | _c("__blank") | (_c("__newest_us") > _c("started_us")), "NOT_COUNTED")
+        .when(~_c("__ran") | _c("attempt_owed"), "NOT_COUNTED")
         .otherwise(no)
     )
-    at_point = F.when(verified, yes).when(cls == "NOT_PROBED", cls).when(_c("unavailable"), no).when(cls == "PROBE_ERROR", cls).otherwise("NOT_COUNTED")
+    at_point = F.when(verified, yes).when(cls == "NOT_PROBED", cls).when(unavailable, no).when(cls == "PROBE_ERROR", cls).otherwise("NOT_COUNTED")
     outside = (_c("phase") != "in_window") | ~_c("assigned") | ~_c("attested")
     value = F.when(outside, cls).when(rules.full_reading(_c("label"), _c("started_us")), at_full).otherwise(at_point)
-    return joined.withColumn("counted", value).drop("any_served", "any_gap", "newest_us", "unavailable", "ran")
+    return known.withColumn("counted", value).select(*checks.columns, "counted")

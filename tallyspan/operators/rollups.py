@@ -28,6 +28,11 @@ def class_days(checks: DataFrame) -> DataFrame:
     return each.groupBy("day", "validator").agg(F.sum("n").alias("checks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("cls", "n")))).alias("classes"))
 
 
+def class_counts(checks: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of classes for a question that no kept day answers: one aggregate."""
+    return checks.groupBy(*by, "cls").agg(F.count(F.lit(1)).alias("n"))
+
+
 def merged_classes(days: DataFrame, by: list[str]) -> DataFrame:
     """Class counts summed over days by key of the map, so that equal maps of two days count twice."""
     return days.select(*by, F.explode("classes").alias("cls", "n")).groupBy(*by, "cls").agg(F.sum("n").alias("n"))

@@ -74,13 +74,29 @@ def newest_endorsements(publications: DataFrame, assignments: DataFrame, n: int
     )
 
 
-def load(publications: DataFrame, assignments: DataFrame, now: int) -> DataFrame:
-    """Bytes a validator was assigned, and holds now: rows * size / needed rows, exact sums per divisor, one division each."""
-    joined = publications.where("needed_rows > 0").join(assignments.where("row_count > 0"), "promise_hash")
-    scaled = (F.col("row_count") * F.col("blob_size")).cast("decimal(38,0)")
-    parts = joined.groupBy("validator", "needed_rows").agg(F.sum(scaled).alias("all"), F.sum(F.when(F.col("must_serve_us") > now, scaled).otherwise(0)).alias("held"))
-    whole = lambda c: F.sum(F.expr(f"cast({c} as decimal(38,0)) div needed_rows")).cast("long")
-    return parts.groupBy("validator").agg(whole("all").alias("load_bytes"), whole("held").alias("held_bytes"))
+def load(publications: DataFrame, assignments: DataFrame, start: int, end: int, now: int) -> DataFrame:
+    """What a validator was assigned and signed for: promises, rows and bytes settled in [start, end], and bytes held at ``now``.
+
+    Only promises that settled without an error count; held is what settled by ``now`` and must be served after it. A row
+    carries size / needed rows bytes (none where that is unknown). Sums are exact integers per divisor; only the remainders,
+    one a divisor, are added as fractions.
+    """
+    within = F.col("settled_us").between(start, end)
+    held = (F.col("must_serve_us") > now) & (F.col("settled_us") <= now)
+    chosen = publications.where((F.col("tx_code") == 0) & (within | held)).withColumns({"__in": within, "__held": held})
+    joined = chosen.join(assignments.where("attested and row_count > 0"), "promise_hash")
+    divisor = F.when(F.col("needed_rows") > 0, F.col("needed_rows"))
+    scaled = F.when(divisor.isNotNull(), (F.col("row_count") * F.col("blob_size")).cast("decimal(38,0)"))
+    parts = joined.groupBy("validator", divisor.alias("__by")).agg(
+        F.count_if("__in").alias("promises"), F.sum(F.when(F.col("__in"), F.col("row_count"))).alias("rows"),
+        F.sum(F.when(F.col("__in"), scaled)).alias("load"), F.sum(F.when(F.col("__held"), scaled)).alias("held"),
+    )
+
+    def whole(c: str) -> Column:
+        rest = F.sum(F.expr(f"cast({c} % __by as double) / __by"))
+        return F.coalesce((F.sum(F.expr(f"{c} div __by")) + F.floor(F.round(rest, 9))).cast("long"), F.lit(0))
+
+    return parts.groupBy("validator").agg(F.sum("promises").alias("promises"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), whole("load").alias("load_bytes"), whole("held").alias("held_bytes"))
 
 
 def retained(publications: DataFrame, assignments: DataFrame, at: int) -> DataFrame:
@@ -89,13 +105,34 @@ def retained(publications: DataFrame, assignments: DataFrame, at: int) -> DataFr
     return joined.groupBy("validator").agg(F.count(F.lit(1)).alias("promises"), F.sum("row_count").alias("rows"))
 
 
-def readiness(rows: DataFrame, n: int = 20) -> DataFrame:
-    """A word for each validator from its newest n checks that are no gaps."""
-    newest = Window.partitionBy("validator").orderBy(F.desc("started_us"), F.desc("dedupe_key"))
-    last = rows.where(~F.col("cls").isin(*rules.GAPS)).withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= n)
-    counted = last.groupBy("validator").agg(F.count(F.lit(1)).alias("n"), F.count_if("tls_ok").alias("ok"))
-    word = F.when(F.col("ok") == F.col("n"), "ready").when(F.col("ok") == 0, "down").otherwise("flaky")
-    return counted.withColumn("word", word)
+# What an endpoint says of its readiness, and the words for it.
+READY_WORDS = {"serving": "ready", "not_serving": "not_ready", "not_reported": "not_reported"}
+
+
+def readiness(beats: DataFrame, depth: int = 4) -> DataFrame:
+    """A word for each validator from its newest ``depth`` heartbeats, none where no heartbeat of them was answered.
+
+    The newest decides. Not serving is ``not_ready`` only if the answer before it said so too, unmeasured ones skipped, else
+    ``not_ready_once``. A newest heartbeat that was not measured or not verified is ``unchecked``, with the newest answer before
+    it beside. An answer counts only from a verified heartbeat.
+    """
+    verified = F.col("up") & (F.col("identity") == "verified")
+    newest = Window.partitionBy("validator").orderBy(F.desc("at_us"), F.desc("seq"))
+    last = beats.select("validator", "at_us", verified.alias("verified"), F.when(verified, F.col("readiness")).otherwise("").alias("said"), F.row_number().over(newest).alias("n"))
+    last = last.where(F.col("n") <= depth)
+    n, said = F.col("n"), F.col("said")
+    word = F.coalesce(*[F.when(said == k, w) for k, w in READY_WORDS.items()])
+    seen = last.groupBy("validator").agg(
+        F.max(F.when(n == 1, said)).alias("now"), F.max(F.when(n == 1, F.col("at_us"))).alias("checked_us"), F.bool_or((n == 1) & F.col("verified")).alias("verified"), F.bool_or(said != "").alias("answered"),
+        F.min_by(said, F.when((n > 1) & (said != "unmeasured"), n)).alias("before"), F.min_by(word, F.when((n > 1) & word.isNotNull(), n)).alias("last_answer"),
+    )
+    state = (
+        F.when(F.col("now") == "serving", "ready").when(F.col("now") == "not_reported", "not_reported")
+        .when(F.col("now") == "not_serving", F.when(F.col("before") == "not_serving", "not_ready").otherwise("not_ready_once"))
+        .when((F.col("now") == "unmeasured") | ~F.col("verified"), "unchecked")
+    )
+    known = seen.where("answered").withColumn("word", state).where("word is not null")
+    return known.select("validator", "word", "checked_us", F.when(F.col("word") == "unchecked", F.col("last_answer")).alias("last_answer"))
 
 
 def concentration(validators: DataFrame, dimensions: list[str]) -> DataFrame:

@@ -51,17 +51,12 @@ def _(v: Views) -> DataFrame:
     return h.deadlines(v.publications, v.params, DAY)
 
 
-@query("host_at_settlement", """WITH p AS (SELECT promise_hash, validator, height, tx_index FROM publications JOIN assignments USING (promise_hash) WHERE promise_hash % 3 = 0),
-    f AS (SELECT p.*, e.host, e.since FROM p LEFT JOIN LATERAL (SELECT host, height AS since FROM host_events e WHERE e.validator = p.validator AND (e.height, e.tx_index) <= (p.height, p.tx_index) ORDER BY e.height DESC, e.tx_index DESC, e.host DESC LIMIT 1) e ON true),
-    g AS (SELECT *, EXISTS (SELECT 1 FROM scan_gaps s WHERE s.last > coalesce(f.since, 0) AND s.first <= f.height) AS gap FROM f)
+@query("host_at_settlement", """WITH p AS (SELECT promise_hash, validator, height, tx_index, height * 100 + tx_index AS at FROM publications JOIN assignments USING (promise_hash)),
+    e AS (SELECT validator, height * 100 + tx_index AS at, height AS since, max(host) AS host FROM host_events GROUP BY ALL),
+    f AS (SELECT p.*, e.host, e.since FROM p ASOF LEFT JOIN e ON p.validator = e.validator AND p.at >= e.at),
+    g AS (SELECT *, (SELECT count(*) FROM scan_gaps s WHERE s.last > coalesce(f.since, 0) AND s.first <= f.height) > 0 AS gap FROM f)
     SELECT promise_hash, validator, CASE WHEN gap THEN 'gap' WHEN host IS NULL THEN 'no_seed' WHEN host = '' THEN 'none' ELSE 'on_record' END AS source, CASE WHEN NOT gap AND host IS NOT NULL THEN host ELSE '' END AS host FROM g""")
 def _(v: Views) -> DataFrame:
-    return _hosts(v, v.publications.where("promise_hash % 3 = 0"))
-
-
-@query("host_at_every_settlement")
-def _(v: Views) -> DataFrame:
-    """The same over every promise; tested against brute force."""
     return _hosts(v, v.publications)
 
 
@@ -140,14 +135,20 @@ def _(v: Views) -> DataFrame:
     return h.identity_transitions(v.beats).withColumn("since_us", F.coalesce("since_us", F.lit(-1)))
 
 
-@query("flaky_beats", f"""SELECT a.seq, a.validator, EXISTS (SELECT 1 FROM beats b WHERE b.validator = a.validator AND b.host = a.host AND b.vantage <> a.vantage AND b.up AND abs(b.at_us - a.at_us) <= {6 * 3_600_000_000}) AS seen_elsewhere FROM beats a WHERE NOT a.up""")
+CONFIRM_WITHIN = 15 * 60_000_000
+
+
+@query("flaky_beats", f"""WITH a AS (SELECT *, coalesce(lag(up) OVER (PARTITION BY validator, host, vantage ORDER BY at_us, seq), false) AS flaky FROM beats),
+    o AS (SELECT a.seq, arg_max(b.up, (b.at_us, b.seq)) AS up FROM a JOIN beats b ON b.validator = a.validator AND b.host = a.host AND b.vantage <> a.vantage AND b.at_us > a.at_us - {CONFIRM_WITHIN} AND (b.at_us, b.seq) <= (a.at_us, a.seq) WHERE NOT a.up GROUP BY a.seq)
+    SELECT a.seq, a.validator, a.flaky, CASE WHEN o.up THEN 'up' WHEN NOT o.up THEN 'down' ELSE 'none' END AS elsewhere FROM a LEFT JOIN o USING (seq) WHERE NOT a.up""")
+def _(v: Views) -> DataFrame:
+    return h.confirmed_elsewhere(v.beats, CONFIRM_WITHIN)
+
+
+@query("flaky_beats_by_day", f"""WITH o AS (SELECT a.seq, arg_max(b.up, (b.at_us, b.seq)) AS up FROM beats a JOIN beats b ON b.validator = a.validator AND b.host = a.host AND b.vantage <> a.vantage AND b.at_us > a.at_us - {DAY} AND (b.at_us, b.seq) <= (a.at_us, a.seq) WHERE NOT a.up GROUP BY a.seq)
+    SELECT CASE WHEN o.up THEN 'up' WHEN NOT o.up THEN 'down' ELSE 'none' END AS elsewhere, count(*) AS n FROM beats a LEFT JOIN o USING (seq) WHERE NOT a.up GROUP BY 1""")
 def _(v: Views) -> DataFrame:
-    down = v.beats.where("not up").select("seq", "validator", "host", "vantage", "at_us")
-    width = 6 * 3_600_000_000
-    near = down.withColumn("slot", F.explode(F.array(*[F.floor(F.col("at_us") / width) + k for k in (-1, 0, 1)])))
-    other = v.beats.where("up").select(F.col("validator"), F.col("host"), F.col("vantage").alias("v2"), F.col("at_us").alias("t2"), F.floor(F.col("at_us") / width).alias("slot"))
-    met = near.join(other, ["validator", "host", "slot"]).where((F.col("vantage") != F.col("v2")) & (F.abs(F.col("t2") - F.col("at_us")) <= width)).select("seq").distinct()
-    return down.join(met.withColumn("hit", F.lit(True)), "seq", "left").select("seq", "validator", F.coalesce("hit", F.lit(False)).alias("seen_elsewhere"))
+    return h.confirmed_elsewhere(v.beats, DAY).groupBy("elsewhere").agg(F.count(F.lit(1)).alias("n"))
 
 
 _ROWS = "list_transform(range(0, 1 + promise_hash % 3), lambda i: (validator * 7 + i * (promise_hash % 5)) % 50)"

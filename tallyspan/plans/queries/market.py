@@ -15,14 +15,13 @@ START = NOW - 400 * DAY
 LATE = NOW + 1300 * DAY
 
 
-@query("market_totals", f"""WITH w AS (SELECT pay.*, k.blob_key FROM payments pay LEFT JOIN (SELECT promise_hash, blob_version || ':' || commitment AS blob_key FROM publications WHERE promise_hash % 10 <> 0) k USING (promise_hash) WHERE at_us BETWEEN {START} AND {NOW}),
+@query("market_totals", f"""WITH w AS (SELECT pay.*, k.blob_key FROM payments pay LEFT JOIN (SELECT promise_hash, blob_version || ':' || commitment AS blob_key FROM publications) k USING (promise_hash) WHERE at_us BETWEEN {START} AND {NOW}),
     s AS (SELECT * FROM w WHERE kind = 'settlement')
     SELECT (SELECT count(*) FROM s) AS settlements, (SELECT sum(amount)::BIGINT FROM s) AS fees, (SELECT sum(blob_size)::BIGINT FROM s) AS bytes, (SELECT count(DISTINCT publisher) FROM s) AS publishers, (SELECT count(DISTINCT namespace) FROM s WHERE namespace <> '') AS namespaces,
       (SELECT count(DISTINCT coalesce(blob_key, 'promise:' || promise_hash)) FROM s) AS blobs, (SELECT count(*) FROM w WHERE kind = 'timeout') AS timeouts, (SELECT coalesce(sum(amount), 0)::BIGINT FROM w WHERE kind = 'timeout') AS timed_out,
       (SELECT count(*) FROM w WHERE kind = 'deposit' AND denom = 'unit') AS deposits, round((SELECT sum(amount) FROM s) * 1048576.0 / (SELECT sum(blob_size) FROM s), 6)::DOUBLE AS per_mib""")
 def _(v: Views) -> DataFrame:
-    # the SQL's case of unknown keys: a tenth of the publications is not on record; totals() joins all that it is given
-    return m.totals(v.payments, v.publications.where("promise_hash % 10 <> 0"), START, NOW)
+    return m.totals(v.payments, v.publications, START, NOW)
 
 
 @query("market_hours", f"SELECT at_us // {HOUR} * {HOUR} AS at_us, count(*) AS settlements, sum(amount)::BIGINT AS fees, sum(blob_size)::BIGINT AS bytes FROM payments WHERE kind = 'settlement' GROUP BY 1")

@@ -113,10 +113,10 @@ def _(v: Views) -> DataFrame:
     return rated.select("validator", "num", "den", "rate", "rate_low", "fault_high", rules.rate_tone(F.col("num") / F.nullif(F.col("den"), F.lit(0)), F.col("den")).alias("tone"))
 
 
-@query("median_rate", f"WITH s AS (SELECT validator, {SUMS_SQL} FROM bucketed GROUP BY validator) SELECT round(median(served / (served + broken)::DOUBLE) FILTER (served + broken >= 5), 9) AS median_rate, sum(served)::BIGINT AS num, sum(served + broken)::BIGINT AS den FROM s")
+@query("median_rate", f"WITH s AS (SELECT validator, {SUMS_SQL} FROM bucketed GROUP BY validator) SELECT round(median(served / (served + broken)::DOUBLE) FILTER (served + broken >= 20), 9) AS median_rate, sum(served)::BIGINT AS num, sum(served + broken)::BIGINT AS den FROM s")
 def _(v: Views) -> DataFrame:
     s = obl.sums(_obligations(v), ["validator"]).withColumn("den", F.col("served") + F.col("broken"))
-    rated = F.when(F.col("den") >= 5, F.col("served") / F.nullif(F.col("den"), F.lit(0)))
+    rated = F.when(F.col("den") >= 20, F.col("served") / F.nullif(F.col("den"), F.lit(0)))
     return s.agg(F.round(F.percentile(rated, F.lit(0.5)), 9).alias("median_rate"), F.sum("served").alias("num"), F.sum("den").alias("den"))
 
 

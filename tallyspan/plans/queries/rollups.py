@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspan.functions import codecs
 from tallyspan.operators import assignment as a
+from tallyspan.operators import histories as h
 from tallyspan.operators import obligations as obl
 from tallyspan.operators import readings as read
 from tallyspan.operators import rollups as r
@@ -41,44 +42,55 @@ def _(v: Views) -> DataFrame:
 
 @query("rollup_classes", "SELECT validator, cls, count(*) AS n FROM checks GROUP BY ALL")
 def _(v: Views) -> DataFrame:
-    return r.merged_classes(r.class_days(v.checks), ["validator"])
+    return r.class_counts(v.checks, ["validator"])
 
 
-@query("final_days", f"""WITH d AS (SELECT p.settled_us // {DAY} AS day, bool_and(p.must_serve_us <= {NOW} AND h.promise_hash IS NULL AND w.promise_hash IS NULL) AS final, count(*) AS promises FROM publications p
-    LEFT JOIN held_promises h USING (promise_hash) LEFT JOIN (SELECT DISTINCT promise_hash FROM checks WHERE cls = 'PROBE_ERROR' AND shadow_uncertain AND promise_hash % 20 = 0) w USING (promise_hash) GROUP BY 1)
-    SELECT *, bool_and(final) OVER (ORDER BY day) AS rolled FROM d""")
+@query("merged_class_days", "SELECT validator, cls, count(*) AS n FROM checks GROUP BY ALL")
 def _(v: Views) -> DataFrame:
-    return _final_days(v, _waiting(v).where("promise_hash % 20 = 0"))
+    return r.merged_classes(r.class_days(v.checks), ["validator"])
 
 
-@query("final_days_by_every_check")
+@query("final_days", f"""WITH d AS (SELECT p.settled_us // {DAY} AS day, bool_and(p.must_serve_us <= {NOW} AND h.promise_hash IS NULL AND w.promise_hash IS NULL) AS final, count(*) AS promises FROM publications p
+    LEFT JOIN held_promises h USING (promise_hash) LEFT JOIN (SELECT DISTINCT promise_hash FROM checks WHERE cls = 'PROBE_ERROR' AND shadow_uncertain AND match_waits) w USING (promise_hash) GROUP BY 1)
+    SELECT *, bool_and(final) OVER (ORDER BY day) AS rolled FROM d""")
 def _(v: Views) -> DataFrame:
-    """The same with every deferred verdict; tested against brute force."""
     return _final_days(v, _waiting(v))
 
 
 def _waiting(v: Views) -> DataFrame:
-    return v.checks.where("cls = 'PROBE_ERROR' and shadow_uncertain")
+    return v.checks.where("cls = 'PROBE_ERROR' and shadow_uncertain and match_waits")
 
 
 def _final_days(v: Views, waiting: DataFrame) -> DataFrame:
     return r.final_days(v.publications, held_promises(v.publications, v.uncertain), waiting, NOW)
 
 
-@query("day_refresh_audit", "SELECT 0 AS differing")
-def _(v: Views) -> DataFrame:
-    """Kept days, refreshed for the days that late rows touched, against everything recomputed: no row differs."""
-    rows = v.checks.select("started_us", "validator", "cls", "promise_hash")
-    late = rows.where("promise_hash % 40 = 0")
-    early = rows.where("promise_hash % 40 <> 0")
+def _days(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Day tables: before late rows came, refreshed for the days that they touched, and everything recomputed."""
+    rows = v.checks.select("started_us", "validator", "cls", "promise_hash", "match_waits")
+    early, late = rows.where("not match_waits"), rows.where("match_waits")
     stale = r.touched_days(late, "started_us")
     again = r.class_days(rows.withColumn("day", r.day_of(F.col("started_us"))).join(stale, "day", "left_semi"))
+    kept = r.class_days(early)
+    return kept, r.refreshed(kept, stale, again), r.class_days(rows)
+
+
+@query("day_refresh", f"SELECT started_us // {DAY} AS day, validator, cls, count(*) AS n FROM checks GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    return _days(v)[1].select("day", "validator", F.explode("classes").alias("cls", "n"))
+
+
+@query("day_refresh_audit", f"""WITH k AS (SELECT started_us // {DAY} AS day, validator, string_agg(cls, ',' ORDER BY cls) AS c FROM checks WHERE NOT match_waits GROUP BY ALL), a AS (SELECT started_us // {DAY} AS day, validator, string_agg(cls, ',' ORDER BY cls) AS c FROM checks GROUP BY ALL)
+    SELECT 'stale' AS part, 'kept' AS side, count(*) AS n FROM (SELECT * FROM k EXCEPT ALL SELECT * FROM a) UNION ALL SELECT 'stale', 'recomputed', count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM k)""")
+def _(v: Views) -> DataFrame:
+    """The audit of the day tables against everything recomputed: before the refresh rows differ on both sides, after it none does."""
 
     def flat(days: DataFrame) -> DataFrame:
         return days.select("day", "validator", "checks", F.to_json("classes").alias("classes"))
 
-    differing = r.audit(flat(r.refreshed(r.class_days(early), stale, again)), flat(r.class_days(rows)))
-    return differing.agg(F.count(F.lit(1)).cast("int").alias("differing"))
+    kept, refreshed, every = map(flat, _days(v))
+    found = r.audit(kept, every).withColumn("part", F.lit("stale")).unionByName(r.audit(refreshed, every).withColumn("part", F.lit("refreshed")))
+    return found.groupBy("part", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("read_plan", f"""WITH d AS (SELECT DISTINCT promise_hash FROM checks WHERE label IN ('end', 'full', 'enough') AND cls <> 'NOT_PROBED')
@@ -106,18 +118,18 @@ def _(v: Views) -> DataFrame:
 
 
 def _decisions(v: Views) -> tuple[DataFrame, DataFrame]:
-    chosen = v.publications.where("promise_hash % 7 = 0").select(F.lit("v0").alias("vantage"), "promise_hash", "settled_us", "must_serve_us")
+    chosen = v.publications.where("sampled_out").select(F.lit("v0").alias("vantage"), "promise_hash", "settled_us", "must_serve_us")
     step = F.expr("(must_serve_us - settled_us) div 4")
     points = chosen.select("vantage", "promise_hash", F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.col("settled_us") + k * step)).alias("scheduled_us"))
     return chosen.select("vantage", "promise_hash"), points
 
 
-@query("sampled_out_expansion", """SELECT p.promise_hash, a.validator, p.settled_us + k * ((p.must_serve_us - p.settled_us) // 4) AS scheduled_us, 'NOT_PROBED' AS cls FROM publications p JOIN assignments a ON a.promise_hash = p.promise_hash AND a.row_count > 0, (SELECT unnest([1, 2, 3]) AS k) WHERE p.promise_hash % 7 = 0""")
+@query("sampled_out_expansion", """SELECT p.promise_hash, a.validator, p.settled_us + k * ((p.must_serve_us - p.settled_us) // 4) AS scheduled_us, 'NOT_PROBED' AS cls FROM publications p JOIN assignments a ON a.promise_hash = p.promise_hash AND a.row_count > 0, (SELECT unnest([1, 2, 3]) AS k) WHERE p.sampled_out""")
 def _(v: Views) -> DataFrame:
     return s.expanded(*_decisions(v), v.assignments).select("promise_hash", "validator", "scheduled_us", "cls")
 
 
-@query("checks_with_expansion", """SELECT cls, count(*) AS n FROM (SELECT cls FROM checks UNION ALL SELECT 'NOT_PROBED' FROM publications p JOIN assignments a ON a.promise_hash = p.promise_hash AND a.row_count > 0, (SELECT unnest([1, 2, 3]) AS k) WHERE p.promise_hash % 7 = 0) GROUP BY cls""")
+@query("checks_with_expansion", """SELECT cls, count(*) AS n FROM (SELECT cls FROM checks UNION ALL SELECT 'NOT_PROBED' FROM publications p JOIN assignments a ON a.promise_hash = p.promise_hash AND a.row_count > 0, (SELECT unnest([1, 2, 3]) AS k) WHERE p.sampled_out) GROUP BY cls""")
 def _(v: Views) -> DataFrame:
     rows = s.expanded(*_decisions(v), v.assignments)
     return s.with_expanded(v.checks, rows, ["promise_hash", "validator", "scheduled_us", "cls"]).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
@@ -159,13 +171,22 @@ def _(v: Views) -> DataFrame:
     return last.select("vantage", "last_us", (F.col("last_us") < newest - 3 * 300_000_000).alias("overdue"))
 
 
-@query("gaps_outside_runs", f"""WITH b AS (SELECT validator, at_us, lead(at_us) OVER (PARTITION BY validator ORDER BY at_us, seq) AS next_us FROM beats) SELECT validator, at_us AS from_us, next_us AS to_us, next_us - at_us AS length_us FROM b WHERE next_us - at_us > {DAY}""")
+_SPANS = """WITH s AS (SELECT DISTINCT component, vantage, pid, at_us AS from_us FROM run_events WHERE kind = 'started'),
+    n AS (SELECT *, lead(from_us) OVER (PARTITION BY component, vantage, pid ORDER BY from_us) AS next_us FROM s),
+    t AS (SELECT n.*, (SELECT min(e.at_us) FROM run_events e WHERE e.kind = 'stopped' AND (e.component, e.vantage, e.pid) = (n.component, n.vantage, n.pid) AND e.at_us >= n.from_us) AS stop,
+            (SELECT max(e.at_us) FROM run_events e WHERE e.kind = 'beat' AND (e.component, e.vantage, e.pid) = (n.component, n.vantage, n.pid) AND e.at_us >= n.from_us AND (n.next_us IS NULL OR e.at_us < n.next_us)) AS beat FROM n),
+    r AS (SELECT component, vantage, pid, from_us, coalesce(stop, beat, from_us) AS to_us, stop IS NOT NULL AS stopped FROM t) """
+
+
+@query("run_spans", _SPANS + "SELECT * FROM r")
 def _(v: Views) -> DataFrame:
-    from pyspark.sql import Window
+    return h.run_spans(v.run_events)
 
-    following = F.lead("at_us").over(Window.partitionBy("validator").orderBy("at_us", "seq"))
-    found = v.beats.withColumn("to_us", following).where(F.col("to_us") - F.col("at_us") > DAY)
-    return found.select("validator", F.col("at_us").alias("from_us"), "to_us", (F.col("to_us") - F.col("at_us")).alias("length_us"))
+
+@query("gaps_outside_runs", _SPANS + """, m AS (SELECT component, from_us, max(to_us) OVER (PARTITION BY component ORDER BY from_us, to_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM r)
+    SELECT component, upto AS from_us, from_us AS to_us FROM m WHERE from_us > upto""")
+def _(v: Views) -> DataFrame:
+    return h.gaps_between(h.run_spans(v.run_events), ["component"])
 
 
 @query("json_fields", "SELECT validator, (props->>'$.k')::BIGINT AS k, count(*) AS n FROM beats WHERE json_valid(props) GROUP BY ALL")

@@ -96,10 +96,16 @@ def _(v: Views) -> DataFrame:
     return t.newest_endorsements(v.publications, v.assignments).withColumn("last_signed", F.coalesce("last_signed", F.lit(-1)))
 
 
-@query("load", f"""WITH p AS (SELECT validator, needed_rows, sum(row_count * blob_size) AS a, sum(CASE WHEN must_serve_us > {NOW} THEN row_count * blob_size ELSE 0 END) AS h FROM publications JOIN assignments USING (promise_hash) WHERE needed_rows > 0 AND row_count > 0 GROUP BY ALL)
-    SELECT validator, sum(a // needed_rows)::BIGINT AS load_bytes, sum(h // needed_rows)::BIGINT AS held_bytes FROM p GROUP BY validator""")
+LOAD_FROM = NOW - 900 * DAY
+
+
+@query("load", f"""WITH e AS (SELECT a.validator, a.row_count, a.row_count * p.blob_size AS b, nullif(greatest(p.needed_rows, 0), 0) AS d, p.settled_us >= {LOAD_FROM} AND p.settled_us <= {NOW} AS i, p.must_serve_us > {NOW} AND p.settled_us <= {NOW} AS h
+      FROM publications p JOIN assignments a ON a.promise_hash = p.promise_hash WHERE p.tx_code = 0 AND a.attested AND a.row_count > 0),
+    s AS (SELECT validator, d, count(*) FILTER (i) AS n, sum(row_count) FILTER (i) AS r, coalesce(sum(b) FILTER (i), 0)::BIGINT AS x, coalesce(sum(b) FILTER (h), 0)::BIGINT AS y FROM e WHERE i OR h GROUP BY ALL)
+    SELECT validator, sum(n)::BIGINT AS promises, coalesce(sum(r), 0)::BIGINT AS rows, (coalesce(sum(x // d), 0) + coalesce(floor(round(sum((x % d) / d::DOUBLE), 9)), 0))::BIGINT AS load_bytes,
+      (coalesce(sum(y // d), 0) + coalesce(floor(round(sum((y % d) / d::DOUBLE), 9)), 0))::BIGINT AS held_bytes FROM s GROUP BY validator""")
 def _(v: Views) -> DataFrame:
-    return t.load(v.publications, v.assignments, NOW)
+    return t.load(v.publications, v.assignments, LOAD_FROM, NOW, NOW)
 
 
 @query("load_bands", "SELECT CASE WHEN n <= 148 THEN 'floor' WHEN n < 1024 THEN 'low' WHEN n < 2731 THEN 'mid' ELSE 'high' END AS band, count(*) AS validators FROM (SELECT validator, promise_hash // 2500, sum(row_count) // 2 AS n FROM assignments GROUP BY 1, 2) GROUP BY 1")
@@ -113,10 +119,13 @@ def _(v: Views) -> DataFrame:
     return t.retained(v.publications, v.assignments, NOW)
 
 
-@query("readiness", """WITH r AS (SELECT validator, tls_ok, row_number() OVER (PARTITION BY validator ORDER BY started_us DESC, dedupe_key DESC) AS k FROM checks WHERE cls NOT IN ('NOT_PROBED', 'PROBE_ERROR')), c AS (SELECT validator, count(*) AS n, count(*) FILTER (tls_ok) AS ok FROM r WHERE k <= 20 GROUP BY validator)
-    SELECT *, CASE WHEN ok = n THEN 'ready' WHEN ok = 0 THEN 'down' ELSE 'flaky' END AS word FROM c""")
+@query("readiness", """WITH r AS (SELECT validator, at_us, up AND identity = 'verified' AS ok, CASE WHEN up AND identity = 'verified' THEN readiness ELSE '' END AS said, row_number() OVER (PARTITION BY validator ORDER BY at_us DESC, seq DESC) AS k FROM beats),
+    a AS (SELECT validator, list(said ORDER BY k) AS said, list(at_us ORDER BY k) AS ats, list(ok ORDER BY k) AS ok FROM r WHERE k <= 4 GROUP BY validator),
+    b AS (SELECT validator, ats[1] AS checked_us, ok[1] AS ok, said[1] AS says, list_filter(said[2:], lambda x: x <> 'unmeasured')[1] AS was, list_filter(said[2:], lambda x: x IN ('serving', 'not_serving', 'not_reported'))[1] AS answer FROM a WHERE list_bool_or(list_transform(said, lambda x: x <> ''))),
+    w AS (SELECT *, CASE says WHEN 'serving' THEN 'ready' WHEN 'not_reported' THEN 'not_reported' WHEN 'not_serving' THEN CASE WHEN was = 'not_serving' THEN 'not_ready' ELSE 'not_ready_once' END WHEN 'unmeasured' THEN 'unchecked' ELSE CASE WHEN ok THEN NULL ELSE 'unchecked' END END AS word FROM b)
+    SELECT validator, word, checked_us, coalesce(CASE WHEN word = 'unchecked' THEN CASE answer WHEN 'serving' THEN 'ready' WHEN 'not_serving' THEN 'not_ready' ELSE answer END END, '') AS last_answer FROM w WHERE word IS NOT NULL""")
 def _(v: Views) -> DataFrame:
-    return t.readiness(v.checks)
+    return t.readiness(v.beats).withColumn("last_answer", F.coalesce("last_answer", F.lit("")))
 
 
 _SHARES = "SELECT dimension, key, count(*) AS hosts, sum(power)::BIGINT AS stake FROM (" + " UNION ALL ".join(f"SELECT power, '{d}' AS dimension, {d} AS key FROM validators" for d in ("provider", "country", "asn", "city")) + ") GROUP BY ALL"

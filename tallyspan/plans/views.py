@@ -36,11 +36,11 @@ VIEWS = {
           US(o_orderdate) + (60 + (o_orderkey % 4) * 150) * {DAY} AS must_serve_us,
           CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE 10 + o_orderkey % 60 END AS needed_rows, CAST(o_orderkey % 4 AS BIGINT) AS excess_rows,
           CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'ns' || CAST(o_custkey % 17 AS VARCHAR(9)) END AS namespace,
-          CASE WHEN o_orderkey % 50 = 0 THEN 5 ELSE 0 END AS tx_code
+          CASE WHEN o_orderkey % 50 = 0 THEN 5 ELSE 0 END AS tx_code, o_orderkey % 7 = 0 AS sampled_out
         FROM orders""",
     "assignments": """
         SELECT l_orderkey AS promise_hash, l_suppkey AS validator, CAST(floor(max(l_quantity)) AS BIGINT) AS row_count,
-          CASE max(l_returnflag) WHEN 'A' THEN true WHEN 'N' THEN false ELSE CAST(NULL AS BOOLEAN) END AS attested,
+          CASE max(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) WHEN 1 THEN true WHEN 2 THEN false ELSE CAST(NULL AS BOOLEAN) END AS attested,
           CASE WHEN max(l_partkey) % 10 = 0 THEN '' WHEN max(l_partkey) % 10 = 1 THEN CAST(NULL AS VARCHAR(20)) ELSE 'h' || CAST(l_suppkey AS VARCHAR(19)) END AS host_at_settlement
         FROM lineitem GROUP BY l_orderkey, l_suppkey""",
     "raw_checks": f"""
@@ -51,13 +51,18 @@ VIEWS = {
           l_partkey % 13 = 0 AS shadowed, l_partkey % 5 = 0 AS shadow_uncertain, l_partkey % 2 = 0 AS identity_stale, l_partkey % 3 = 0 AS subset_of_own, l_partkey % 97 = 0 AS pin_stale,
           l_partkey % 7 <> 3 AS rows_verify, l_partkey % 9 <> 4 AS tls_ok, l_partkey % 8 <> 5 AS tcp_ok, l_partkey % 17 = 0 AS attempt_owed,
           CAST(floor(l_quantity) AS BIGINT) AS rows_returned, l_partkey % 40 AS first_row, CAST(floor(l_extendedprice) AS BIGINT) % 3000 AS service_ms, CAST(floor(l_extendedprice * 100) AS BIGINT) AS bytes,
-          CAST(floor(l_quantity) AS BIGINT) % 7 * 40 AS download_ms, 'v' || CAST(l_linenumber % 3 AS VARCHAR(9)) AS vantage
+          CAST(floor(l_quantity) AS BIGINT) % 7 * 40 AS download_ms, l_orderkey % 20 = 0 AS match_waits, 'v' || CAST(l_linenumber % 3 AS VARCHAR(9)) AS vantage
         FROM lineitem""",
     "beats": """
         SELECT event_id AS seq, user_id AS validator, US(ts) AS at_us, event_type <> 'error' AND event_id % 4 <> 0 AS up,
           CASE WHEN event_id % 6 = 0 THEN '' WHEN event_id % 6 = 1 THEN 'expired' WHEN event_id % 6 = 2 THEN 'mismatch' ELSE 'verified' END AS identity,
-          'h' || CAST(user_id % 20 AS VARCHAR(9)) AS host, 'v' || CAST(event_id % 2 AS VARCHAR(9)) AS vantage, CAST(floor(value) AS BIGINT) AS tcp_ms, props
+          'h' || CAST(user_id % 20 AS VARCHAR(9)) AS host, 'v' || CAST(event_id % 2 AS VARCHAR(9)) AS vantage, CAST(floor(value) AS BIGINT) AS tcp_ms, props,
+          CASE event_id % 7 WHEN 0 THEN 'not_serving' WHEN 1 THEN 'not_serving' WHEN 2 THEN 'serving' WHEN 3 THEN 'not_reported' WHEN 4 THEN 'unmeasured' ELSE '' END AS readiness
         FROM events""",
+    "run_events": f"""
+        SELECT 'c' || CAST(c_custkey % 3 AS VARCHAR(9)) AS component, 'v' || CAST(c_custkey % 2 AS VARCHAR(9)) AS vantage, c_custkey % 7 AS pid, {EPOCH} + c_custkey * 37 % 900 * {DAY} AS at_us, 'started' AS kind FROM customer
+        UNION ALL SELECT 'c' || CAST(c_custkey % 3 AS VARCHAR(9)), 'v' || CAST(c_custkey % 2 AS VARCHAR(9)), c_custkey % 7, {EPOCH} + c_custkey * 37 % 900 * {DAY} + c_custkey % 5 * {6 * HOUR}, 'beat' FROM customer
+        UNION ALL SELECT 'c' || CAST(c_custkey % 3 AS VARCHAR(9)), 'v' || CAST(c_custkey % 2 AS VARCHAR(9)), c_custkey % 7, {EPOCH} + c_custkey * 37 % 900 * {DAY} + c_custkey % 9 * {6 * HOUR}, 'stopped' FROM customer WHERE c_custkey % 40 = 0""",
     "payments": """
         SELECT CAST(o_orderkey AS VARCHAR(20)) AS dedupe_key, o_orderkey AS promise_hash, o_custkey AS publisher, US(o_orderdate) AS at_us,
           CASE o_orderkey % 8 WHEN 5 THEN 'timeout' WHEN 6 THEN 'deposit' WHEN 7 THEN 'withdrawal_executed' ELSE 'settlement' END AS kind,

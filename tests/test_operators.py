@@ -18,45 +18,91 @@ from tallyspan.plans.views import DAY, NOW, Views
 from tests.oracle import FOLDER
 
 
-def beats(spark, pattern):
-    """U up and verified, D down, E up and expired, M up with another identity, ? up and not judged; five minutes apart."""
-    words = {"U": "verified", "D": "", "E": "expired", "M": "mismatch", "?": ""}
-    return spark.createDataFrame([(k, 1, k * 300, c != "D", words[c], "h") for k, c in enumerate(pattern)], "seq long, validator long, at_us long, up boolean, identity string, host string")
-
-
-def plain_transitions(pattern, n=3):
-    out, state, run, start = [], None, 0, 0
-    for k, c in enumerate(pattern):
-        s = c != "D"
-        if k == 0 or (pattern[k - 1] != "D") != s:
-            run, start = 0, k
-        run += 1
-        if run == n and s != state:
-            if state is not None:
-                out.append(("recovered" if s else "unreachable", start * 300))
-            state = s
-    return out
-
-
-@pytest.mark.parametrize("pattern", ["UUUDDDUUU", "UUUDDUUUU", "DDDUUU", "UUDDUUDD", "UUUDDDDDDUUUDDD", "U"])
-def test_reachability_patterns(spark, pattern):
-    found = [(r.kind, r.at_us) for r in h.transitions(beats(spark, pattern)).orderBy("at_us").collect()]
-    assert found == plain_transitions(pattern)
-
-
-def test_random_reachability(spark):
-    draw = random.Random(2)
-    for _ in range(5):
-        pattern = "".join(draw.choice("UUUD" if draw.random() < 0.5 else "DDDU") for _ in range(60))
-        assert [(r.kind, r.at_us) for r in h.transitions(beats(spark, pattern)).orderBy("at_us").collect()] == plain_transitions(pattern)
+#: What a heartbeat of each named state shows: whether it was answered, and the verdict on the identity.
+SHOWN = {"verified": (True, "verified"), "silent": (False, ""), "expired": (True, "expired"), "mismatch": (True, "mismatch"), "unjudged": (True, "")}
+SPACING = 7_000
+
+
+def heartbeats(spark, lengths):
+    """One validator's heartbeats from runs (state, length), ``SPACING`` apart."""
+    states = [state for state, n in lengths for _ in range(n)]
+    rows = [(k, 3, 1_000_000 + k * SPACING, *SHOWN[state], "h3") for k, state in enumerate(states)]
+    return states, spark.createDataFrame(rows, "seq long, validator long, at_us long, up boolean, identity string, host string")
+
+
+def drawn_runs(seed, states, many):
+    draw = random.Random(seed)
+    return [(draw.choice(states), draw.choice((1, 1, 2, 3, 4, 6))) for _ in range(many)]
+
+
+def plain_changes(values, least=3):
+    """Places where a value that lasts for ``least`` heartbeats begins, if it differs from the last such value, which goes with it (None for the first)."""
+    found, settled, start = [], None, 0
+    for k, value in enumerate(values):
+        if k and values[k - 1] != value:
+            start = k
+        if k - start + 1 == least and value != settled:
+            found.append((start, settled, value))
+            settled = value
+    return found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_reachability_of_drawn_runs(spark, seed):
+    states, rows = heartbeats(spark, drawn_runs(seed, ["verified", "silent"] if seed % 2 else [*SHOWN], 25))
+    expected, down = [], None
+    for start, was, up in plain_changes([SHOWN[s][0] for s in states]):
+        at = 1_000_000 + start * SPACING
+        if was is not None:
+            expected.append(("recovered" if up else "unreachable", at, down if up else None))
+        down = None if up else at
+    found = sorted((r.at_us, r.kind, r.since_us) for r in h.transitions(rows).collect())
+    assert [(kind, at) for at, kind, _ in found] == [(kind, at) for kind, at, _ in expected]
+    assert [since for _, _, since in found if since] == [since for _, _, since in expected if since]
+
+
+@pytest.mark.parametrize("seed", range(6, 12))
+def test_identity_of_drawn_runs(spark, seed):
+    states, rows = heartbeats(spark, drawn_runs(seed, [*SHOWN], 40))
+    judged = [(k, SHOWN[s][1]) for k, s in enumerate(states) if SHOWN[s][0] and SHOWN[s][1]]
+    expected, left = [], None
+    for start, was, now in plain_changes([v for _, v in judged]):
+        at = 1_000_000 + judged[start][0] * SPACING
+        if was is None:
+            continue
+        expected.append((at, "identity_restored" if now == "verified" else "identity_problem", now, left if now == "verified" else None))
+        left = at if was == "verified" else left
+    assert sorted(tuple(r) for r in h.identity_transitions(rows).select("at_us", "kind", "identity", "since_us").collect()) == sorted(expected)
+
+
+def test_no_change_without_a_lasting_one(spark):
+    assert h.transitions(heartbeats(spark, [("verified", 9), ("silent", 2), ("verified", 4)])[1]).count() == 0
+    assert h.transitions(heartbeats(spark, [("silent", 1)])[1]).count() == 0 and h.identity_transitions(heartbeats(spark, [("silent", 8)])[1]).count() == 0
+
+
+def test_other_vantages_confirm(spark):
+    draw = random.Random(4)
+    rows = [(k, k % 2, draw.choice(("h1", "h2")), draw.choice(("v0", "v1", "v2")), draw.randrange(400), draw.random() < 0.6) for k in range(400)]
+    frame = spark.createDataFrame(rows, "seq long, validator long, host string, vantage string, at_us long, up boolean")
+    expected = []
+    for seq, validator, host, vantage, at, up in rows:
+        if not up:
+            before = [r for r in rows if r[1:3] == (validator, host) and (r[4], r[0]) < (at, seq)]
+            own = max((r for r in before if r[3] == vantage), key=lambda r: (r[4], r[0]), default=None)
+            other = max((r for r in before if r[3] != vantage and r[4] > at - 5), key=lambda r: (r[4], r[0]), default=None)
+            expected.append((seq, validator, bool(own and own[5]), "none" if other is None else "up" if other[5] else "down"))
+    assert sorted(map(tuple, h.confirmed_elsewhere(frame, 5).collect())) == sorted(expected)
 
 
-def test_identity_patterns(spark):
-    found = h.identity_transitions(beats(spark, "UUUEEEDD?EMMMUUU")).orderBy("at_us").collect()
-    assert [(r.kind, r.identity, r.since_us) for r in found] == [("identity_problem", "expired", None), ("identity_problem", "mismatch", None), ("identity_restored", "verified", 900)]
+def test_runs_and_what_lies_between(spark):
+    events = [("a", "v", 1, 10, "started"), ("a", "v", 1, 10, "started"), ("a", "v", 1, 15, "beat"), ("a", "v", 1, 30, "started"), ("a", "v", 1, 34, "beat"), ("a", "v", 2, 32, "started"), ("a", "v", 2, 50, "stopped"), ("a", "v", 2, 60, "started"), ("a", "v", 3, 5, "beat")]
+    spans = h.run_spans(spark.createDataFrame(events, "component string, vantage string, pid long, at_us long, kind string"))
+    assert sorted((r.pid, r.from_us, r.to_us, r.stopped) for r in spans.collect()) == [(1, 10, 15, False), (1, 30, 34, False), (2, 32, 50, True), (2, 60, 60, False)]
+    assert sorted((r.from_us, r.to_us) for r in h.gaps_between(spans, ["component"]).collect()) == [(15, 30), (50, 60)]
 
 
 def test_pinned_permutations():
+    # Permutations of the protocol's published row assignment, whose vectors every client must meet.
     assert streams.shuffled([bytes(32)], [16])[0] == [8, 13, 12, 0, 15, 14, 3, 10, 7, 2, 4, 11, 5, 1, 6, 9]
     assert streams.shuffled([bytes(range(1, 33))], [32])[0] == [17, 19, 28, 24, 1, 23, 13, 25, 18, 0, 15, 29, 3, 30, 20, 4, 10, 8, 9, 22, 26, 16, 2, 7, 11, 27, 6, 5, 31, 14, 12, 21]
     assert [sorted(p) for p in streams.shuffled([bytes([k]) * 32 for k in range(3)], [700, 1, 9])] == [list(range(700)), [0], list(range(9))]
@@ -197,7 +243,7 @@ def test_hosts_of_every_settlement(spark):
             expected.append((a.promise_hash, a.validator, "gap", ""))
         else:
             expected.append((a.promise_hash, a.validator, "no_seed" if host is None else "on_record" if host else "none", host or ""))
-    found = [tuple(r) for r in QUERIES["host_at_every_settlement"](spark, FOLDER).collect()]
+    found = [tuple(r) for r in QUERIES["host_at_settlement"](spark, FOLDER).collect()]
     assert sorted(found) == sorted(expected) and len({p for p, *_ in found if p % 3}) > 0
 
 
@@ -212,6 +258,6 @@ def test_every_waiting_check_holds_its_day(spark):
     for day in sorted(days):
         rolled = rolled and all(days[day])
         expected.append((day, all(days[day]), len(days[day]), rolled))
-    found = QUERIES["final_days_by_every_check"](spark, FOLDER).select("day", "final", "promises", "rolled")
-    assert sorted(map(tuple, found.collect())) == expected
+    found = roll.final_days(v.publications, held_promises(v.publications, v.uncertain), v.checks.where("cls = 'PROBE_ERROR' and shadow_uncertain"), NOW)
+    assert sorted(map(tuple, found.select("day", "final", "promises", "rolled").collect())) == expected
     assert any(p % 20 for p in waiting)
