@@ -18,6 +18,7 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -121,9 +122,17 @@ def spellings(vocabulary: str) -> Spellings:
     return _spellings[vocabulary]
 
 
-def cut(vocabulary: str, window: int, separator: int, with_ids: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Tokenizes (doc_id, text, salt) rows into pieces of ``window`` tokens at most; with their ids, as bytes, if asked."""
-    end = np.asarray([separator], "<u4").tobytes()
+@cache
+def id_bytes(vocabulary: str, separator: int = SEPARATOR) -> int:
+    """Bytes that hold any id of the vocabulary: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(vocabulary).get_vocab_size(), separator + 1) <= 1 << 16 else 4
+
+
+def cut(vocabulary: str, window: int, separator: int, ids_width: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tokenizes (doc_id, text, salt) rows into pieces of ``window`` tokens at most; with their ids, in so many bytes each, if asked."""
+    end, with_ids = np.asarray([separator], "<u4").tobytes(), ids_width > 0
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 7 if with_ids else 6]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -138,7 +147,7 @@ def cut(vocabulary: str, window: int, separator: int, with_ids: bool = False) ->
                 ids = known.ids(text.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * window)):
                     part = ids[at : at + 4 * window]
-                    rows.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), salt.as_py(), *([part] if with_ids else [])))
+                    rows.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), salt.as_py(), *([np.frombuffer(part, "<u4").astype(f"<u{ids_width}").tobytes()] if with_ids else [])))
                     if len(rows) >= 4096:
                         yield batch_of(rows)
                         rows = []
@@ -228,7 +237,8 @@ def pieces_of(documents: DataFrame, id_column: str = "doc_id", text_column: str
     """The table of all pieces, written; ``salt`` is a number of its own for each row of ``documents``."""
     salt = F.monotonically_increasing_id()
     source = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), salt.alias("salt"))
-    cutter = cut(vocabulary or default_vocabulary(), window, separator, with_ids)
+    vocabulary = vocabulary or default_vocabulary()
+    cutter = cut(vocabulary, window, separator, id_bytes(vocabulary, separator) if with_ids else 0)
     return written(source.mapInArrow(cutter, PIECES + (", ids binary" if with_ids else "")), "pieces")
 
 
@@ -248,7 +258,9 @@ def pack(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def sequences(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None, separator: int = SEPARATOR) -> DataFrame:
-    """The packed sequences themselves: sequence_id, its token ids as bytes, at most ``window`` of them, and its parts in order.
+    """The packed sequences themselves: sequence_id, its token ids, at most ``window`` of them, and its parts in order.
+
+    Ids are little-endian bytes, ``id_bytes`` each: 2 where the vocabulary allows it, as they are shuffled twice.
 
     A part has doc_id, row_key (a number of its own for each row of ``documents``), piece, start, length and offset.
     Ids need not be unique. Every text is tokenized once: the ids wait in the table of pieces for their places.
@@ -275,7 +287,8 @@ def digests(packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for sequence, ids, parts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for sequence, raw, parts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                ids = np.frombuffer(raw, f"<u{len(raw) // sum(p['length'] for p in parts)}").astype("<u4").tobytes()
                 rows += [(*(p[f] for f in fields), zlib.crc32(ids[4 * p["offset"] : 4 * (p["offset"] + p["length"])]), sequence, p["offset"]) for p in parts]
             kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 5)
             columns = zip(*rows, strict=True) if rows else [()] * 8

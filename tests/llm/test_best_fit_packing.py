@@ -118,14 +118,15 @@ def test_sequences_round_trip(spark, awkward, nothing):
     own, made = b.Spellings(b.default_vocabulary()), written(b.sequences(docs), "test-sequences")
     expected = sorted((r.doc_id or -1, own.ids(r.text) + bytes(4)) for r in docs.collect())
     found, place = {}, {}
+    assert b.id_bytes(b.default_vocabulary()) == 2 and b.id_bytes(b.default_vocabulary(), 1 << 16) == 4
     for r in made.collect():
-        at = 0
+        at, ids = 0, np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()
         for p in r.parts:
             assert p.offset == at
             at += p.length
-            found.setdefault((p.doc_id or -1, p.row_key), {})[p.start] = bytes(r.ids[4 * p.offset : 4 * at])
+            found.setdefault((p.doc_id or -1, p.row_key), {})[p.start] = ids[4 * p.offset : 4 * at]
             place[p.row_key, p.piece] = (p.doc_id, p.start, p.length, r.sequence_id, p.offset)
-        assert len(r.ids) == 4 * at <= 4 * 2048
+        assert len(r.ids) == 2 * at <= 2 * 2048
     assert sorted((k[0], b"".join(v[s] for s in sorted(v))) for k, v in found.items()) == expected
     rows = b.digests(made).collect()
     assert {(r.row_key, r.piece): (r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows} == place and len(rows) == len(place)
