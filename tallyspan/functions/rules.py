@@ -17,6 +17,8 @@ GAPS = ("NOT_PROBED", "PROBE_ERROR")
 END_LABELS = ("end", "full", "enough")
 #: Readings labelled "end" that start from this moment on are full readings (2026-10-02T16:09:49Z).
 FULL_SINCE = 1_790_957_389_000_000
+#: How long after an answer a shard that was not found may still have been due.
+NOT_FOUND_GUARD_US = 30_000_000
 
 
 # Outcomes that the classes are told apart by, beside those above.

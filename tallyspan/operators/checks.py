@@ -39,12 +39,25 @@ def evidence() -> dict[str, Column]:
     return {n: F.col(n) for n in names}
 
 
+def decided_us(must_serve: Column) -> Column:
+    """The moment that a check's phase is taken at: its start, or the slot of one that was never made. A shard that was not
+    found in the window is judged by the end of the answer and a guard, wider by what the clock is behind, so that a
+    deadline that passed meanwhile is not held against the endpoint."""
+    guarded = F.col("finished_us") + rules.NOT_FOUND_GUARD_US + F.col("behind_us")
+    missing = (F.col("outcome") == "NOT_FOUND") & (F.col("started_us") < must_serve)
+    return F.when(F.col("outcome") == "MISSED", F.col("scheduled_us")).when(missing, F.greatest(F.col("started_us"), guarded)).otherwise(F.col("started_us"))
+
+
 def classified(raw: DataFrame, publications: DataFrame, uncertain: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """Raw checks with what their promise says (settled_us, must_serve_us, ...), ``verified``, ``phase``, ``cls`` and ``held``."""
+    """Raw checks with what their promise says (settled_us, must_serve_us, ...), ``verified``, ``phase``, ``cls`` and ``held``.
+
+    The phase is that of the start, or of ``decided_us`` where the checks say when they finished.
+    """
     promised = with_held(publications, uncertain, ["settled_us", "must_serve_us", "needed_rows", "excess_rows", "height", "tx_index", "commitment"])
     verified = (F.col("outcome") == "SERVED_OK") | (F.col("outcome").isin("WRONG_ROWS", "PARTIAL") & F.col("rows_verify"))
     joined = raw.join(promised, "promise_hash").withColumn("verified", verified)
-    joined = joined.withColumn("phase", rules.phase(F.col("started_us"), F.col("must_serve_us"), tolerance))
+    at = decided_us(F.col("must_serve_us")) if "finished_us" in raw.columns else F.col("started_us")
+    joined = joined.withColumn("phase", rules.phase(at, F.col("must_serve_us"), tolerance))
     return joined.withColumn("cls", rules.classification(F.col("outcome"), F.col("phase"), evidence()))
 
 

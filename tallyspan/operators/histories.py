@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspan.operators.ranges import as_of, overlapping
+from tallyspan.operators.ranges import overlapping
 
 
 def key(height: str, tx: str) -> Column:
@@ -17,17 +17,25 @@ def params_at(publications: DataFrame, params: DataFrame) -> DataFrame:
     return as_of_one_history(publications, params, key("height", "tx_index"), key("from_height", "from_tx"), ["timeout_days", "retention_days"])
 
 
-def as_of_one_history(left: DataFrame, right: DataFrame, left_at: Column, right_at: Column, take: list[str], width: int = 64) -> DataFrame:
-    """As-of against one short history: the history as spans, spans cut into height buckets, an equi-join on the bucket."""
-    rows = right.select(right_at.alias("__from"), *take)
-    order = Window.partitionBy(F.lit(0)).orderBy("__from")  # the history alone: few rows
+def as_of_one_history(left: DataFrame, right: DataFrame, left_at: Column, right_at: Column, take: list[str], width: int = 64, by: list[str] | None = None) -> DataFrame:
+    """As-of against a history: the history as spans, spans cut into height buckets, an equi-join on the bucket (and ``by``).
+
+    Only the history is put in order, by key; the left rows of a key are dealt out by bucket. Of equal right keys the
+    largest values of ``take`` win.
+    """
+    keys = by or []
+    rows = right.select(*keys, right_at.alias("__from"), *take)
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__from", *take)  # without a key the history alone: few rows
     spans = rows.withColumn("__next", F.lead("__from").over(order))
-    top = left.agg(F.max(left_at["h"])).first()[0]
-    until = F.least(F.coalesce(F.col("__next")["h"], F.lit(top)), F.lit(top))
-    cut = spans.where(F.col("__from")["h"] <= until).withColumn("__b", F.explode(F.sequence(F.floor(F.col("__from")["h"] / width), F.floor(until / width))))
+    top = left.agg(F.max(left_at["h"])).scalar()
+    until = F.least(F.coalesce(F.col("__next")["h"], top), top)
+    cut = spans.where(F.col("__from")["h"] <= until).withColumn("__c", F.explode(F.sequence(F.floor(F.col("__from")["h"] / width), F.floor(until / width))))
+    cut = cut.withColumnsRenamed({k: f"__{k}" for k in keys})
     marked = left.withColumn("__at", left_at).withColumn("__b", F.floor(F.col("__at")["h"] / width))
-    inside = (F.col("__at") >= F.col("__from")) & (F.col("__next").isNull() | (F.col("__at") < F.col("__next")))
-    return marked.join(cut.withColumnRenamed("__b", "__c"), (F.col("__b") == F.col("__c")) & inside, "left").drop("__b", "__c", "__at", "__from", "__next")
+    met = (F.col("__b") == F.col("__c")) & (F.col("__at") >= F.col("__from")) & (F.col("__next").isNull() | (F.col("__at") < F.col("__next")))
+    for k in keys:
+        met &= F.col(k) == F.col(f"__{k}")
+    return marked.join(cut, met, "left").drop("__b", "__c", "__at", "__from", "__next", *[f"__{k}" for k in keys])
 
 
 def deadlines(publications: DataFrame, params: DataFrame, day: int) -> DataFrame:
@@ -37,8 +45,8 @@ def deadlines(publications: DataFrame, params: DataFrame, day: int) -> DataFrame
     """
     order = Window.partitionBy(F.lit(0)).orderBy("from_height", "from_tx")
     spans = params.withColumns({"__nh": F.lead("from_height").over(order), "__nt": F.lead("from_tx").over(order)})
-    top = publications.agg(F.max("height")).first()[0] or 0
-    ranges = spans.withColumns({"lo": F.col("from_height"), "hi": F.coalesce("__nh", F.lit(top))}).withColumn("all", F.struct("from_height", "from_tx", "__nh", "__nt", "timeout_days", "retention_days"))
+    top = publications.agg(F.max("height")).scalar()
+    ranges = spans.withColumns({"lo": F.col("from_height"), "hi": F.coalesce("__nh", top, F.lit(0))}).withColumn("all", F.struct("from_height", "from_tx", "__nh", "__nt", "timeout_days", "retention_days"))
     wide = publications.select("promise_hash", (F.col("promise_height") - 1).alias("lo"), F.col("height").alias("hi"))
     met = overlapping(wide, ranges.select("lo", "hi", "all"), "promise_hash", keep="all").select("promise_hash", "all.*")
     joined = publications.select("promise_hash", "created_us", "promise_height", "height", "tx_index").join(met, "promise_hash")
@@ -55,7 +63,7 @@ def hosts_at(publications: DataFrame, events: DataFrame, gaps: DataFrame) -> Dat
     ``source``: on_record, none (registered as empty), no_seed (nothing before), gap (a scan gap lies between).
     """
     left = publications.select("promise_hash", "validator", "height", "tx_index")
-    found = as_of(left, events.withColumn("since", F.col("height")), ["validator"], key("height", "tx_index"), key("height", "tx_index"), ["host", "since"])
+    found = as_of_one_history(left, events.withColumn("since", F.col("height")), key("height", "tx_index"), key("height", "tx_index"), ["host", "since"], by=["validator"])
     spans = found.select("promise_hash", "validator", (F.coalesce("since", F.lit(0)) + 1).alias("lo"), F.col("height").alias("hi")).withColumn("pair", F.struct("promise_hash", "validator"))
     hit = overlapping(spans, gaps.select(F.col("first").alias("lo"), F.col("last").alias("hi")), "pair").select("pair.*").withColumn("gap", F.lit(True))
     joined = found.join(hit, ["promise_hash", "validator"], "left")

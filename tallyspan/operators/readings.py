@@ -14,12 +14,20 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def _gains(checks: DataFrame) -> DataFrame:
-    """Checks with ``__gain``: the rows that a verified answer adds to those of its reading that start before it.
+def _gains(checks: DataFrame, undecided: Column | None = None) -> DataFrame:
+    """Checks with ``__gain``: the rows that a verified answer adds to those of other answers of its reading.
 
-    Answers are stretches of row numbers, so the gains of a reading add up to the number of its distinct rows.
+    An answer is a stretch of row numbers (first_row, rows_returned), of which only what no earlier stretch has is a gain; or, with
+    a column ``row_indices``, a list, where a row counts for the first check that has it, and lists are only opened where
+    ``undecided`` holds. Either way the gains of a reading add up to the number of its distinct rows.
     """
     gave = _c("verified") & (_c("rows_returned") > 0)
+    if "row_indices" in checks.columns:
+        chosen = checks.where(gave if undecided is None else gave & undecided)
+        rows = chosen.select(*READING, "dedupe_key", F.explode("row_indices").alias("__row"))
+        first = rows.groupBy(*READING, "__row").agg(F.min("dedupe_key").alias("dedupe_key"))
+        counts = first.groupBy(*READING, "dedupe_key").agg(F.count(F.lit(1)).alias("__gain"))
+        return checks.join(counts, [*READING, "dedupe_key"], "left").withColumn("__gain", F.coalesce("__gain", F.lit(0)))
     end = F.when(gave, _c("first_row") + _c("rows_returned"))
     before = Window.partitionBy(*READING).orderBy(F.when(gave, _c("first_row")), end).rowsBetween(Window.unboundedPreceding, -1)
     upto = checks.withColumn("__end", end).withColumn("__upto", F.max("__end").over(before))
@@ -113,7 +121,10 @@ def counted(checks: DataFrame) -> DataFrame:
         "__ran": F.bool_or(rules.reached(verified, _c("tcp_ok"), outcome)).over(whole),
         "__missed": F.bool_or(_owed(full=False) | (_owed(full=True) & ~_c("__other"))).over(whole),
     })
-    known = _gains(marked).withColumn("__have", F.sum("__gain").over(whole))
+    upper = F.sum(F.when(verified, _c("rows_returned"))).over(whole)
+    undecided = (_c("needed_rows") > 0) & (_c("__lower") < _c("needed_rows")) & (_c("__upper") >= _c("needed_rows"))
+    marked = marked.withColumn("__upper", upper) if "row_indices" in checks.columns else marked
+    known = _gains(marked, undecided).withColumn("__have", F.sum("__gain").over(whole))
     available = (_c("__lower") >= _c("needed_rows")) | (_c("__have") >= _c("needed_rows"))
     unavailable = (_c("needed_rows") > 0) & ~available & _c("__ran") & ~_c("__missed")
     hold = _c("held") & (outcome != "INVALID_ROWS")

@@ -111,14 +111,14 @@ def unique_gaps(gaps: DataFrame) -> DataFrame:
 
 
 def with_provider(hosts: DataFrame, providers: DataFrame) -> DataFrame:
-    """Hosts with the provider of their network number, itself where the list has none. The list is a fixed, short one."""
-    return hosts.join(F.broadcast(providers), "asn", "left").withColumn("provider", F.coalesce("provider_name", "asn")).drop("provider_name")
+    """Hosts with the provider of their network number, itself where the list has none."""
+    return hosts.join(providers, "asn", "left").withColumn("provider", F.coalesce("provider_name", "asn")).drop("provider_name")
 
 
 def explained(failures: DataFrame, known: list[tuple[str, int, str]]) -> DataFrame:
-    """Failed transactions (codespace, code) with their plain reason; the list is a fixed, short one."""
+    """Failed transactions (codespace, code) with their plain reason."""
     reasons = failures.sparkSession.createDataFrame(known, "codespace string, code int, reason string")
-    return failures.join(F.broadcast(reasons), ["codespace", "code"], "left").withColumn("reason", F.coalesce("reason", F.concat_ws(" ", F.lit("code"), F.col("code").cast("string"), F.col("codespace"))))
+    return failures.join(reasons, ["codespace", "code"], "left").withColumn("reason", F.coalesce("reason", F.concat_ws(" ", F.lit("code"), F.col("code").cast("string"), F.col("codespace"))))
 
 
 def pace(blocks: DataFrame, n: int = 600, least: int = 40, guess: int = 6_000_000) -> DataFrame:

@@ -64,14 +64,14 @@ def quorum(publications: DataFrame, assignments: DataFrame, powers: DataFrame) -
 
 def newest_endorsements(publications: DataFrame, assignments: DataFrame, n: int = 20) -> DataFrame:
     """Per validator, of its newest n promises: how many it signed, and the newest one that it signed."""
-    joined = publications.join(assignments.where("row_count > 0"), "promise_hash")
+    joined = publications.join(assignments.where("row_count > 0"), "promise_hash").withColumn("__signed", F.coalesce("attested", F.lit(False)))
+    place = F.struct("height", "tx_index", "promise_hash")
     newest = Window.partitionBy("validator").orderBy(F.desc("height"), F.desc("tx_index"), F.desc("promise_hash"))
-    signed = F.coalesce("attested", F.lit(False))
-    ranked = joined.withColumn("__n", F.row_number().over(newest)).withColumn("__signed", signed)
-    return ranked.groupBy("validator").agg(
-        F.count_if(F.col("__n") <= n).alias("newest"), F.count_if((F.col("__n") <= n) & F.col("__signed")).alias("newest_signed"),
-        F.max(F.when(F.col("__signed"), F.struct("height", "tx_index", "promise_hash")))["promise_hash"].alias("last_signed"),
-    )
+    # the limit is pushed into the sort: a task gives at most n rows of a validator to the next one
+    few = joined.select("validator", "__signed", F.row_number().over(newest).alias("__n")).where(F.col("__n") <= n)
+    counts = few.groupBy("validator").agg(F.count(F.lit(1)).alias("newest"), F.count_if("__signed").alias("newest_signed"))
+    last = joined.where("__signed").groupBy("validator").agg(F.max(place)["promise_hash"].alias("last_signed"))
+    return counts.join(last, "validator", "left")
 
 
 def load(publications: DataFrame, assignments: DataFrame, start: int, end: int, now: int) -> DataFrame:

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyspan.functions import rules
 from tallyspan.operators import checks as over
+from tallyspan.operators import facts
 from tallyspan.operators import obligations as obl
 from tallyspan.operators import readings as read
+from tallyspan.operators import tallies
 from tallyspan.plans.derived import SUMS_SQL
 from tallyspan.plans.registry import query
 from tallyspan.plans.views import DAY, NOW, Views
+from tallyspan.sources import records, synthetic
 
 WEEK = NOW - 7 * DAY
 
@@ -146,3 +149,22 @@ def _(v: Views) -> DataFrame:
 @query("held_promises", "SELECT promise_hash FROM held_promises")
 def _(v: Views) -> DataFrame:
     return over.held_promises(v.publications, v.uncertain)
+
+
+@query("obligations_from_records", f"SELECT validator, {SUMS_SQL} FROM bucketed GROUP BY validator")
+def _(v: Views) -> DataFrame:
+    """The same obligations from nothing but record lines: written as JSON, parsed, joined, classified and counted again."""
+    said = records.parsed(synthetic.publication_lines(v.publications, v.assignments), "publications").where("not bad").select("record.*")
+    made = records.parsed(synthetic.measurement_lines(v.raw_checks), "measurements").where("not bad").select("record.*")
+    ranges = v.uncertain.select("from_height", "to_height", "holds")
+    rows = over.classified(facts.checks(made), facts.publications(said), ranges)
+    found = obl.obligations(obl.population(read.counted(rows), None, NOW), NOW)
+    return obl.sums(found, ["validator"]).withColumn("validator", F.col("validator").cast("long"))
+
+
+@query("load_from_records", f"""WITH e AS (SELECT a.validator, a.row_count FROM publications p JOIN assignments a ON a.promise_hash = p.promise_hash WHERE p.tx_code = 0 AND a.attested AND a.row_count > 0 AND p.settled_us <= {NOW})
+    SELECT validator, count(*) AS promises, sum(row_count)::BIGINT AS rows FROM e GROUP BY validator""")
+def _(v: Views) -> DataFrame:
+    said = records.parsed(synthetic.publication_lines(v.publications, v.assignments), "publications").where("not bad").select("record.*")
+    found = tallies.load(facts.publications(said), facts.assignments(said), 0, NOW, NOW)
+    return found.where("promises > 0").select(F.col("validator").cast("long").alias("validator"), "promises", "rows")

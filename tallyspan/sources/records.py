@@ -31,11 +31,11 @@ SCHEMAS = {
     "publications": f"schema_version INT, promise_hash STRING, settlement_height BIGINT, settlement_time STRING, settlement_tx_hash STRING, settlement_tx_index INT, settlement_tx_code BIGINT, signer STRING, validator_signature_count INT, "
     "promise STRUCT<chain_id: STRING, height: BIGINT, namespace: STRING, namespace_version: SMALLINT, namespace_id: STRING, blob_size: BIGINT, blob_version: BIGINT, commitment: STRING, creation_timestamp: STRING, signer_public_key: STRING, signature: STRING>, "
     f"params_at_publication {_PARAMS}, must_serve_until STRING, must_serve_until_basis STRING, must_serve_until_ambiguous BOOLEAN, "
-    "assignment STRUCT<error: STRING, total_voting_power: BIGINT, validator_set_height: BIGINT, sigma: INT, distinct: INT, validators: ARRAY<STRUCT<address: STRING, voting_power: BIGINT, row_count: INT, rows: ARRAY<INT>, attested: BOOLEAN, host_at_settlement: STRING>>>, recorded_at STRING",
+    "assignment STRUCT<error: STRING, protocol_params: STRUCT<original_rows: INT, total_rows: INT>, total_voting_power: BIGINT, validator_set_height: BIGINT, sigma: INT, distinct: INT, validators: ARRAY<STRUCT<address: STRING, voting_power: BIGINT, row_count: INT, rows: ARRAY<INT>, attested: BOOLEAN, host_at_settlement: STRING>>>, recorded_at STRING",
     "measurements": "schema_version INT, vantage STRING, promise_hash STRING, commitment STRING, must_serve_until STRING, validator_address STRING, validator_host STRING, assigned BOOLEAN, attested BOOLEAN, attestation_unknown BOOLEAN, assigned_row_count INT, "
     f"schedule_label STRING, scheduled_at STRING, started_at STRING, finished_at STRING, lateness_ms BIGINT, attempt INT, next_attempt_due STRING, shared_from STRING, dns {_STEP}, tcp {_STEP}, "
     "tls STRUCT<attempted: BOOLEAN, ok: BOOLEAN, duration_ms: BIGINT, version: STRING, cipher_suite: STRING, peer_cert_sha256: STRING, error: STRING>, identity STRUCT<attempted: BOOLEAN, ok: BOOLEAN, duration_ms: BIGINT, reason: STRING, stale: BOOLEAN, error: STRING>, "
-    "download STRUCT<attempted: BOOLEAN, ok: BOOLEAN, duration_ms: BIGINT, rows_returned: INT, rows_expected: INT, row_indices: ARRAY<BIGINT>, rows_sha256: STRING, bytes_returned: BIGINT, commitment_verified: BOOLEAN, assignment_verified: BOOLEAN, rows_subset_of_assignment: BOOLEAN, error: STRING>, "
+    "download STRUCT<attempted: BOOLEAN, ok: BOOLEAN, duration_ms: BIGINT, rows_returned: INT, rows_expected: INT, row_indices: ARRAY<BIGINT>, rows_sha256: STRING, bytes_returned: BIGINT, commitment_verified: BOOLEAN, assignment_verified: BOOLEAN, rows_subset_of_assignment: BOOLEAN, shadowed_by: STRING, shadow_gap: STRING, error: STRING>, clock_offset_ms BIGINT, observer STRUCT<pin_stale: BOOLEAN>, "
     "phase STRING, outcome STRING, classification STRING, classification_reason STRING, raw_error STRING, total_duration_ms BIGINT",
     "payments": "schema_version INT, dedupe_key STRING, kind STRING, height BIGINT, time STRING, tx_hash STRING, tx_index INT, msg_index INT, publisher STRING, processor STRING, promise_hash STRING, namespace STRING, blob_size BIGINT, gas_units BIGINT, denom STRING, amount_utia DECIMAL(20,0), available_at STRING, recorded_at STRING",
     "host_history": "from_height BIGINT, from_tx_index INT, cons_address STRING, host STRING, source STRING, time STRING",
@@ -81,7 +81,8 @@ def parsed(lines: DataFrame, kind: str) -> DataFrame:
     """Lines (value, and whatever else) as records: ``record``, the ``raw`` line, and ``bad`` for what is none."""
     text = F.col("value")
     record = F.from_json(text, SCHEMAS[kind] + ", _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    marked = lines.withColumn("record", F.when(F.length(text) <= LONGEST, record))
+    # exploded from an array of one, so that a line is parsed once, however many fields are taken from it
+    marked = lines.select("*", F.explode(F.array(F.when(F.length(text) <= LONGEST, record))).alias("record"))
     bad = F.col("record").isNull() | F.col("record._bad").isNotNull()
     return marked.withColumn("bad", bad).withColumnRenamed("value", "raw")
 

@@ -36,3 +36,39 @@ def checks(pledged: DataFrame, validators: int, seed: int = 1, broken: float = 0
     })
     truth = made.groupBy("validator").agg(F.count(F.lit(1)).alias("total"), F.count_if("fails").alias("broken"), F.count_if(~F.col("fails")).alias("served"))
     return made.drop("fails"), truth
+
+
+def text_of(us: str) -> Column:
+    """Microseconds as a record's time."""
+    return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def publication_lines(promised: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Record lines (value) of promises and their assignments, as a scanner writes them."""
+    members = F.struct(F.col("validator").cast("string").alias("address"), F.col("row_count").cast("int").alias("row_count"), "attested", "host_at_settlement")
+    each = assigned.groupBy("promise_hash").agg(F.array_sort(F.collect_list(members)).alias("validators"))
+    joined = promised.join(each, "promise_hash", "left")
+    excess = F.col("excess_rows").cast("int")
+    record = F.struct(
+        F.lit(3).alias("schema_version"), F.col("promise_hash").cast("string").alias("promise_hash"), F.col("height").alias("settlement_height"), text_of("settled_us").alias("settlement_time"),
+        F.col("tx_index").alias("settlement_tx_index"), F.col("tx_code").alias("settlement_tx_code"), F.col("publisher").cast("string").alias("signer"),
+        F.struct(F.col("promise_height").alias("height"), "namespace", "blob_size", "blob_version", F.col("commitment").cast("string").alias("commitment"), text_of("created_us").alias("creation_timestamp")).alias("promise"),
+        text_of("must_serve_us").alias("must_serve_until"),
+        F.struct(F.struct(F.col("needed_rows").cast("int").alias("original_rows")).alias("protocol_params"), (excess + 5).alias("sigma"), F.lit(5).alias("distinct"), F.col("validators").alias("validators")).alias("assignment"),
+    )
+    return joined.select(F.explode(F.array(F.to_json(record))).alias("value"))
+
+
+def measurement_lines(made: DataFrame) -> DataFrame:
+    """Record lines (value) of checks, as a prober writes them. The key of a check is its vantage here, so keys order alike."""
+    rows = F.when(F.col("rows_returned") > 0, F.sequence(F.col("first_row"), F.col("first_row") + F.col("rows_returned") - 1))
+    shadow = F.when(F.col("shadowed"), "other"), F.when(F.col("shadow_uncertain"), "gap")
+    record = F.struct(
+        F.lit(3).alias("schema_version"), F.col("dedupe_key").alias("vantage"), F.col("promise_hash").cast("string").alias("promise_hash"), F.col("validator").cast("string").alias("validator_address"),
+        "assigned", "attested", "attestation_unknown", F.col("label").alias("schedule_label"), text_of("scheduled_us").alias("scheduled_at"), text_of("started_us").alias("started_at"), text_of("started_us").alias("finished_at"),
+        F.when(F.col("attempt_owed"), text_of("started_us")).alias("next_attempt_due"), F.struct(F.col("tcp_ok").alias("ok")).alias("tcp"), F.struct(F.col("tls_ok").alias("ok")).alias("tls"),
+        F.struct(F.col("identity_stale").alias("stale")).alias("identity"), F.struct(F.col("pin_stale")).alias("observer"),
+        F.struct(F.col("rows_returned").cast("int").alias("rows_returned"), rows.alias("row_indices"), F.col("rows_verify").alias("commitment_verified"), F.col("subset_of_own").alias("rows_subset_of_assignment"), shadow[0].alias("shadowed_by"), shadow[1].alias("shadow_gap")).alias("download"),
+        "outcome",
+    )
+    return made.select(F.explode(F.array(F.to_json(record))).alias("value"))

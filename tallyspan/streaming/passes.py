@@ -30,6 +30,35 @@ def due(waiting: DataFrame, frontier: int, timeout: int) -> DataFrame:
     return waiting.where(F.col("started_us") + timeout <= frontier)
 
 
+class Versions:
+    """A small table that is replaced as a whole: the highest version counts, older ones go once it is written."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self.files = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Versions that were written to their end."""
+        if not self.files.exists(self.folder):
+            return []
+        found = [status.getPath() for status in self.files.listStatus(self.folder)]
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(path.getName()) for path in found if path.getName().isdigit() and self.files.exists(done(path, "_SUCCESS")))
+
+    def path(self, version: int) -> str:
+        return f"{self.folder.toString()}/{version}"
+
+    def read(self, like: DataFrame) -> DataFrame:
+        known = self.versions()
+        return stored(self.spark, self.path(known[-1]), like) if known else self.spark.createDataFrame([], like.schema)
+
+    def replace(self, rows: DataFrame) -> None:
+        known = self.versions()
+        rows.write.mode("overwrite").parquet(self.path(known[-1] + 1 if known else 0))
+        for old in known:
+            self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(old)), True)
+
+
 @dataclass
 class Collector:
     """Keeps tables under a folder up to date with batches of records, each as one ``foreachBatch`` function."""
@@ -50,14 +79,17 @@ class Collector:
         if kind not in self.needs:
             return insert_absent(batch, self.path(kind), self.keys[kind])
         other, key = self.needs[kind]
-        aside = self.path(f"{kind}_waiting")
+        aside = Versions(self.spark, self.path(f"{kind}_waiting"))
         known = stored(self.spark, self.path(other), batch.select(key))
-        every = batch.unionByName(stored(self.spark, aside, batch))
-        now, later = ready(every, known, key)
+        now, later = ready(batch.unionByName(aside.read(batch)), known, key)
         count = insert_absent(now, self.path(kind), self.keys[kind])
-        insert_absent(later, aside, self.keys[kind])
+        aside.replace(later.dropDuplicates(self.keys[kind]))
         return count
 
+    def waiting(self, kind: str, like: DataFrame) -> DataFrame:
+        """Records that go on waiting."""
+        return Versions(self.spark, self.path(f"{kind}_waiting")).read(like)
+
     def run_pass(self, batches: dict[str, DataFrame]) -> dict[str, int]:
         """One pass over a batch of each kind, in the fixed order; returns what each added."""
         return {kind: self.take(kind, batches[kind]) for kind in ORDER if kind in batches and kind in self.keys}
