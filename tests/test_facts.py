@@ -71,28 +71,27 @@ def test_late_verdicts_and_uncertain_ranges(spark, made, tmp_path):
     bad = [json.loads(line) for line in seen if json.loads(line)["outcome"] == "NOT_FOUND"]
     key = lambda m: (m["promise_hash"], m["validator_address"])
     late = [{"promise_hash": m["promise_hash"], "validator_address": m["validator_address"], "scheduled_at": m["scheduled_at"], "to": to, "judged_at": at} for m in bad[:1] for to, at in (("SHADOWED_SHARD", "2030-01-02T00:00:00Z"), ("PROBE_ERROR", "2030-01-01T00:00:00Z"))]
-    held = int(bad[-1]["promise_hash"])
+    held = int(bad[len(bad) // 2]["promise_hash"])
     ranges = [{"id": "a", "from_height": held + 10, "to_height": held + 10, "detected_at": "2030-01-01T00:00:00Z"}, {"id": "b", "from_height": 0, "to_height": 500, "detected_at": "2030-01-01T00:00:00Z"}, {"id": "b", "from_height": 0, "to_height": 500, "detected_at": "2030-01-01T00:00:00Z", "resolution": "same", "resolved_at": "2030-01-03T00:00:00Z"}]
     one = records.read_records(spark, files(tmp_path, "publications", said), "publications")
     two = records.read_records(spark, files(tmp_path, "measurements", seen), "measurements")
     rows = facts.recomputed(one, two, records.read_records(spark, files(tmp_path, "param_uncertainty", map(json.dumps, ranges)), "param_uncertainty"), records.read_records(spark, files(tmp_path, "amendments", map(json.dumps, late)), "amendments"))
     found = {(r.promise_hash, r.validator): (r.cls, r.held) for r in rows.collect()}
     assert found[key(bad[0])][0] == "SHADOWED_SHARD" and len(found) == 240
-    assert {int(p) for (p, _), (_, h) in found.items() if h} == {held, held + 1}  # the promise made a height later spans the range too
+    assert {int(p) for (p, _), (_, h) in found.items() if h} == {held, held + 1, held + 2} & set(range(60))  # a promise spans the height before it was made up to its settlement
 
 
 def test_not_found_near_the_deadline_is_judged_by_the_end_of_the_answer(spark, made, tmp_path):
     said, seen, _ = made
     line = json.loads(next(s for s in seen if json.loads(s)["outcome"] == "NOT_FOUND"))
     end = next(json.loads(s)["must_serve_until"] for s in said if json.loads(s)["promise_hash"] == line["promise_hash"])
-    before = end[:11] + "23:59:59.999999Z" if end.endswith("00:00:00.000000Z") else None
     us = spark.createDataFrame([(end,)], "t string").select(records.micros(records.canonical(F.col("t"))).alias("us")).first().us
     text = lambda at: spark.createDataFrame([(at,)], "t long").select(synthetic.text_of("t").alias("s")).first().s
     cases = {"a": (us - 40_000_000, us - 35_000_000, "FAULT"), "b": (us - 40_000_000, us - 20_000_000, "TOLERATED"), "c": (us + 1, us + 2, "TOLERATED"), "d": (us - 40_000_000, us - 35_000_000, "TOLERATED")}
     lines = [line | {"vantage": v, "started_at": text(a), "finished_at": text(b)} | ({"clock_offset_ms": -6000} if v == "d" else {}) for v, (a, b, _) in cases.items()]
     one = records.read_records(spark, files(tmp_path, "publications", said), "publications")
     two = records.read_records(spark, files(tmp_path, "measurements", map(json.dumps, lines)), "measurements")
-    assert {r.vantage: r.cls for r in facts.recomputed(one, two).collect()} == {v: c for v, (_, _, c) in cases.items()} and before != ""
+    assert {r.vantage: r.cls for r in facts.recomputed(one, two).collect()} == {v: c for v, (_, _, c) in cases.items()}
 
 
 def test_a_stream_of_the_lines_ends_in_the_same_figures(spark, made, tmp_path):
