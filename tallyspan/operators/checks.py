@@ -25,13 +25,12 @@ def with_held(publications: DataFrame, uncertain: DataFrame, keep: list[str], wi
     """
     first, last = F.col("__b") * width, F.col("__b") * width + width - 1
     cut = uncertain.where("holds").select("from_height", "to_height", F.explode(F.sequence(F.floor(F.col("from_height") / width), F.floor(F.col("to_height") / width))).alias("__b"))
-    cut = cut.select("__b", F.struct(F.greatest("from_height", first).alias("lo"), F.least("to_height", last).alias("hi")).alias("r"))
-    ranges = cut.groupBy("__b").agg(F.collect_set("r").alias("__ranges"))
+    cut = cut.select("__b", F.greatest("from_height", first).alias("__from"), F.least("to_height", last).alias("__to")).distinct()
     lo, hi = F.col("promise_height") - 1, F.col("height")
-    spans = publications.select("promise_hash", *keep, lo.alias("__lo"), hi.alias("__hi"), F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))).alias("__b"))
-    meets = F.exists("__ranges", lambda r: (r["lo"] <= F.col("__hi")) & (r["hi"] >= F.col("__lo")))
-    joined = spans.join(ranges, "__b", "left")
-    return joined.groupBy("promise_hash").agg(*[F.max(c).alias(c) for c in keep], F.max(F.coalesce(meets, F.lit(False))).alias("held"))
+    spans = publications.select("promise_hash", *keep, lo.alias("__lo"), hi.alias("__hi"), F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))).alias("__c"))
+    meets = (F.col("__b") == F.col("__c")) & (F.col("__from") <= F.col("__hi")) & (F.col("__to") >= F.col("__lo"))
+    joined = spans.join(cut, meets, "left")
+    return joined.groupBy("promise_hash").agg(*[F.max(c).alias(c) for c in keep], F.max(F.col("__b").isNotNull()).alias("held"))
 
 
 def evidence() -> dict[str, Column]:
