@@ -14,7 +14,7 @@ from tallyspan.plans.catalog import QUERIES
 from tests.oracle import FOLDER
 
 REPO = Path(__file__).resolve().parents[1]
-PYTHON = {"row_assignment", "bech32_addresses", "resolved_addresses"}
+PYTHON = {"row_assignment", "bech32_addresses", "resolved_addresses", "resolved_forms"}
 
 
 def plan(spark, name):
