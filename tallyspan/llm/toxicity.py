@@ -1,9 +1,9 @@
 """Toxicity: gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows, those whose hashed ids come first, and never a held-out
-row (crc32 of the id as text, modulo 4, is 2). A lexicon of words and word beginnings is learned from one fold
-for the features of the other, so the trees see honest densities; scores of trees trained without a row calibrate
-that row's fold. Scoring then reads every whole text once, without a shuffle.
+row (crc32 of the id as text, modulo 4, is 2). A lexicon of words and word beginnings, at most ``LEXICON_ENTRIES`` of
+either, is learned from one fold for the features of the other, so the trees see honest densities; scores of trees
+trained without a row calibrate that row's fold. Scoring then reads every whole text once, without a shuffle.
 
 Inputs of a score are features of the text alone: lexicon densities and weights, closeness of lexicon words to
 second-person words, capitals, punctuation, obfuscated spellings, length.
@@ -32,7 +32,9 @@ from tallyspan.llm.shared import table
 #: Most labelled rows that training reads.
 TRAIN_ROWS = 6000
 THRESHOLD = 0.3
-REMEMBERED = 250_000
+#: Most words, and most word beginnings, that a lexicon holds: those of the largest weight.
+LEXICON_ENTRIES = 3000
+REMEMBERED = 120_000
 #: Words that a lexicon word may stand from a second-person word to count as close.
 CLOSE = 4
 
@@ -65,7 +67,7 @@ class Lexicon:
     starts: dict[str, float]
 
     @classmethod
-    def learn(cls, texts: list[str], labels: np.ndarray, most: int = 3000) -> Lexicon:
+    def learn(cls, texts: list[str], labels: np.ndarray, most: int = LEXICON_ENTRIES) -> Lexicon:
         counts: tuple[Counter, ...] = (Counter(), Counter(), Counter(), Counter())  # words and starts, all and toxic
         for text, toxic in zip(texts, labels, strict=True):
             seen = {b for w in set(text.split()) if (b := bare(w))}

@@ -74,3 +74,56 @@ def test_any_number_of_sources(spark, monkeypatch, wanted):
     monkeypatch.setattr(m, "MOST_SOURCES", 3)
     two = m.mix(documents, **wanted).select(*columns).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and len(one) >= documents.count()
+
+
+def plain_mix(spark, documents, repeats):
+    """(row number, round, place) of every row taken, by walking through the blocks of each source one by one."""
+    from collections import defaultdict
+
+    F = m.F
+    marked = documents.select(
+        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))).alias("at"), "doc_id",
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")).alias("n"),
+    ).collect()
+    blocks, totals = defaultdict(list), defaultdict(int)
+    for r in marked:
+        blocks[r.s, (r["at"] >> 20) % m.BLOCKS].append(r)
+        totals[r.s] += r.n
+    weights = m.tempered(totals, m.bisect(totals, repeats))
+    times = m.rounds(totals, weights)
+    draws = spark.createDataFrame([(s, b, k) for s, b in blocks for k in range(int(times[s]) + 1)], "s string, b int, k int")
+    drawn = {(r.s, r.b, r.k): r.d for r in draws.select("*", F.xxhash64("s", "b", "k").alias("d")).collect()}
+    taken = []
+    for s in totals:
+        budget = round((times[s] - int(times[s])) * totals[s])
+        for k in range(int(times[s]) + 1):
+            before = 0
+            for place, b in enumerate(sorted((b for t, b in blocks if t == s), key=lambda b: (drawn[s, b, k], b))):
+                rows = blocks[s, b]
+                size = sum(r.n for r in rows)
+                if k < int(times[s]) or (budget > 0 and before + size <= budget):
+                    taken += [(r.doc_id, r.s, k, place) for r in rows]
+                elif before < budget:
+                    spent = before
+                    for at in sorted({r["at"] for r in rows}):
+                        same = [r for r in rows if r["at"] == at]
+                        spent += sum(r.n for r in same)
+                        if spent > budget:
+                            break
+                        taken += [(r.doc_id, r.s, k, place) for r in same]
+                before += size
+    return taken
+
+
+@pytest.mark.parametrize("repeats", [1.5, 2.0])
+def test_rows_taken_equal_a_walk_through_all_blocks(spark, awkward, repeats):
+    for documents in (table(spark, SF, "documents").select("doc_id", "text", "source"), awkward.select("doc_id", "text", "source")):
+        found = [(r.doc_id, "" if r.source is None else "=" + r.source, r.mix_round, r.mix_place) for r in m.mix(documents, repeats=repeats).collect()]
+        assert sorted(found, key=str) == sorted(plain_mix(spark, documents, repeats), key=str)
+
+
+def test_awkward_rows_meet_a_wanted_entropy(spark, awkward):
+    out = m.mix(awkward, repeats=None, target_entropy=1.0).collect()
+    weights = {r.source: r.mix_weight for r in out}
+    assert -sum(w * math.log(w) for w in weights.values() if w) == pytest.approx(1.0, abs=1e-6)
+    assert {r.doc_id for r in out} == {r.doc_id for r in awkward.collect()}

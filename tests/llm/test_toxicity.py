@@ -32,6 +32,24 @@ def test_held_out_accuracy(spark):
     assert documents.count() == t.op3_toxicity(spark, SF).count()
 
 
+def test_held_out_rows_are_ranked_and_calibrated(spark):
+    """Ranking, recall and calibration on rows that no label was learned from; accuracy alone says little where few are toxic."""
+    sf = "/root/testdata/sf0.1"
+    rows = t.op3_toxicity(spark, sf).where("held_out").join(table(spark, sf, "labels"), "doc_id").select("score", "predicted", "toxic").collect()
+    score, toxic = np.asarray([r.score for r in rows]), np.asarray([r.toxic for r in rows])
+    order = np.argsort(score, kind="stable")
+    _, place, many = np.unique(score[order], return_inverse=True, return_counts=True)
+    ranks = np.empty(len(score))
+    ranks[order] = (np.cumsum(many) - (many - 1) / 2)[place]
+    auc = (ranks[toxic == 1].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (1 - toxic).sum())
+    found = np.asarray([r.predicted for r in rows])
+    assert toxic.sum() > 100 and auc > 0.98 and found[toxic == 1].mean() > 0.9 and found[toxic == 0].mean() < 0.05
+    assert ((score - toxic) ** 2).mean() < 0.03
+    for low, high in ((0.0, 0.05), (0.9, 1.01)):  # where most scores are, they say how many are toxic
+        part = (score >= low) & (score < high)
+        assert abs(score[part].mean() - toxic[part].mean()) < 0.05
+
+
 def test_held_out_labels_change_nothing(spark):
     documents, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     flipped = labels.withColumn("toxic", t.F.when(t.held_out(t.F.col("doc_id")), 1 - t.F.col("toxic")).otherwise(t.F.col("toxic")))
