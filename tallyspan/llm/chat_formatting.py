@@ -4,9 +4,11 @@ States are the role of the last rendered turn (or the start). A turn may be appe
 before, or preceded by one inserted empty turn; costs add up, and dynamic programming finds the cheapest way
 from the start to an accepting state, ties to the option listed first.
 
-A conversation is cut into segments of ``SEGMENT`` turn numbers. Every segment first gives its table of costs between
+A conversation is cut into segments of ``SEGMENT`` turn numbers; one that holds far more rows than numbers is cut further, by
+turn, then by role and hash of the text, and equal rows, whose order means nothing, by a salt (``spread``). Every segment first gives its table of costs between
 entry and exit states, (min, +) products of these tables fix the states at the cuts, and then each segment is
-repaired and rendered by itself. So the longest conversation is neither sorted nor held in one task.
+repaired and rendered by itself. So the longest conversation is neither sorted nor held in one task, nor are
+the turns that share a number or have none.
 
 Defined results: a null or unknown role must be relabelled; a null text is empty; a null turn number comes first;
 rows that share a turn number stand in order of role and text, repeated rows too; a null conversation id is a
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -164,25 +166,61 @@ def emitted(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Itera
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _met(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+    """A join on equal values, null with null."""
+    renamed = right.withColumnsRenamed({n: f"__{n}" for n in names})
+    met = F.lit(True)
+    for n in names:
+        met &= F.col(n).eqNullSafe(F.col(f"__{n}"))
+    return left.join(renamed, met, how).drop(*[f"__{n}" for n in names])
+
+
+def spread(source: DataFrame, size: int) -> DataFrame:
+    """Turns (conv_id, turn, role, text, mark) with ``segment``: numbers that put a conversation's segments in order.
+
+    The first is the stretch of turn numbers. Where a stretch holds more than ``4 * size`` rows, turns are dealt to parts by
+    the rows before them; a turn of more than ``size`` rows is dealt by role and leading bits of the text's hash, such a part
+    by the whole hash, and rows of one hash by a salt. All of it is worked out on counts of equal rows of such stretches.
+    """
+    source = source.withColumn("base", F.coalesce(F.floor(F.col("turn") / size), F.lit(-1)).cast("long"))
+    stretch, turn, part = ["conv_id", "base"], ["conv_id", "base", "turn"], ["conv_id", "base", "turn", "role", "bits"]
+    count, total = F.count(F.lit(1)).alias("n"), F.sum("n").alias("m")
+
+    def before(by: list[str], *order: str) -> Column:
+        """Parts of ``size`` rows, by the rows that come before."""
+        window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = F.sum("n" if order == ("mark",) else "m").over(window)
+        return F.floor(F.coalesce(rows, F.lit(0)) / size)
+
+    hot = source.groupBy(*stretch).agg(count).where(F.col("n") > 4 * size).select(*stretch)
+    equal = _met(source.drop("text"), hot, stretch, "left_semi").groupBy(*turn, "role", "mark").agg(count).withColumn("bits", F.shiftright("mark", 48))
+    turns = equal.groupBy(*turn).agg(total).select(*turn, before(stretch, "turn").alias("p1"), (F.col("m") > size).alias("h1"))
+    of_turn = _met(equal, turns, turn, "inner")
+    parts = of_turn.where("h1").groupBy(*part).agg(total).select(*part, (1 + before(turn, "role", "bits")).alias("p2"), (F.col("m") > size).alias("h2"))
+    of_part = _met(of_turn, parts, part, "left").withColumns({"p2": F.coalesce("p2", F.lit(0)), "h2": F.coalesce("h2", F.lit(False))})
+    full = of_part.where("h2").withColumn("p3", 1 + before(part, "mark")).withColumn("copies", F.ceil(F.col("n") / size))
+    plan = of_part.where("not h2").withColumns({"p3": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")}).unionByName(full)
+    joined = _met(source.withColumn("salt", F.monotonically_increasing_id()), plan.select(*turn, "role", "mark", "p1", "p2", "p3", "copies"), [*turn, "role", "mark"], "left")
+    sub = F.when(F.col("copies") > 1, 1 + F.pmod("salt", "copies"))
+    return joined.select("conv_id", F.array("base", *[F.coalesce(p, F.lit(0)).cast("long") for p in ("p1", "p2", "p3")], F.coalesce(sub, F.lit(0))).alias("segment"), "turn", "role", "text", "mark")
+
+
 def format_chats(turns: DataFrame, automaton: Automaton = Automaton(), segment: int = SEGMENT, begin: str = "<|{role}|>\n", end: str = "<|end|>\n", joint: str = "\n") -> DataFrame:
     """One row per piece of the rendering, in order of (conv_id, segment, piece).
 
-    Columns: conv_id, segment, piece, turn (of the input; null for an inserted turn), role (null or as given before),
+    Columns: conv_id, segment (from 0), piece, turn (of the input; null for an inserted turn), role (null or as given before),
     new_role, action (keep, relabel, merge, relabel+merge, insert) and rendered. The pieces of a conversation put
     together are its rendered text.
     """
-    source = turns.select(
-        F.col("conv_id"),
-        F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("long").alias("segment"),
-        F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    source = source.withColumn("mark", F.xxhash64("text"))
+    source = turns.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # the salt of equal rows is fixed from here on
+    source = written(spread(source.withColumn("mark", F.xxhash64("text")), segment), "turns")
     order = ["conv_id", "segment", "turn", "role", "mark"]
     kind = source.schema["conv_id"].dataType
     name, of_id = kind.simpleString(), to_arrow_type(kind)
     size = len(automaton.roles) + 1
-    costs_schema = pa.schema([("conv_id", of_id), ("segment", pa.int64()), ("costs", pa.list_(pa.int64()))])
-    cuts_schema = pa.schema([("c", of_id), ("s", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32()), ("last", pa.bool_())])
+    costs_schema = pa.schema([("conv_id", of_id), ("segment", pa.list_(pa.int64())), ("costs", pa.list_(pa.int64()))])
+    cuts_schema = pa.schema([("c", of_id), ("s", pa.list_(pa.int64())), ("number", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32()), ("last", pa.bool_())])
     out_schema = pa.schema([("conv_id", of_id), ("segment", pa.int64()), ("piece", pa.int32()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("rendered", pa.string())])
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +240,7 @@ def format_chats(turns: DataFrame, automaton: Automaton = Automaton(), segment:
             found = []
             for k in range(len(rows) - 1, -1, -1):
                 entry = back[k][state]
-                found.append((rows[k][0], rows[k][1], entry, state, k == len(rows) - 1))
+                found.append((rows[k][0], rows[k][1], k, entry, state, k == len(rows) - 1))
                 state = entry
             return found
 
@@ -232,12 +270,12 @@ def format_chats(turns: DataFrame, automaton: Automaton = Automaton(), segment:
         return emitted((row for key, rows in groups(batches, 2) for row in of(key, rows)), out_schema)
 
     roles = source.drop("text").repartition("conv_id", "segment").sortWithinPartitions(*order)
-    costs = roles.select("conv_id", "segment", "turn", "role", "mark").mapInArrow(tables, f"conv_id {name}, segment long, costs array<long>")
+    costs = roles.select("conv_id", "segment", "turn", "role", "mark").mapInArrow(tables, f"conv_id {name}, segment array<long>, costs array<long>")
     met = costs.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
-    fixed = written(met.mapInArrow(cuts, f"c {name}, s long, entry int, exit int, last boolean"), "cuts")
+    fixed = written(met.mapInArrow(cuts, f"c {name}, s array<long>, number long, entry int, exit int, last boolean"), "cuts")
     joined = source.join(fixed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s")))
     joined = joined.repartition("conv_id", "segment").sortWithinPartitions(*order)
-    pieces = joined.select("conv_id", "segment", "turn", "role", "text", "entry", "exit", "last")
+    pieces = joined.select("conv_id", F.col("number").alias("segment"), "turn", "role", "text", "entry", "exit", "last")
     return pieces.mapInArrow(render, f"conv_id {name}, segment long, piece int, turn long, role string, new_role string, action string, rendered string")
 
 

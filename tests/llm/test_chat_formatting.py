@@ -96,3 +96,23 @@ def test_ids_of_other_types(spark):
     frame = spark.createDataFrame([("a", 0, "user", "Hi"), ("a", 1, "assistant", "Yes"), ("7", 0, "tool", "x"), (None, 0, "user", "y")], "conv_id string, turn long, role string, text string")
     found = by_conversation(c.format_chats(frame))
     assert set(found) == {"a", "7", None} and "".join(r.rendered for r in found["a"]).count("<|end|>") == 2
+
+
+def test_hot_turns_are_spread_and_lose_nothing(spark):
+    """Many rows of one turn number, without a number and without a conversation, equal ones among them: the same cost as in one piece."""
+    draw = random.Random(3)
+    rows = [(1, 5, draw.choice(("user", "assistant", None)), f"t{k}") for k in range(150)] + [(1, None, "user", "same")] * 90 + [(None, None, draw.choice(("user", "system")), draw.choice(("x", f"y{k}"))) for k in range(120)]
+    rows += [(2, k, draw.choice(("user", "assistant")), f"u{k}") for k in range(40)] + [(1, k, "assistant", f"v{k}") for k in range(12)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    marked = c.spread(frame.withColumn("mark", c.F.xxhash64("text")), 8)
+    sizes = [r["count"] for r in marked.groupBy("conv_id", "segment").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 30
+    one, two = (by_conversation(c.format_chats(frame, segment=s)) for s in (8, 4096))
+    for conv in (1, 2, None):
+        assert paid(one[conv]) == paid(two[conv])
+        text = lambda pieces: [(r.turn, r.role, r.rendered.strip("\n")) for r in pieces if r.action != "insert"]
+        assert len(text(one[conv])) == len(text(two[conv])) == sum(r[0] == conv for r in rows)
+        assert [x[:2] for x in text(one[conv])] == [x[:2] for x in text(two[conv])]
+        roles = [r.new_role for r in one[conv] if "merge" not in r.action]
+        assert all(pair in A.follows for pair in zip(["", *roles], roles, strict=False)) and roles[-1] == "assistant"
+        assert [r.segment for r in one[conv]] == sorted(r.segment for r in one[conv])
