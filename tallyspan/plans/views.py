@@ -22,9 +22,11 @@ EPOCH = 788_918_400_000_000  # 1995-01-01
 
 # Outcomes of a check, in the record format's spelling.
 OUTCOMES = (
-    "SERVED_OK NOT_FOUND WRONG_ROWS INVALID_ROWS PARTIAL DNS_FAIL TCP_REFUSED TCP_TIMEOUT TCP_UNREACHABLE TLS_HANDSHAKE_FAIL IDENTITY_FAIL RPC_UNAVAILABLE "
-    "SERVER_ERROR RPC_THROTTLED RPC_DEADLINE RPC_TIMEOUT MALFORMED_SHARD NO_REGISTERED_HOST UNROUTABLE_HOST RPC_ERROR PROBE_ERROR MISSED REACHABLE"
-).split()
+    "SERVED_OK", "NOT_FOUND", "WRONG_ROWS", "INVALID_ROWS", "PARTIAL", "DNS_FAIL", "TCP_REFUSED", "TCP_TIMEOUT",
+    "TCP_UNREACHABLE", "TLS_HANDSHAKE_FAIL", "IDENTITY_FAIL", "RPC_UNAVAILABLE", "SERVER_ERROR", "RPC_THROTTLED",
+    "RPC_DEADLINE", "RPC_TIMEOUT", "MALFORMED_SHARD", "NO_REGISTERED_HOST", "UNROUTABLE_HOST", "RPC_ERROR",
+    "PROBE_ERROR", "MISSED", "REACHABLE",
+)
 
 _outcome = "CASE (l_partkey + l_linenumber) % 29 " + " ".join(f"WHEN {k} THEN '{o}'" for k, o in enumerate(OUTCOMES)) + " ELSE 'SERVED_OK' END"
 

@@ -19,36 +19,326 @@ from pyspark.sql import functions as F
 #: Longest line that is read (64 MiB).
 LONGEST = 64 * 1024 * 1024
 
-_STEP = "STRUCT<attempted: BOOLEAN, ok: BOOLEAN, duration_ms: BIGINT, detail: STRING, error: STRING>"
-_PARAMS = (
-    "STRUCT<withdrawal_delay: STRING, payment_promise_timeout: STRING, payment_promise_height_window: BIGINT, shard_retention: STRING, full_stake_storage_budget: BIGINT, "
-    "withdrawal_delay_seconds: BIGINT, payment_promise_timeout_seconds: BIGINT, shard_retention_seconds: BIGINT, effective_from_height: BIGINT, effective_from_tx_index: INT, source: STRING>"
-)
-_MESSAGE = "STRUCT<index: INT, type_url: STRING, signer: STRING, detail: STRUCT<publisher: STRING, promise_hash: STRING, namespace: STRING, blob_size: BIGINT, amount: STRING, host: STRING, validator: STRING>, cut: BOOLEAN>"
+_STEP = """STRUCT<
+    attempted: BOOLEAN,
+    ok: BOOLEAN,
+    duration_ms: BIGINT,
+    detail: STRING,
+    error: STRING
+>"""
+_PARAMS = """STRUCT<
+    withdrawal_delay: STRING,
+    payment_promise_timeout: STRING,
+    payment_promise_height_window: BIGINT,
+    shard_retention: STRING,
+    full_stake_storage_budget: BIGINT,
+    withdrawal_delay_seconds: BIGINT,
+    payment_promise_timeout_seconds: BIGINT,
+    shard_retention_seconds: BIGINT,
+    effective_from_height: BIGINT,
+    effective_from_tx_index: INT,
+    source: STRING
+>"""
+_MESSAGE = """STRUCT<
+    index: INT,
+    type_url: STRING,
+    signer: STRING,
+    detail: STRUCT<
+        publisher: STRING,
+        promise_hash: STRING,
+        namespace: STRING,
+        blob_size: BIGINT,
+        amount: STRING,
+        host: STRING,
+        validator: STRING
+    >,
+    cut: BOOLEAN
+>"""
 
 # The fields of the record formats.
 SCHEMAS = {
-    "publications": f"schema_version INT, promise_hash STRING, settlement_height BIGINT, settlement_time STRING, settlement_tx_hash STRING, settlement_tx_index INT, settlement_tx_code BIGINT, signer STRING, validator_signature_count INT, "
-    "promise STRUCT<chain_id: STRING, height: BIGINT, namespace: STRING, namespace_version: SMALLINT, namespace_id: STRING, blob_size: BIGINT, blob_version: BIGINT, commitment: STRING, creation_timestamp: STRING, signer_public_key: STRING, signature: STRING>, "
-    f"params_at_publication {_PARAMS}, must_serve_until STRING, must_serve_until_basis STRING, must_serve_until_ambiguous BOOLEAN, "
-    "assignment STRUCT<error: STRING, protocol_params: STRUCT<original_rows: INT, total_rows: INT>, total_voting_power: BIGINT, validator_set_height: BIGINT, sigma: INT, distinct: INT, validators: ARRAY<STRUCT<address: STRING, voting_power: BIGINT, row_count: INT, rows: ARRAY<INT>, attested: BOOLEAN, host_at_settlement: STRING>>>, recorded_at STRING",
-    "measurements": "schema_version INT, vantage STRING, promise_hash STRING, commitment STRING, must_serve_until STRING, validator_address STRING, validator_host STRING, assigned BOOLEAN, attested BOOLEAN, attestation_unknown BOOLEAN, assigned_row_count INT, "
-    f"schedule_label STRING, scheduled_at STRING, started_at STRING, finished_at STRING, lateness_ms BIGINT, attempt INT, next_attempt_due STRING, shared_from STRING, dns {_STEP}, tcp {_STEP}, "
-    "tls STRUCT<attempted: BOOLEAN, ok: BOOLEAN, duration_ms: BIGINT, version: STRING, cipher_suite: STRING, peer_cert_sha256: STRING, error: STRING>, identity STRUCT<attempted: BOOLEAN, ok: BOOLEAN, duration_ms: BIGINT, reason: STRING, stale: BOOLEAN, error: STRING>, "
-    "download STRUCT<attempted: BOOLEAN, ok: BOOLEAN, duration_ms: BIGINT, rows_returned: INT, rows_expected: INT, row_indices: ARRAY<BIGINT>, rows_sha256: STRING, bytes_returned: BIGINT, commitment_verified: BOOLEAN, assignment_verified: BOOLEAN, rows_subset_of_assignment: BOOLEAN, shadowed_by: STRING, shadow_gap: STRING, error: STRING>, clock_offset_ms BIGINT, observer STRUCT<pin_stale: BOOLEAN>, "
-    "phase STRING, outcome STRING, classification STRING, classification_reason STRING, raw_error STRING, total_duration_ms BIGINT",
-    "payments": "schema_version INT, dedupe_key STRING, kind STRING, height BIGINT, time STRING, tx_hash STRING, tx_index INT, msg_index INT, publisher STRING, processor STRING, promise_hash STRING, namespace STRING, blob_size BIGINT, gas_units BIGINT, denom STRING, amount_utia DECIMAL(20,0), available_at STRING, recorded_at STRING",
-    "host_history": "from_height BIGINT, from_tx_index INT, cons_address STRING, host STRING, source STRING, time STRING",
-    "registry": "kind STRING, validator_cons_address STRING, host STRING, height BIGINT, at STRING, reason STRING",
-    "runs": "kind STRING, component STRING, vantage STRING, version STRING, pid INT, hostname STRING, at STRING, config MAP<STRING, STRING>, reason STRING",
-    "sampling_decisions": "schema_version INT, kind STRING, vantage STRING, promise_hash STRING, commitment STRING, settlement_time STRING, must_serve_until STRING, decided_at STRING, reason STRING, points ARRAY<STRUCT<schedule_label: STRING, scheduled_at: STRING, phase: STRING>>, validators INT",
-    "sampling-secrets": "day DATE, commitment STRING, secret STRING, revealed_at STRING",
-    "amendments": "dedupe_key STRING, promise_hash STRING, validator_address STRING, scheduled_at STRING, from STRING, to STRING, reason STRING, shadowed_by STRING, judged_at STRING, scanner_frontier STRING, prune_tolerance_s BIGINT",
-    "corrections": "schema_version INT, kind STRING, uncertainty_id STRING, promise_hash STRING, from_must_serve_until STRING, to_must_serve_until STRING, vantage STRING, dedupe_key STRING, validator_address STRING, scheduled_at STRING, from_classification STRING, to_classification STRING, reason STRING, judged_at STRING",
-    "param_uncertainty": f"schema_version INT, id STRING, chain_id STRING, kind STRING, from_height BIGINT, to_height BIGINT, effective_from_height BIGINT, interval_start_known BOOLEAN, before {_PARAMS}, after {_PARAMS}, detected_at STRING, to_time STRING, resolution STRING, resolved_at STRING",
-    "failed_txs": f"schema_version INT, dedupe_key STRING, height BIGINT, time STRING, app_version BIGINT, tx_hash STRING, tx_index INT, code BIGINT, codespace STRING, log STRING, log_cut BOOLEAN, gas_wanted BIGINT, gas_used BIGINT, ante_passed BOOLEAN, fee STRING, messages ARRAY<{_MESSAGE}>, recorded_at STRING",
-    "tx_costs": f"schema_version INT, dedupe_key STRING, height BIGINT, tx_index INT, time STRING, tx_hash STRING, gas_wanted BIGINT, gas_used BIGINT, fee STRING, fee_payer STRING, messages ARRAY<{_MESSAGE}>, recorded_at STRING",
-    "state": f"schema_version INT, chain_id STRING, start_height BIGINT, last_scanned_height BIGINT, last_scanned_time STRING, param_history ARRAY<STRUCT<from_height: BIGINT, from_tx_index: INT, source: STRING, params: {_PARAMS}>>, gaps ARRAY<STRUCT<from: BIGINT, to: BIGINT, reason: STRING, at: STRING, host_events_read: BOOLEAN>>",
+    "publications": f"""
+        schema_version INT,
+        promise_hash STRING,
+        settlement_height BIGINT,
+        settlement_time STRING,
+        settlement_tx_hash STRING,
+        settlement_tx_index INT,
+        settlement_tx_code BIGINT,
+        signer STRING,
+        validator_signature_count INT,
+        promise STRUCT<
+            chain_id: STRING,
+            height: BIGINT,
+            namespace: STRING,
+            namespace_version: SMALLINT,
+            namespace_id: STRING,
+            blob_size: BIGINT,
+            blob_version: BIGINT,
+            commitment: STRING,
+            creation_timestamp: STRING,
+            signer_public_key: STRING,
+            signature: STRING
+        >,
+        params_at_publication {_PARAMS},
+        must_serve_until STRING,
+        must_serve_until_basis STRING,
+        must_serve_until_ambiguous BOOLEAN,
+        assignment STRUCT<
+            error: STRING,
+            protocol_params: STRUCT<
+                original_rows: INT,
+                total_rows: INT
+            >,
+            total_voting_power: BIGINT,
+            validator_set_height: BIGINT,
+            sigma: INT,
+            distinct: INT,
+            validators: ARRAY<STRUCT<
+                address: STRING,
+                voting_power: BIGINT,
+                row_count: INT,
+                rows: ARRAY<INT>,
+                attested: BOOLEAN,
+                host_at_settlement: STRING
+            >>
+        >,
+        recorded_at STRING
+    """,
+    "measurements": f"""
+        schema_version INT,
+        vantage STRING,
+        promise_hash STRING,
+        commitment STRING,
+        must_serve_until STRING,
+        validator_address STRING,
+        validator_host STRING,
+        assigned BOOLEAN,
+        attested BOOLEAN,
+        attestation_unknown BOOLEAN,
+        assigned_row_count INT,
+        schedule_label STRING,
+        scheduled_at STRING,
+        started_at STRING,
+        finished_at STRING,
+        lateness_ms BIGINT,
+        attempt INT,
+        next_attempt_due STRING,
+        shared_from STRING,
+        dns {_STEP},
+        tcp {_STEP},
+        tls STRUCT<
+            attempted: BOOLEAN,
+            ok: BOOLEAN,
+            duration_ms: BIGINT,
+            version: STRING,
+            cipher_suite: STRING,
+            peer_cert_sha256: STRING,
+            error: STRING
+        >,
+        identity STRUCT<
+            attempted: BOOLEAN,
+            ok: BOOLEAN,
+            duration_ms: BIGINT,
+            reason: STRING,
+            stale: BOOLEAN,
+            error: STRING
+        >,
+        download STRUCT<
+            attempted: BOOLEAN,
+            ok: BOOLEAN,
+            duration_ms: BIGINT,
+            rows_returned: INT,
+            rows_expected: INT,
+            row_indices: ARRAY<BIGINT>,
+            rows_sha256: STRING,
+            bytes_returned: BIGINT,
+            commitment_verified: BOOLEAN,
+            assignment_verified: BOOLEAN,
+            rows_subset_of_assignment: BOOLEAN,
+            shadowed_by: STRING,
+            shadow_gap: STRING,
+            error: STRING
+        >,
+        clock_offset_ms BIGINT,
+        observer STRUCT<
+            pin_stale: BOOLEAN
+        >,
+        phase STRING,
+        outcome STRING,
+        classification STRING,
+        classification_reason STRING,
+        raw_error STRING,
+        total_duration_ms BIGINT
+    """,
+    "payments": """
+        schema_version INT,
+        dedupe_key STRING,
+        kind STRING,
+        height BIGINT,
+        time STRING,
+        tx_hash STRING,
+        tx_index INT,
+        msg_index INT,
+        publisher STRING,
+        processor STRING,
+        promise_hash STRING,
+        namespace STRING,
+        blob_size BIGINT,
+        gas_units BIGINT,
+        denom STRING,
+        amount_utia DECIMAL(20,0),
+        available_at STRING,
+        recorded_at STRING
+    """,
+    "host_history": """
+        from_height BIGINT,
+        from_tx_index INT,
+        cons_address STRING,
+        host STRING,
+        source STRING,
+        time STRING
+    """,
+    "registry": """
+        kind STRING,
+        validator_cons_address STRING,
+        host STRING,
+        height BIGINT,
+        at STRING,
+        reason STRING
+    """,
+    "runs": """
+        kind STRING,
+        component STRING,
+        vantage STRING,
+        version STRING,
+        pid INT,
+        hostname STRING,
+        at STRING,
+        config MAP<STRING, STRING>,
+        reason STRING
+    """,
+    "sampling_decisions": """
+        schema_version INT,
+        kind STRING,
+        vantage STRING,
+        promise_hash STRING,
+        commitment STRING,
+        settlement_time STRING,
+        must_serve_until STRING,
+        decided_at STRING,
+        reason STRING,
+        points ARRAY<STRUCT<
+            schedule_label: STRING,
+            scheduled_at: STRING,
+            phase: STRING
+        >>,
+        validators INT
+    """,
+    "sampling-secrets": """
+        day DATE,
+        commitment STRING,
+        secret STRING,
+        revealed_at STRING
+    """,
+    "amendments": """
+        dedupe_key STRING,
+        promise_hash STRING,
+        validator_address STRING,
+        scheduled_at STRING,
+        from STRING,
+        to STRING,
+        reason STRING,
+        shadowed_by STRING,
+        judged_at STRING,
+        scanner_frontier STRING,
+        prune_tolerance_s BIGINT
+    """,
+    "corrections": """
+        schema_version INT,
+        kind STRING,
+        uncertainty_id STRING,
+        promise_hash STRING,
+        from_must_serve_until STRING,
+        to_must_serve_until STRING,
+        vantage STRING,
+        dedupe_key STRING,
+        validator_address STRING,
+        scheduled_at STRING,
+        from_classification STRING,
+        to_classification STRING,
+        reason STRING,
+        judged_at STRING
+    """,
+    "param_uncertainty": f"""
+        schema_version INT,
+        id STRING,
+        chain_id STRING,
+        kind STRING,
+        from_height BIGINT,
+        to_height BIGINT,
+        effective_from_height BIGINT,
+        interval_start_known BOOLEAN,
+        before {_PARAMS},
+        after {_PARAMS},
+        detected_at STRING,
+        to_time STRING,
+        resolution STRING,
+        resolved_at STRING
+    """,
+    "failed_txs": f"""
+        schema_version INT,
+        dedupe_key STRING,
+        height BIGINT,
+        time STRING,
+        app_version BIGINT,
+        tx_hash STRING,
+        tx_index INT,
+        code BIGINT,
+        codespace STRING,
+        log STRING,
+        log_cut BOOLEAN,
+        gas_wanted BIGINT,
+        gas_used BIGINT,
+        ante_passed BOOLEAN,
+        fee STRING,
+        messages ARRAY<{_MESSAGE}>,
+        recorded_at STRING
+    """,
+    "tx_costs": f"""
+        schema_version INT,
+        dedupe_key STRING,
+        height BIGINT,
+        tx_index INT,
+        time STRING,
+        tx_hash STRING,
+        gas_wanted BIGINT,
+        gas_used BIGINT,
+        fee STRING,
+        fee_payer STRING,
+        messages ARRAY<{_MESSAGE}>,
+        recorded_at STRING
+    """,
+    "state": f"""
+        schema_version INT,
+        chain_id STRING,
+        start_height BIGINT,
+        last_scanned_height BIGINT,
+        last_scanned_time STRING,
+        param_history ARRAY<STRUCT<
+            from_height: BIGINT,
+            from_tx_index: INT,
+            source: STRING,
+            params: {_PARAMS}
+        >>,
+        gaps ARRAY<STRUCT<
+            from: BIGINT,
+            to: BIGINT,
+            reason: STRING,
+            at: STRING,
+            host_events_read: BOOLEAN
+        >>
+    """,
 }
 SCHEMAS["reachability"] = SCHEMAS["measurements"]
 

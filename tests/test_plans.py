@@ -11,6 +11,7 @@ from pathlib import Path
 import pytest
 
 from tallyspan.plans.catalog import QUERIES
+from tallyspan.plans.views import Views
 from tests.oracle import FOLDER
 
 REPO = Path(__file__).resolve().parents[1]
@@ -35,7 +36,36 @@ def test_columns_are_pruned(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    assert "IsNotNull(o_orderkey)" in plan(spark, "settlement_join") or "PushedFilters" in plan(spark, "settlement_join")
+    """A bound on a key of a view is a bound on the column that it comes from."""
+    rows = Views(spark, FOLDER).publications.where("promise_hash between 5 and 9").select("promise_hash", "blob_size")
+    text = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "GreaterThanOrEqual(o_orderkey,5), LessThanOrEqual(o_orderkey,9)" in text
+    assert re.findall(r"ReadSchema: struct<([^>]*)>", text) == ["o_orderkey:bigint,o_totalprice:double"]
+
+
+#: Headline queries: scans of the checks' table, and exchanges at most.
+SHAPES = {
+    "effective_class_tally": (1, 5), "rollup_classes": (1, 5), "obligations_by_validator": (1, 6), "obligations_network": (1, 6), "attestation": (1, 2), "service_time_quantiles": (1, 6),
+    "counted_class": (1, 4), "load": (1, 4), "newest_endorsements": (2, 6),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SHAPES))
+def test_headline_queries_read_once_and_shuffle_little(spark, name):
+    text = plan(spark, name)
+    scans, exchanges = SHAPES[name]
+    assert len(re.findall(r"Location: .*lineitem\.parquet", text)) <= scans
+    assert len(re.findall(r"^\(\d+\) Exchange$", text, re.MULTILINE)) <= exchanges
+
+
+def test_building_plans_runs_no_job(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("a job while a plan is built")
+
+    for action in ("collect", "first", "head", "take", "count", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(spark.range(1)), action, refuse)
+    for name in sorted(QUERIES):
+        QUERIES[name](spark, FOLDER)
 
 
 def test_the_rest_stands_without_the_training_data_operators(tmp_path):

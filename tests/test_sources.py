@@ -78,6 +78,15 @@ def test_insert_is_idempotent(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b")]
 
 
+def test_inserts_read_the_days_of_the_batch_only(spark, tmp_path):
+    path = str(tmp_path / "d")
+    rows = spark.createDataFrame([(k, k // 10) for k in range(100)], "k long, day long")
+    assert sinks.insert_absent(rows, path, ["k"], ["day"]) == 100
+    again = spark.createDataFrame([(5, 0), (105, 0), (95, 9)], "k long, day long")
+    assert sinks.insert_absent(again, path, ["k"], ["day"]) == 1 and sinks.insert_absent(again, path, ["k"], ["day"]) == 0
+    assert spark.read.parquet(path).count() == 101
+
+
 def test_states(spark):
     log = spark.createDataFrame([("a", 1, False, "x"), ("a", 2, True, "y"), ("a", 3, False, "z"), ("b", 1, False, "p"), ("b", 2, False, "q")], "k string, n int, done boolean, v string")
     assert {r.k: r.v for r in sinks.latest_state(log, ["k"], [F.desc("n")]).collect()} == {"a": "z", "b": "q"}
