@@ -31,7 +31,7 @@ from tallyspan.llm.shared import table, written
 WINDOW = 2048
 SEPARATOR = 0
 #: Distinct spellings in a generation of a Python worker's memory; it holds two, and a full one replaces the older.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Pieces that one ranking group holds on average.
 GROUP_ROWS = 2_000
 
@@ -73,7 +73,8 @@ class Spellings(dict):
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         # tokens that are looked for in the text before anything else is done to it
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(added)) if added else None
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.older: dict[str, bytes] = {}
@@ -86,7 +87,7 @@ class Spellings(dict):
         return struct.pack(f"<{len(t := self.model.tokenize(spelled))}I", *[x.id for x in t])
 
     def spelled(self, word: str) -> bytes:
-        if any(token in word for token in self.added):
+        if self.added and self.added.search(word):
             return self.whole(word)
         if word.isascii() and word.isalpha() and word.islower():
             return self.part(word)

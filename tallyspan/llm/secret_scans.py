@@ -48,7 +48,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-LONG = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
+#: Runs that may hold a hexadecimal one; looked for at their beginnings only.
+LONG = re.compile(r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=\-]{16,}")
 
 GAP = re.compile(r"\s")
 TOKEN = re.compile(r"[\w+/.\-]+={0,2}|[^\s\w+/.\-]")
@@ -124,6 +125,9 @@ class Alone:
 
 def named_by(t: str) -> bool:
     """Whether a token is a name that secrets are given under, or a longer word with one in it."""
+    low = t.lower()
+    if not ("pass" in low or "pwd" in low or "secret" in low or "token" in low or "key" in low or "credential" in low or "bearer" in low or "pin" in low or "login" in low):
+        return False  # none of the names is in it
     found = NAMES.search(t)
     return bool(found and (len(t) < 28 or NAMES.fullmatch(t.strip("=._-")))) or bool(SHORT_NAMES.fullmatch(t))
 
@@ -308,12 +312,15 @@ class Scorer(dict):
         self.clear()
         self.chars = 0
         self.kinds: dict[Alone, int] = {}  # spellings of which the same is known share a row
+        self.places: dict[int, int] = {}  # rows of what ``word_alone`` keeps for good
         self.own, self.before, self.after = (np.zeros((1024, 3)) for _ in range(3))
         self.flags = np.zeros(1024, np.int64)
 
     def __missing__(self, token: str) -> int:
         t = alone(token)
-        k = self.kinds.get(t)
+        k = self.places.get(id(t))  # short words of one kind are one object
+        if k is None:
+            k = self.kinds.get(t)
         if k is None:
             k = self.kinds[t] = len(self.kinds)
             if k == len(self.flags):
@@ -322,6 +329,8 @@ class Scorer(dict):
                     setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
             self.own[k] = self.field.weight(t.features)
             self.before[k], self.after[k] = self.field.weight([f"prev:{t.before}"]), self.field.weight([f"next:{t.after}"])
+            if len(token) < 12 and token.isalpha():
+                self.places[id(t)] = k
             self.flags[k] = sum(v << j for j, v in enumerate((t.name, t.mixed, t.value, t.assigns, t.leads, t.at, t.colon, t.slashes)))
         self[token] = k
         self.chars += len(token)
