@@ -6,12 +6,17 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tallyspan.functions.streams import shuffled
 
+#: Numbers that a Python worker draws or returns at once, but for a single larger permutation.
+CELLS = 1 << 20
+
 
 @dataclass(frozen=True)
 class Params:
@@ -42,25 +47,56 @@ def seed_of(value: int) -> bytes:
     return hashlib.sha256(str(value).encode()).digest()
 
 
-def permutations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(commitment, total_rows) to (commitment, total_rows, rows): the permutation that the commitment seeds."""
+def permutations(keys: set[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
+    """The permutation that each (commitment, total_rows) seeds; keys of like sizes are drawn together, in bounded memory."""
+    ordered, found, at = sorted(keys, key=lambda k: k[1]), {}, 0
+    while at < len(ordered):
+        end = at + 1
+        while end < len(ordered) and end - at < 512 and (end + 1 - at) * ordered[end][1] <= CELLS:
+            end += 1
+        part = ordered[at:end]
+        drawn = shuffled([seed_of(commitment) for commitment, _ in part], [total for _, total in part])
+        found.update(zip(part, (np.asarray(p, np.int32) for p in drawn), strict=True))
+        at = end
+    return found
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(commitment, total_rows, row_count, offset, ...) with the assigned ``rows``: a slice of the permutation from the offset on,
+    wrapping round. Batches are cut so that their permutations and slices have about ``CELLS`` numbers.
+    """
+    known: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        keys, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(keys), 512):
-            found = shuffled([seed_of(k) for k in keys[at : at + 512]], sizes[at : at + 512])
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512], batch.column(1)[at : at + 512], pa.array(found, pa.list_(pa.int32()))], names=["commitment", "total_rows", "rows"])
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        counts = [max(n or 0, 0) if key[1] > 0 else 0 for n, key in zip(batch.column(2).to_pylist(), keys, strict=True)]
+        offsets = batch.column(3).to_pylist()
+        at = 0
+        while at < len(keys):
+            end, cells = at, 0
+            while end < len(keys) and (end == at or cells + counts[end] + keys[end][1] <= CELLS):
+                cells += counts[end] + keys[end][1]
+                end += 1
+            wanted = {key for key, n in zip(keys[at:end], counts[at:end], strict=True) if n}
+            known = {key: known[key] for key in wanted & known.keys()} | permutations(wanted - known.keys())
+            parts = [known[keys[k]][(offsets[k] + np.arange(counts[k])) % keys[k][1]] for k in range(at, end) if counts[k]]
+            ends = np.cumsum([0, *counts[at:end]], dtype=np.int32)
+            rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns, rows], names=[*batch.schema.names, "rows"])
+            at = end
 
 
 def assign(members: DataFrame, blobs: DataFrame, params: Params = Params()) -> DataFrame:
     """Each member's rows: a slice of its promise's permutation from its offset on, wrapping round.
 
-    blobs: promise_hash, commitment, total_rows. A commitment's permutation is drawn once, however many promises share it.
+    blobs: promise_hash, commitment, total_rows. Permutations are drawn where a promise's members are and never stored, sent or
+    joined: they are far larger than what seeds them. One that promises share is drawn once for those beside each other.
+    A blob without rows assigns none.
     """
-    each = blobs.select("commitment", F.col("total_rows").cast("int").alias("total_rows")).distinct()
-    drawn = each.mapInArrow(permutations, "commitment long, total_rows int, rows array<int>")
-    joined = counts(members, params).join(blobs.withColumn("total_rows", F.col("total_rows").cast("int")), "promise_hash").join(drawn, ["commitment", "total_rows"])
-    picked = F.transform(F.sequence(F.lit(0), F.col("row_count") - 1), lambda j: F.get("rows", ((F.col("offset") + j) % F.col("total_rows")).cast("int")))
-    return joined.withColumn("rows", F.when(F.col("row_count") > 0, picked).otherwise(F.array().cast("array<int>")))
+    sized = blobs.withColumn("total_rows", F.col("total_rows").cast("int")).where("commitment is not null and total_rows is not null")
+    first = ["commitment", "total_rows", "row_count", "offset"]
+    joined = counts(members, params).join(sized.hint("merge"), "promise_hash")  # as many as promises: no broadcast
+    joined = joined.select(*first, *[c for c in joined.columns if c not in first])
+    return joined.mapInArrow(slices, StructType([*joined.schema.fields, StructField("rows", ArrayType(IntegerType()))]))
 
 
 def verify(got: Column, assigned: Column) -> Column:

@@ -101,7 +101,7 @@ def _(v: Views) -> DataFrame:
 
 def _members(v: Views) -> DataFrame:
     blobs = v.publications.select("promise_hash", (F.col("needed_rows") + 10).alias("original"))
-    return v.assignments.select("promise_hash", "validator").join(v.validators.select("validator", "power"), "validator").join(blobs, "promise_hash")
+    return v.assignments.select("promise_hash", "validator").join(v.validators.select("validator", "power"), "validator").join(blobs.hint("merge"), "promise_hash")
 
 
 @query("assigned_row_counts", """WITH m AS (SELECT a.promise_hash, validator, power, p.needed_rows + 10 AS original, sum(power) OVER (PARTITION BY a.promise_hash) AS total FROM assignments a JOIN validators USING (validator) JOIN publications p ON p.promise_hash = a.promise_hash),

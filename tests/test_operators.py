@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,24 @@ def test_assigned_rows_cover_and_wrap(spark):
     assert rows[2, 0] == rows[1, 0] and len(rows[3, 0]) == 2 and len(rows[3, 1]) == 8 and all(0 <= x < 10 for v in (rows[3, 0], rows[3, 1]) for x in v)
 
 
+def test_assignment_sends_no_permutations(spark, monkeypatch):
+    """Permutations are no side of a join; rows do not depend on how batches are cut, and a blob without rows assigns none."""
+    members = spark.createDataFrame([(p, k, 3 + k, 20) for p in range(40) for k in range(5)], "promise_hash long, validator long, power long, original long")
+    blobs = spark.createDataFrame([(p, p // 3, 0 if p == 39 else 10 + p % 4 * 30) for p in range(40)], "promise_hash long, commitment long, total_rows int")
+    found = a.assign(members, blobs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().strip().startswith("MapInArrow")
+    rows = found.collect()
+    for r in rows:
+        drawn = streams.shuffled([a.seed_of(r.commitment)], [r.total_rows])[0]
+        assert r.rows == ([drawn[(r.offset + j) % r.total_rows] for j in range(r.row_count)] if r.total_rows else [])
+    assert len(rows) == 200 and sum(r.total_rows == 0 for r in rows) == 5
+    columns = ["commitment", "total_rows", "row_count", "offset"]
+    batch = pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in rows])
+    monkeypatch.setattr(a, "CELLS", 60)
+    cut = list(a.slices([batch]))
+    assert len(cut) > 40 and [x for b in cut for x in b.column("rows").to_pylist()] == [r.rows for r in rows]
+
+
 def test_verify(spark):
     frame = spark.createDataFrame([([1, 2], [2, 1]), ([1], [2, 1]), ([3], [1]), ([], [1])], "got array<int>, own array<int>")
     assert [r[0] for r in frame.select(a.verify(F.col("got"), F.col("own"))).collect()] == ["exact", "subset", "foreign", "none"]
