@@ -75,11 +75,13 @@ def endpoint_steps(events: DataFrame, gaps: DataFrame) -> DataFrame:
     """What each host event did: registered, changed, same, after_gap or before_record."""
     order = Window.partitionBy("validator").orderBy("height", "tx_index", "host")
     before = events.withColumns({"previous": F.lag("host").over(order), "previous_height": F.lag("height").over(order)})
-    spans = before.withColumn("id", F.struct("validator", "height", "tx_index", "host")).select("id", (F.coalesce("previous_height", F.lit(0)) + 1).alias("lo"), F.col("height").alias("hi"))
+    before = before.withColumns({"__lo": F.coalesce("previous_height", F.lit(0)) + 1, "__hi": F.col("height")})
+    # by what lies between, not by event: repeated events differ in what is before them
+    spans = before.select(F.col("__lo").alias("lo"), F.col("__hi").alias("hi")).distinct().withColumn("id", F.struct(F.col("lo").alias("__lo"), F.col("hi").alias("__hi")))
     hit = overlapping(spans, gaps.select(F.col("first").alias("lo"), F.col("last").alias("hi")), "id").select("id.*").withColumn("gap", F.lit(True))
-    joined = before.join(hit, ["validator", "height", "tx_index", "host"], "left")
+    joined = before.join(hit, ["__lo", "__hi"], "left")
     step = F.when(F.col("gap"), "after_gap").when(F.col("previous").isNull(), "before_record").when(F.col("previous") == F.col("host"), "same").when(F.col("previous") == "", "registered").otherwise("changed")
-    return joined.withColumn("step", step).drop("gap")
+    return joined.withColumn("step", step).drop("gap", "__lo", "__hi")
 
 
 def paired_costs(events: DataFrame, costs: DataFrame) -> DataFrame:
