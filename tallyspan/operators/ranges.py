@@ -26,16 +26,34 @@ def overlapping(spans: DataFrame, ranges: DataFrame, key: str, keep: str | None
     return met.select(key, *kept).distinct()
 
 
-def first_range(points: DataFrame, ranges: DataFrame, key: str, at: str, family: str, take: str, width: int = 4096) -> DataFrame:
+def first_range(points: DataFrame, ranges: DataFrame, at: str, family: str, take: str) -> DataFrame:
     """Each point with ``take`` of the first range (by ``line``) of its family that holds it; null where none does.
 
-    points: key, at, family. ranges: line, first, last, family, take.
+    points: at, family. ranges: line, first, last, family, take; ``at``, first and last are whole numbers below 2^63 - 1.
+    A line is one range of its family; of equal lines that hold a point the smallest ``take`` counts.
+
+    Ranges are cut into aligned blocks of 2^level numbers, at most two a level, and every block keeps its first line only. A point
+    looks into the one block of each level that it lies in, so the work is that of ranges and points times levels, not
+    that of the pairs that meet.
     """
-    right = ranges.select("line", "first", "last", family, take, _buckets("first", "last", width).alias("__b"))
-    left = points.select(key, at, family, F.floor(F.col(at) / width).alias("__b"))
-    met = left.join(right, ["__b", family]).where(F.col(at).between(F.col("first"), F.col("last")))
-    best = met.groupBy(key).agg(F.min_by(take, "line").alias(take))
-    return points.join(best, key, "left")
+    held = ranges.where("first <= last").select("line", family, take, F.col("first").cast("long").alias("__first"), F.col("last").cast("long").alias("__last"))
+    top = F.length(F.bin(F.col("__last") + 1 - F.col("__first"))) - 1  # no aligned block of a higher level fits in
+    each = held.select("line", family, "__first", "__last", F.explode(F.sequence(F.lit(0), top)).alias("__level"))
+    whole = each.withColumns({"__lo": F.expr("-shiftright(-__first, __level)"), "__hi": F.expr("shiftright(__last + 1, __level)")}).where("__lo < __hi")
+    ends = F.explode(F.expr("filter(array(if(__lo % 2 <> 0, __lo, null), if(__hi % 2 <> 0, __hi - 1, null)), b -> b is not null)"))
+    least = whole.select("line", family, "__level", ends.alias("__block")).groupBy(family, "__level", "__block").agg(F.min("line").alias("line"))
+    spots = points.select(F.col(at).cast("long").alias("__at"), family).distinct()
+    levels = F.sequence(F.lit(0), held.agg(F.max(top)).scalar())
+    asked = spots.withColumn("__level", F.explode(levels)).withColumn("__block", F.expr("shiftright(__at, __level)"))
+    lines = asked.join(_loosened(least, "__block"), [family, "__level", "__block"]).groupBy("__at", family).agg(F.min("line").alias("line"))
+    inside = F.col("__at").between(F.col("__first"), F.col("__last"))
+    best = lines.join(held, ["line", family]).where(inside).groupBy("__at", family).agg(F.min(take).alias(take))
+    return points.withColumn("__at", F.col(at).cast("long")).join(_loosened(best, "__at"), ["__at", family], "left").drop("__at")
+
+
+def _loosened(frame: DataFrame, key: str) -> DataFrame:
+    """The same rows with a partitioning that Spark does not know, so that a join may split a hot key of its other side."""
+    return frame.withColumn(key, F.bitwise_not(F.bitwise_not(key)))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: Column, right_at: Column, take: list[str]) -> DataFrame:

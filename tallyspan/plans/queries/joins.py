@@ -23,16 +23,15 @@ def _(v: Views) -> DataFrame:
 @query("point_in_range", "SELECT v.validator, v.address, coalesce((SELECT arg_min(g.asn, g.line) FROM ranges g WHERE g.v6 = (v.validator % 3 = 0) AND v.address BETWEEN g.first AND g.last), 'none') AS asn FROM validators v")
 def _(v: Views) -> DataFrame:
     points = v.validators.select("validator", "address", (F.col("validator") % 3 == 0).alias("v6"))
-    return r.first_range(points, v.ranges, "validator", "address", "v6", "asn").select("validator", "address", F.coalesce("asn", F.lit("none")).alias("asn"))
+    return r.first_range(points, v.ranges, "address", "v6", "asn").select("validator", "address", F.coalesce("asn", F.lit("none")).alias("asn"))
 
 
 @query("provider_fallback", """WITH a AS (SELECT v.validator, v.country, (SELECT arg_min(g.asn, g.line) FROM ranges g WHERE g.v6 AND v.address BETWEEN g.first AND g.last) AS one, (SELECT arg_min(g.asn, g.line) FROM ranges g WHERE NOT g.v6 AND v.address BETWEEN g.first AND g.last) AS two FROM validators v)
     SELECT validator, coalesce(one, two, country) AS host_group, CASE WHEN one IS NOT NULL THEN 'first' WHEN two IS NOT NULL THEN 'second' ELSE 'registry' END AS source FROM a""")
 def _(v: Views) -> DataFrame:
     points = v.validators.select("validator", "address", "country")
-    one = r.first_range(points.withColumn("v6", F.lit(True)), v.ranges, "validator", "address", "v6", "asn").select("validator", F.col("asn").alias("one"))
-    two = r.first_range(points.withColumn("v6", F.lit(False)), v.ranges, "validator", "address", "v6", "asn").select("validator", F.col("asn").alias("two"))
-    joined = points.join(one, "validator").join(two, "validator")
+    one = r.first_range(points.withColumn("v6", F.lit(True)), v.ranges, "address", "v6", "asn").withColumnRenamed("asn", "one")
+    joined = r.first_range(one.withColumn("v6", F.lit(False)), v.ranges, "address", "v6", "asn").withColumnRenamed("asn", "two")
     source = F.when(F.col("one").isNotNull(), "first").when(F.col("two").isNotNull(), "second").otherwise("registry")
     return joined.select("validator", F.coalesce("one", "two", "country").alias("host_group"), source.alias("source"))
 
