@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing.digests(written(best_fit_packing.sequences(docs), "sequences", keep=True))
+    return best_fit_packing.digests(written(best_fit_packing.sequences(docs), "sequences", keep=True, codec="zstd"))
 
 
 STAGES = [

@@ -34,6 +34,8 @@ SEPARATOR = 0
 REMEMBERED = 250_000
 #: Pieces that one ranking group holds on average.
 GROUP_ROWS = 2_000
+#: Deflate level of the token ids of a piece, which are written once and shuffled twice before they lie in their sequence.
+DEFLATE = 6
 
 PLACED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
@@ -132,7 +134,7 @@ def id_bytes(vocabulary: str, separator: int = SEPARATOR) -> int:
 
 
 def cut(vocabulary: str, window: int, separator: int, ids_width: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Tokenizes (doc_id, text, salt) rows into pieces of ``window`` tokens at most; with their ids, in so many bytes each, if asked."""
+    """Tokenizes (doc_id, text, salt) rows into pieces of ``window`` tokens at most; with their ids, in so many bytes each and deflated, if asked."""
     end, with_ids = np.asarray([separator], "<u4").tobytes(), ids_width > 0
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 7 if with_ids else 6]
 
@@ -148,7 +150,7 @@ def cut(vocabulary: str, window: int, separator: int, ids_width: int = 0) -> Cal
                 ids = known.ids(text.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * window)):
                     part = ids[at : at + 4 * window]
-                    rows.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), salt.as_py(), *([np.frombuffer(part, "<u4").astype(f"<u{ids_width}").tobytes()] if with_ids else [])))
+                    rows.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), salt.as_py(), *([zlib.compress(np.frombuffer(part, "<u4").astype(f"<u{ids_width}").tobytes(), DEFLATE)] if with_ids else [])))
                     if len(rows) >= 4096:
                         yield batch_of(rows)
                         rows = []
@@ -261,7 +263,8 @@ def pack(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
 def sequences(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, vocabulary: str | None = None, separator: int = SEPARATOR) -> DataFrame:
     """The packed sequences themselves: sequence_id, its token ids, at most ``window`` of them, and its parts in order.
 
-    Ids are little-endian bytes, ``id_bytes`` each: 2 where the vocabulary allows it, as they are shuffled twice.
+    Ids are little-endian bytes, ``id_bytes`` each: 2 where the vocabulary allows it. As pieces they are deflated, as they are
+    shuffled twice.
 
     A part has doc_id, row_key (a number of its own for each row of ``documents``), piece, start, length and offset.
     Ids need not be unique. Every text is tokenized once: the ids wait in the table of pieces for their places.
@@ -273,7 +276,7 @@ def sequences(documents: DataFrame, id_column: str = "doc_id", text_column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [b"".join(x["ids"] for x in row) for row in batch.column(1).to_pylist()]
+            ids = [b"".join(zlib.decompress(x["ids"]) for x in row) for row in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], names=["sequence_id", "ids", "parts"])
 
     kind = "array<struct<offset: long, doc_id: long, row_key: long, piece: int, start: long, length: long>>"

@@ -57,7 +57,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(frame: DataFrame, tag: str, partitions: int | None = None, keep: bool = False) -> DataFrame:
+def written(frame: DataFrame, tag: str, partitions: int | None = None, keep: bool = False, codec: str | None = None) -> DataFrame:
     """The frame as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors.
 
     The open scope drops it when it ends, unless it is to be kept.
@@ -66,7 +66,7 @@ def written(frame: DataFrame, tag: str, partitions: int | None = None, keep: boo
     path = f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     if _scopes and not keep:
         _scopes[-1].append(path)
-    (frame.coalesce(partitions) if partitions else frame).write.parquet(path)
+    (frame.coalesce(partitions) if partitions else frame).write.parquet(path, compression=codec)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -132,3 +132,11 @@ def test_sequences_round_trip(spark, awkward, nothing):
     assert {(r.row_key, r.piece): (r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows} == place and len(rows) == len(place)
     assert all(zlib.crc32(found[r.doc_id or -1, r.row_key][r.start]) == r.ids_crc32 for r in rows)
     assert b.sequences(nothing).count() == 0 and b.digests(b.sequences(nothing)).count() == 0
+
+
+def test_pieces_carry_deflated_ids(spark):
+    """Ids are shuffled twice on their way to a sequence, so they take well under the two bytes each that they have there."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pieces = b.pieces_of(docs, with_ids=True).select("length", "ids").collect()
+    assert sum(len(r.ids) for r in pieces) < 0.8 * 2 * sum(r.length for r in pieces)
+    assert all(len(zlib.decompress(r.ids)) == 2 * r.length for r in pieces)
