@@ -47,14 +47,23 @@ def decided_us(must_serve: Column) -> Column:
     return F.when(F.col("outcome") == "MISSED", F.col("scheduled_us")).when(missing, F.greatest(F.col("started_us"), guarded)).otherwise(F.col("started_us"))
 
 
+def verified() -> Column:
+    """Whether an answer's rows were proved to be of the blob."""
+    return (F.col("outcome") == "SERVED_OK") | (F.col("outcome").isin("WRONG_ROWS", "PARTIAL") & F.col("rows_verify"))
+
+
+def lean(raw: DataFrame) -> DataFrame:
+    """Raw checks without the row lists that no reading looks into, those of answers that are not verified: they need not be shuffled."""
+    return raw.withColumn("row_indices", F.when(verified(), F.col("row_indices")))
+
+
 def classified(raw: DataFrame, publications: DataFrame, uncertain: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Raw checks with what their promise says (settled_us, must_serve_us, ...), ``verified``, ``phase``, ``cls`` and ``held``.
 
     The phase is that of the start, or of ``decided_us`` where the checks say when they finished.
     """
     promised = with_held(publications, uncertain, ["settled_us", "must_serve_us", "needed_rows", "excess_rows", "height", "tx_index", "commitment"])
-    verified = (F.col("outcome") == "SERVED_OK") | (F.col("outcome").isin("WRONG_ROWS", "PARTIAL") & F.col("rows_verify"))
-    joined = raw.join(promised, "promise_hash").withColumn("verified", verified)
+    joined = raw.join(promised, "promise_hash").withColumn("verified", verified())
     at = decided_us(F.col("must_serve_us")) if "finished_us" in raw.columns else F.col("started_us")
     joined = joined.withColumn("phase", rules.phase(at, F.col("must_serve_us"), tolerance))
     return joined.withColumn("cls", rules.classification(F.col("outcome"), F.col("phase"), evidence()))

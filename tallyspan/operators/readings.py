@@ -14,17 +14,16 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def _gains(checks: DataFrame, undecided: Column | None = None) -> DataFrame:
+def _gains(checks: DataFrame) -> DataFrame:
     """Checks with ``__gain``: the rows that a verified answer adds to those of other answers of its reading.
 
     An answer is a stretch of row numbers (first_row, rows_returned), of which only what no earlier stretch has is a gain; or, with
-    a column ``row_indices``, a list, where a row counts for the first check that has it, and lists are only opened where
-    ``undecided`` holds. Either way the gains of a reading add up to the number of its distinct rows.
+    a column ``row_indices``, a list, where a row counts for the first check that has it. Either way the gains of a reading
+    add up to the number of its distinct rows.
     """
     gave = _c("verified") & (_c("rows_returned") > 0)
     if "row_indices" in checks.columns:
-        chosen = checks.where(gave if undecided is None else gave & undecided)
-        rows = chosen.select(*READING, "dedupe_key", F.explode("row_indices").alias("__row"))
+        rows = checks.where(gave).select(*READING, "dedupe_key", F.explode("row_indices").alias("__row"))
         first = rows.groupBy(*READING, "__row").agg(F.min("dedupe_key").alias("dedupe_key"))
         counts = first.groupBy(*READING, "dedupe_key").agg(F.count(F.lit(1)).alias("__gain"))
         return checks.join(counts, [*READING, "dedupe_key"], "left").withColumn("__gain", F.coalesce("__gain", F.lit(0)))
@@ -104,7 +103,8 @@ def counted(checks: DataFrame) -> DataFrame:
 
     Facts of readings come from all checks of any phase; filter afterwards. At a full reading a validator's own answers
     decide, at any other the state of the whole reading does. All facts are windows over one exchange by reading and
-    two sorts of it, so the checks are read and classified once; a reading has at most a few checks of each validator.
+    two sorts of it, so the checks are read and classified once; a reading has at most a few checks of each validator. Row lists
+    ride along in that exchange, and those of a reading are only put together where cheap bounds leave it open.
     """
     in_order = Window.partitionBy(*READING, "validator").orderBy("started_us")
     own, whole = Window.partitionBy(*READING, "validator"), Window.partitionBy(*READING)
@@ -123,8 +123,11 @@ def counted(checks: DataFrame) -> DataFrame:
     })
     upper = F.sum(F.when(verified, _c("rows_returned"))).over(whole)
     undecided = (_c("needed_rows") > 0) & (_c("__lower") < _c("needed_rows")) & (_c("__upper") >= _c("needed_rows"))
-    marked = marked.withColumn("__upper", upper) if "row_indices" in checks.columns else marked
-    known = _gains(marked, undecided).withColumn("__have", F.sum("__gain").over(whole))
+    if "row_indices" in checks.columns:
+        lists = F.when(verified & (_c("rows_returned") > 0) & undecided, _c("row_indices"))
+        known = marked.withColumn("__upper", upper).withColumn("__have", F.size(F.array_distinct(F.flatten(F.collect_list(lists).over(whole)))))
+    else:
+        known = _gains(marked).withColumn("__have", F.sum("__gain").over(whole))
     available = (_c("__lower") >= _c("needed_rows")) | (_c("__have") >= _c("needed_rows"))
     unavailable = (_c("needed_rows") > 0) & ~available & _c("__ran") & ~_c("__missed")
     hold = _c("held") & (outcome != "INVALID_ROWS")

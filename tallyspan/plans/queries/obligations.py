@@ -157,7 +157,7 @@ def _(v: Views) -> DataFrame:
     said = records.parsed(synthetic.publication_lines(v.publications, v.assignments), "publications").where("not bad").select("record.*")
     made = records.parsed(synthetic.measurement_lines(v.raw_checks), "measurements").where("not bad").select("record.*")
     ranges = v.uncertain.select("from_height", "to_height", "holds")
-    rows = over.classified(facts.checks(made), facts.publications(said), ranges)
+    rows = over.classified(over.lean(facts.checks(made)), facts.publications(said), ranges)
     found = obl.obligations(obl.population(read.counted(rows), None, NOW), NOW)
     return obl.sums(found, ["validator"]).withColumn("validator", F.col("validator").cast("long"))
 

@@ -58,6 +58,13 @@ def test_headline_queries_read_once_and_shuffle_little(spark, name):
     assert len(re.findall(r"^\(\d+\) Exchange$", text, re.MULTILINE)) <= exchanges
 
 
+def test_row_lists_are_shuffled_once(spark):
+    """Checks with their row lists go through one exchange, by promise; no list is opened into rows or joined back."""
+    text = plan(spark, "obligations_from_records")
+    assert len(re.findall(r"^\(\d+\) Exchange$", text, re.MULTILINE)) <= 6
+    assert len(re.findall(r"Location: .*lineitem\.parquet", text)) == 2
+
+
 def test_building_plans_runs_no_job(spark, monkeypatch):
     def refuse(*_, **__):
         raise AssertionError("a job while a plan is built")
